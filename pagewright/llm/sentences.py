@@ -19,7 +19,7 @@ OPEN = ("Aufl Az bes betr bspw bzgl bzw ca Co Dipl Doc Dr einschl entspr etw evt
         "Tsd Univ urspr verb vgl Vgl vs zit zzgl zzt εκατ δηλ Αρ Hon Gen Capt Col Lt Rev").split()
 # Abbreviations that a number follows.
 BEFORE_NUMBER = ("Abb Abs Abschn al Alt Anh Anl Anm art Art Bd Bl Buchst cap Cap cf chap ch cl Fig fig Kap lit Lit no No "
-                 "nos Nos núm par Par para Para pp Reg Rn Rz sec Sec sect Sect Tz tzn Uff Vol vol Ziff Zi z.Z παρ αρ αριθ").split()
+                 "nos Nos núm ust pkt poz par Par para Para pp Reg Rn Rz sec Sec sect Sect Tz tzn Uff Vol vol Ziff Zi z.Z παρ αρ αριθ").split()
 # Month names of dates with an ordinal day.
 MONTHS = ("Januar|Jänner|Februar|Feber|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|"
           "Jan|Feb|Mär|Apr|Jun|Jul|Aug|Sept|Sep|Okt|Nov|Dez")
@@ -42,7 +42,7 @@ def _abbreviations(x: Column) -> Column:
     x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}])({'|'.join(sorted(OPEN, key=len, reverse=True))})\.", f"$1{DOT}")
     numbered = "|".join(sorted((w.replace(".", f"[.{DOT}]") for w in BEFORE_NUMBER), key=len, reverse=True))
     x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}])({numbered})\.(?=\s?(?:\p{{N}}|[§(]|[IVXLC]+\b|\p{{Ll}}\b))", f"$1{DOT}")
-    x = F.regexp_replace(x, r"(\p{L}{2}(?:str|pl))\.(?=\s\p{N})", f"$1{DOT}")
+    x = F.regexp_replace(x, r"(\p{L}{2}(?:str|pl|[Nn]r)|-Nr)\.(?=\s[\p{N}\p{Lu}])", f"$1{DOT}")
     # ordinals: days before a month, numbers after an article, enumerators at the start of a line
     x = F.regexp_replace(x, rf"(?<![\p{{N}}.,{DOT}])(\p{{N}}{{1,2}})\.(?=\s(?:{MONTHS})(?!\p{{L}}))", f"$1{DOT}")
     x = F.regexp_replace(x, rf"(?<=(?<!\p{{L}})(?:{ARTICLES})\s)(\p{{N}}{{1,3}})\.(?=\s\p{{Lu}})", f"$1{DOT}")
