@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, lookalike, sentences
+from pagewright.llm import bpe, language, leakage, lookalike, sentences
 from pagewright.sources import table
 
 
@@ -43,8 +43,35 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text", f"{folder}/byte_bpe_50k.json")
 
 
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items of each document with the length of the passage."""
+    return leakage.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "evalitem"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_passages(spark, d).select("doc_id", "item_id")
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages present in each document, with confidence."""
+    docs = table(spark, d, "documents")
+    return language.present(docs, "doc_id", "text", "lang", language.fit(docs, "doc_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_languages(spark, d).where("label IS NULL OR label <> lang").select("doc_id", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of one language in documents that hold several."""
+    docs = table(spark, d, "documents")
+    s = language.spans(docs, "doc_id", "text", language.fit(docs, "doc_id", "text", "lang"))
+    return s.where("confidence >= 0.4 AND sentences > 0")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_sentences, p6_ids)}
+    return {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
+                                    p8_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
