@@ -24,8 +24,9 @@ NAMES = {"de": "deu ger german deutsch", "en": "eng english", "fr": "fra fre fre
          "it": "ita italian italiano", "es": "spa spanish español espanol castellano", "pt": "por portuguese português",
          "nl": "nld dut dutch nederlands", "pl": "pol polish polski"}
 DIMS = 4096
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 80, 400  # labelled documents and segments of each language that the fit may see
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 80, 200  # labelled documents and segments of each language that the fit may see
 LEAST_WORDS = 4  # words of a segment that is judged by itself
+SURE = 0.6  # confidence from which a full sentence counts for a language beside the main one
 SENTENCES = 2  # full sentences that make a language present
 
 LANGS = [x for f in FAMILIES.values() for x in f]
@@ -48,7 +49,8 @@ def label_language(label: Column) -> Column:
 
 def features(word: str) -> list[int]:
     w = f"^{word}$"
-    return [crc32(w.encode()) % DIMS] + [crc32(w[i:i + 3].encode()) % DIMS for i in range(len(w) - 2)]
+    marks = [c for c in word if not c.isascii()]
+    return [crc32(x.encode()) % DIMS for x in (w, *(w[i:i + 3] for i in range(len(w) - 2)), *marks, *marks)]
 
 
 def segments(text: str) -> list[str]:
@@ -64,17 +66,22 @@ def _vector(words: list[str]) -> np.ndarray:
     return x
 
 
-def _machine(x: np.ndarray, y: np.ndarray, steps: int = 80, reg: float = 1e-4) -> np.ndarray:
-    """Linear machines with squared hinge loss, one for each column of y in {-1, 0, 1}; rows with 0 don't count."""
-    w = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32)
-    v, seen = np.zeros_like(w), np.abs(y)
-    n = np.maximum(seen.sum(0), 1)
-    for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ w)) * seen
-        grad = -(x.T @ (slack * y)) / n + reg * w
-        v = 0.9 * v - 40.0 * grad
-        w += v
-    return w
+def _machine(x: np.ndarray, y: np.ndarray, reg: float = 0.02, most: int = 12) -> np.ndarray:
+    """The linear machine with squared hinge loss for labels y in {-1, 1}, by Newton steps on the rows inside the
+    margin: the weights are their combination that solves (K + reg I) b = y, until the rows no longer change."""
+    kernel = (x @ x.T).astype(np.float64)
+    inside = np.ones(len(y), bool)
+    beta = np.zeros(len(y))
+    for _ in range(most):
+        at = np.flatnonzero(inside)
+        beta = np.zeros(len(y))
+        if len(at):
+            beta[at] = np.linalg.solve(kernel[np.ix_(at, at)] + reg * np.eye(len(at)), y[at])
+        now = y * (kernel @ beta) < 1
+        if (now == inside).all():
+            break
+        inside = now
+    return (x.T @ beta.astype(np.float32)).astype(np.float32)
 
 
 class Model:
@@ -151,22 +158,25 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     found: dict[str, list[list[str]]] = {x: [] for x in LANGS}
     for lang, _, t in rows:
         if len(found[lang]) < SAMPLE_SEGMENTS:
-            found[lang] += [w for w in map(_words, segments(t)) if len(w) >= 6][:12]
+            ws = [w for w in map(_words, segments(t)) if len(w) >= LEAST_WORDS]
+            found[lang] += ws[::len(ws) // 4 or 1][:5]
     x, y = [], []
     for k, lang in enumerate(LANGS):
         for w in found[lang][:SAMPLE_SEGMENTS]:
             x.append(_vector(w))
             y.append(k)
     x, y = np.array(x, dtype=np.float32).reshape(-1, DIMS), np.array(y, dtype=int)
-    scale = np.float32(12.0)
+    scale = np.float32(1 / max(1e-6, np.sqrt((x * x).sum(1)).max(initial=0)))
     keep = np.ones(len(y), bool)
     weights = np.zeros((DIMS, len(FAMILIES) + len(PAIRS)), dtype=np.float32)
     for _ in range(2):
         names = np.array(LANGS)[y] if len(y) else np.array([], str)
-        cols = [np.where(np.isin(names, ls), 1.0, -1.0) for ls in FAMILIES.values()]
-        cols += [np.where(names == a, 1.0, np.where(names == b, -1.0, 0.0)) for _, a, b in PAIRS]
-        if keep.any():
-            weights = _machine(scale * x[keep], np.array(cols, dtype=np.float32).T[keep]) * scale
+        sides = [(np.isin(names, ls), np.ones(len(y), bool)) for ls in FAMILIES.values()]
+        sides += [(names == a, np.isin(names, (a, b))) for _, a, b in PAIRS]
+        for k, (one, both) in enumerate(sides):
+            at = np.flatnonzero(both & keep)
+            if len(at):
+                weights[:, k] = _machine(scale * x[at], np.where(one[at], 1.0, -1.0)) * scale
         model = Model(weights)
         words = [w for lang in LANGS for w in found[lang][:SAMPLE_SEGMENTS]]
         lang, _ = model.judge(words)
@@ -255,7 +265,7 @@ def present(df: DataFrame, id_col: str, text_col: str, label_col: str, model: Mo
                 for g, _, c, n, full in segs:
                     if g is not None:
                         t = by.setdefault(g, [0.0, 0, 0])
-                        t[0], t[1], t[2] = t[0] + c * n, t[1] + (full and c >= 0.4), t[2] + n
+                        t[0], t[1], t[2] = t[0] + c * n, t[1] + (full and c >= SURE), t[2] + n
                 if by:
                     top = min(by, key=lambda g: (-by[g][2], LANGS[g]))
                     out += [(d, LANGS[g], lab, g == top, t[0] / max(1, t[2]), t[1], t[2]) for g, t in by.items()

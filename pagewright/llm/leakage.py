@@ -2,9 +2,10 @@
 
 The words of the test items are numbered; of every training text the positions of these words are found. The
 number of texts with each word is counted over all texts, and in every window of an item its rarest words are its
-probes. Texts with a few probes keep their positional lists in a table; the lists of the probes are joined with
-the items' own, their positions subtracted, and where several probes of an item agree on the offset, up to what a
-page header or struck words shift, the text is a candidate. Candidates are matched over the whole lists: the best
+probes. Texts with a few probes keep their positional lists in a table, partitioned by text, so that what
+follows moves nothing: the lists of the probes are intersected with the items' own, their positions subtracted, and
+where probes of enough weight agree on the offset, up to what a page header or struck words shift, the text is a
+candidate. Candidates are matched over the whole lists: the best
 chain of words in the order of the item, weighted by their rarity.
 """
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pagewright.llm.lookalike import visible_form
 from pagewright.session import written
 
 WINDOW = 20  # words of the shortest passage
-PROBES = 8  # probes among the words of a window
+PROBES = 6  # probes among the words of a window
 HITS = 3  # probes that must agree
+AGREE = 0.5  # part of the weight of the probes of the item's lightest window that must agree
 SLACK = 24  # words by which the offset may drift inside a passage
 GAP_ITEM, GAP_TEXT = 4, 30  # longest run of unmatched words between two matched ones
 SHARE = 0.86  # least part of a passage's words, and of their weight, that must match
@@ -88,6 +90,47 @@ def chain(item: list[int], terms: np.ndarray, at: np.ndarray, weight: np.ndarray
     return span, top[2] / span, top[3] / (before[top[4] + 1] - before[top[1]])
 
 
+class Lists:
+    """The probes of the items by term: item number, place in the item; and the weight that must agree."""
+
+    def __init__(self, items: dict[int, list[int]], probes: list[tuple[int, int, int]], idf: np.ndarray):
+        self.ids = np.array(sorted(items), dtype=np.int64)
+        number = {i: n for n, i in enumerate(self.ids.tolist())}
+        p = np.array(sorted((t, number[i], k) for i, t, k in probes), dtype=np.int64).reshape(-1, 3)
+        self.item, self.place = p[:, 1], p[:, 2]
+        self.start = np.searchsorted(p[:, 0], np.arange(len(idf) + 1))
+        self.idf = idf
+        self.least = np.zeros(len(self.ids))
+        marked = {(i, k) for i, _, k in probes}
+        for n, i in enumerate(self.ids.tolist()):
+            ws = items[i]
+            w = np.array([idf[t] if (i, k) in marked else 0.0 for k, t in enumerate(ws)])
+            size = min(WINDOW, len(w))
+            sums = np.convolve(w, np.ones(size), "valid") if size else np.zeros(1)
+            self.least[n] = AGREE * sums.min(initial=np.inf) if size else np.inf
+
+
+def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[int]:
+    """Items of which probes of enough weight have offsets in one bin; each hit counts in the two bins around it."""
+    first, n = lists.start[terms], lists.start[terms + 1] - lists.start[terms]
+    total = int(n.sum())
+    if not total:
+        return []
+    which = np.repeat(np.arange(len(terms)), n)
+    row = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + first[which]
+    item, place = lists.item[row], lists.place[row]
+    b = (at[which] - place) // SLACK + 4096
+    weight = lists.idf[terms[which]]
+    key = np.concatenate([item * (1 << 40) + b * 4096, item * (1 << 40) + (b + 1) * 4096]) + np.tile(place % 4096, 2)
+    key, once = np.unique(key, return_index=True)  # a probe counts once in a bin
+    group, at_group = np.unique(key // 4096, return_inverse=True)
+    got = np.bincount(at_group, np.tile(weight, 2)[once])
+    hits = np.bincount(at_group)
+    who = group // (1 << 28)
+    ok = (hits >= np.minimum(HITS, np.bincount(lists.item, minlength=len(lists.ids))[who])) & (got >= lists.least[who])
+    return lists.ids[np.unique(who[ok])].tolist()
+
+
 def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
           share: float = SHARE) -> DataFrame:
     """(doc_id BIGINT, item_id BIGINT, span INT, matched DOUBLE, weight DOUBLE): the documents that hold an item or
@@ -154,23 +197,13 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                  pa.array(places, pa.list_(pa.int32()))], names=["d", "terms", "places"])
 
     index = written(texts.mapInArrow(postings, "d BIGINT, terms ARRAY<INT>, places ARRAY<INT>"))
-    probe = F.broadcast(spark.createDataFrame(pd.DataFrame(probes, columns=["item", "term", "k"]).astype("int64"),
-                                              "item BIGINT, term BIGINT, k BIGINT"))
-    posting = (index.select("d", F.explode(F.arrays_zip("terms", "places")).alias("z"))
-                    .select("d", F.col("z.terms").alias("term"), F.col("z.places").alias("at")))
-    # each hit counts in the two overlapping bins of offsets around it
-    hits = (posting.join(probe, posting["term"] == probe["term"])
-                   .select("d", "item", "k", F.floor((F.col("at") - F.col("k")) / SLACK).alias("b")))
-    agree = (hits.select("d", "item", "k", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
-                 .groupBy("d", "item", "b").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= HITS)
-                 .groupBy("d").agg(F.collect_set("item").alias("items")))
-
     def match(batches):
+        lists = share_lists.value
         for b in batches:
             out = defaultdict(list)
-            for d, its, terms, at in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for d, terms, at in zip(*(b.column(k).to_pylist() for k in range(3))):
                 terms, at = np.array(terms), np.array(at)
-                for i in sorted(its):
+                for i in agreeing(lists, terms, at):
                     span, part, weight = chain(share_items.value[i], terms, at, share_idf.value)
                     if span >= min(WINDOW, len(share_items.value[i])) and min(part, weight) >= share:
                         for k, v in zip(("doc_id", "item_id", "span", "matched", "weight"), (d, i, span, part, weight)):
@@ -180,7 +213,7 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                                                      ("matched", pa.float64()), ("weight", pa.float64()))})
 
     share_items, share_idf = spark.sparkContext.broadcast(numbered), spark.sparkContext.broadcast(idf)
-    pairs = agree.join(index, "d").select("d", "items", "terms", "places")
-    out = pairs.mapInArrow(match, "doc_id BIGINT, item_id BIGINT, span INT, matched DOUBLE, weight DOUBLE")
+    share_lists = spark.sparkContext.broadcast(Lists(numbered, probes, idf))
+    out = index.mapInArrow(match, "doc_id BIGINT, item_id BIGINT, span INT, matched DOUBLE, weight DOUBLE")
     best = F.max(F.struct("span", "matched", "weight")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.span", "m.matched", "m.weight")
