@@ -24,15 +24,15 @@ NAMES = {"de": "deu ger german deutsch", "en": "eng english", "fr": "fra fre fre
          "it": "ita italian italiano", "es": "spa spanish español espanol castellano", "pt": "por portuguese português",
          "nl": "nld dut dutch nederlands", "pl": "pol polish polski"}
 DIMS = 4096
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 80, 200  # labelled documents and segments of each language that the fit may see
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 120, 400  # labelled documents and segments of each language that the fit may see
 LEAST_WORDS = 4  # words of a segment that is judged by itself
 SURE = 0.6  # confidence from which a full sentence counts for a language beside the main one
 SENTENCES = 2  # full sentences that make a language present
 
 LANGS = [x for f in FAMILIES.values() for x in f]
 PAIRS = [(f, a, b) for f, ls in FAMILIES.items() for a, b in combinations(ls, 2)]
-_cut = re.compile(r"\n+|(?<=[^\W\d_]{4}[.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[^\W\d_]{4}[.!?][)\"“”»«])\s+(?=[^\W\d_a-zà-ÿ])"
-                  r"|(?<=[\d)][.!?])\s+(?=[^\W\d_a-zà-ÿ][a-zà-ÿß-ÿ' ])|(?<=[?!…])\s+(?=[¿¡«])").split
+_cut = re.compile(r"\n+|(?<=[^\W\d_]{3}[.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[^\W\d_]{3}[.!?][)\"“”»«])\s+(?=[^\W\d_a-zà-ÿ])"
+                  r"|(?<=\d{3}[.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[)][.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[?!…])\s+(?=[¿¡«])").split
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 _ended = re.compile(r"[.!?…][)\"“”»«’']*\s*$").search
 
@@ -66,22 +66,22 @@ def _vector(words: list[str]) -> np.ndarray:
     return x
 
 
-def _machine(x: np.ndarray, y: np.ndarray, reg: float = 0.02, most: int = 12) -> np.ndarray:
-    """The linear machine with squared hinge loss for labels y in {-1, 1}, by Newton steps on the rows inside the
-    margin: the weights are their combination that solves (K + reg I) b = y, until the rows no longer change."""
-    kernel = (x @ x.T).astype(np.float64)
-    inside = np.ones(len(y), bool)
-    beta = np.zeros(len(y))
-    for _ in range(most):
-        at = np.flatnonzero(inside)
-        beta = np.zeros(len(y))
-        if len(at):
-            beta[at] = np.linalg.solve(kernel[np.ix_(at, at)] + reg * np.eye(len(at)), y[at])
-        now = y * (kernel @ beta) < 1
-        if (now == inside).all():
+def _machine(x: np.ndarray, y: np.ndarray, soft: float = 0.05, epochs: int = 20) -> np.ndarray:
+    """The linear machine with squared hinge loss for labels y in {-1, 1}, by coordinate descent in the dual."""
+    w = np.zeros(x.shape[1], dtype=np.float32)
+    alpha, size = np.zeros(len(y)), (x * x).sum(1) + soft
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in order.permutation(len(y)):
+            new = max(0.0, alpha[i] - (y[i] * float(x[i] @ w) - 1 + soft * alpha[i]) / size[i])
+            if abs(new - alpha[i]) > 1e-6:
+                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                moved = max(moved, abs(new - alpha[i]))
+                alpha[i] = new
+        if moved < 1e-2:
             break
-        inside = now
-    return (x.T @ beta.astype(np.float32)).astype(np.float32)
+    return w
 
 
 class Model:
