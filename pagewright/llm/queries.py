@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, language, leakage, lookalike, sentences
+from pagewright.llm import bpe, language, leakage, lookalike, sentences, truncation
 from pagewright.sources import table
 
 
@@ -25,6 +25,31 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
              .where("n_spellings > 1"))
 
 
+def _ended(spark: SparkSession, d: str) -> DataFrame:
+    subs = table(spark, d, "subsections").select(F.lit("subsections.content").alias("field"), F.col("sub_id").alias("id"), "source",
+                                                 F.col("content").alias("text"))
+    answers = table(spark, d, "answer").select(F.lit("answer._markdown").alias("field"), F.col("answer_id").alias("id"), "source",
+                                               F.col("_markdown").alias("text"))
+    return subs.distinct().unionByName(answers)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_ended(spark, d)).where("cut").select("field", F.col("id").alias("row_id")).distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    t = truncation.truncated(_ended(spark, d)).groupBy("field", "source").agg(
+        F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("int")).alias("n_cut"),
+        F.sum((F.col("cut") & F.col("fixed_length")).cast("int")).alias("n_cut_at_fixed_length"))
+    return t.withColumn("share_cut", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+
+
+def p4_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths at which sources cut."""
+    return truncation.hazards(_ended(spark, d)).where("significant")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     judged = table(spark, d, "sentence_sample").select("sub_id").distinct()
     rows = table(spark, d, "subsections").select("sub_id", "content").join(judged, "sub_id").distinct()
@@ -70,7 +95,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
+    return {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
                                     p8_segments)}
 
 
