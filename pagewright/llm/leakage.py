@@ -23,9 +23,10 @@ from pagewright.llm.lookalike import visible_form
 from pagewright.session import written
 
 WINDOW = 20  # words of the shortest passage
-PROBES = 6  # probes among the words of a window
+PROBES = 4  # probes among the words of a window
 HITS = 3  # probes that must agree
-AGREE = 0.5  # part of the weight of the probes of the item's lightest window that must agree
+AGREE = 0.6  # part of the weight of the probes of the item's lightest window that must agree
+NEAR = 0.8  # part of the weight of some window that must be near at the offset
 SLACK = 24  # words by which the offset may drift inside a passage
 GAP_ITEM, GAP_TEXT = 4, 30  # longest run of unmatched words between two matched ones
 SHARE = 0.86  # least part of a passage's words, and of their weight, that must match
@@ -34,25 +35,45 @@ MOST_ITEM_WORDS = 2_000_000  # words of all test items together that are sent to
 _fold = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "á": "a", "à": "a", "â": "a", "ã": "a", "å": "a",
                        "ç": "c", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "ì": "i", "î": "i", "ï": "i",
                        "ñ": "n", "ó": "o", "ò": "o", "ô": "o", "õ": "o", "ú": "u", "ù": "u", "û": "u", "œ": "oe",
-                       "æ": "ae", "ą": "a", "ć": "c", "ę": "e", "ł": "l", "ń": "n", "ś": "s", "ź": "z", "ż": "z",
-                       "'": " ", "’": " "} | dict.fromkeys(".,;:!?()[]{}\"„“”«»‚‘/\\|*_-–—…█■#", None))
-_odd = re.compile(r"[^\x00-ſ‐-›€▀-◿]|\xad|İ|ı").search
+                       "æ": "ae", "ą": "a", "ć": "c", "ę": "e", "ł": "l", "ń": "n", "ś": "s", "ź": "z", "ż": "z"}
+                      | dict.fromkeys("'’.,;:!?()[]{}\"„“”«»‚‘/\\|*_-–—…█■#", None))
 _broken = re.compile(r"[-‐¬\xad]\s*\n\s*(?=[a-zäöüß])").sub
 
 
-def words(text: str) -> list[str]:
-    """Folded words of a text: look-alike characters, case, accents and marks make no difference, words broken
-    across lines are joined."""
-    if "\n" in text:
+def fold(word: str) -> str:
+    """A word without what makes no difference: look-alike characters, case, accents and marks."""
+    if not word.isascii():
+        word = visible_form(word)
+    return word.lower().translate(_fold)
+
+
+def parts(text: str) -> list[str]:
+    """The words as they stand, those broken across lines joined."""
+    if "\n" in text and any(b in text for b in ("-\n", "¬\n", "\xad\n", "‐\n")):
         text = _broken("", text)
-    if _odd(text):
-        text = visible_form(text)
-    return text.lower().translate(_fold).split()
+    return text.split()
+
+
+class Numbers(dict):
+    """Word as it stands to its number among the items' words, 0 if it is none of them; filled on demand and
+    emptied at a bound."""
+
+    def __init__(self, vocab: dict[str, int], bound: int = 500_000):
+        self.vocab, self.bound = vocab, bound
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        got = self[word] = self.vocab.get(fold(word), 0)
+        return got
+
+    def __reduce__(self):
+        return Numbers, (self.vocab, self.bound)
 
 
 def _number(items: list[tuple[int, str]]) -> tuple[dict[str, int], dict[int, list[int]]]:
     """Words of the items to numbers from 1, in the order of the words; items to their words' numbers."""
-    split = {i: words(t) for i, t in items}
+    split = {i: [f for w in parts(t) if (f := fold(w))] for i, t in items}
     vocab = {w: k + 1 for k, w in enumerate(sorted({w for ws in split.values() for w in ws}))}
     return vocab, {i: [vocab[w] for w in ws] for i, ws in split.items()}
 
@@ -90,6 +111,19 @@ def chain(item: list[int], terms: np.ndarray, at: np.ndarray, weight: np.ndarray
     return span, top[2] / span, top[3] / (before[top[4] + 1] - before[top[1]])
 
 
+def _ragged(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.int32()))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every element."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int64)
+    return np.repeat(np.arange(len(lists)), np.diff(offsets)), values
+
+
 class Lists:
     """The probes of the items by term: item number, place in the item; and the weight that must agree."""
 
@@ -100,6 +134,7 @@ class Lists:
         self.item, self.place = p[:, 1], p[:, 2]
         self.start = np.searchsorted(p[:, 0], np.arange(len(idf) + 1))
         self.idf = idf
+        self.items = [np.array(items[i], dtype=np.int64) for i in self.ids.tolist()]
         self.least = np.zeros(len(self.ids))
         marked = {(i, k) for i, _, k in probes}
         for n, i in enumerate(self.ids.tolist()):
@@ -112,6 +147,7 @@ class Lists:
 
 def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[int]:
     """Items of which probes of enough weight have offsets in one bin; each hit counts in the two bins around it."""
+    terms, at = terms.astype(np.int64), at.astype(np.int64)
     first, n = lists.start[terms], lists.start[terms + 1] - lists.start[terms]
     total = int(n.sum())
     if not total:
@@ -128,7 +164,28 @@ def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[int]:
     hits = np.bincount(at_group)
     who = group // (1 << 28)
     ok = (hits >= np.minimum(HITS, np.bincount(lists.item, minlength=len(lists.ids))[who])) & (got >= lists.least[who])
-    return lists.ids[np.unique(who[ok])].tolist()
+    if not ok.any():
+        return []
+    # of these offsets, those at which a whole window of the item is near: each of its words is looked up in the
+    # text within the drift, in whatever order, so that no passage is lost
+    keys = np.sort(terms * (1 << 32) + at)
+    near = set()
+    for g in group[ok].tolist():
+        n, b = g >> 28, (g & ((1 << 28) - 1)) - 4096
+        if n in near:
+            continue
+        ws = lists.items[n]
+        low = ws * (1 << 32) + np.maximum(0, (b - 2) * SLACK + np.arange(len(ws)))
+        pos = np.searchsorted(keys, low)
+        hit = keys[np.minimum(pos, len(keys) - 1)] <= low + 4 * SLACK
+        hit &= (pos < len(keys)) & (keys[np.minimum(pos, len(keys) - 1)] >= low)
+        w = lists.idf[ws]
+        size = min(WINDOW, len(ws))
+        sums = np.concatenate([[[0.0, 0.0]], np.cumsum(np.stack([hit * w, w]), axis=1).T])
+        part = sums[size:] - sums[:-size]
+        if (part[:, 0] >= NEAR * part[:, 1]).any():
+            near.add(n)
+    return lists.ids[sorted(near)].tolist()
 
 
 def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
@@ -153,21 +210,25 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where(
         "d IS NOT NULL AND t IS NOT NULL")
 
+    def lists(batches):
+        get = Numbers(share_vocab.value).__getitem__
+        for b in batches:
+            ids = [np.fromiter(map(get, parts(t)), np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _ragged(ids)], names=["d", "x"])
+
+    read = written(texts.mapInArrow(lists, "d BIGINT, x ARRAY<INT>"))
+
     def counts(batches):
-        get, n = share_vocab.value.get, len(share_vocab.value) + 1
+        n = len(share_vocab.value) + 1
         total = np.zeros(n, dtype=np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = {get(w, 0) for w in words(t)}
-                ids.discard(0)
-                if ids:
-                    total[np.fromiter(ids, np.int64, len(ids))] += 1
-            total[0] += b.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
+            row, x = _flat(b.column(0))
+            total += np.bincount(np.unique(row * n + x) % n, minlength=n)
+            total[0] += b.num_rows - np.count_nonzero(np.bincount(row[x == 0], minlength=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total)], names=["term", "n"])
 
     df = np.zeros(len(vocab) + 1)
-    for r in texts.select("t").mapInArrow(counts, "term INT, n BIGINT").groupBy("term").agg(F.sum("n")).collect():
+    for r in read.select("x").mapInArrow(counts, "term INT, n BIGINT").groupBy("term").agg(F.sum("n")).collect():
         df[r[0]] = r[1]  # a number for each word of the items, whatever the texts are
     idf = np.log((df[0] + 1) / (df + 1)) + 0.3
     probes: list[tuple[int, int, int]] = []
@@ -182,27 +243,31 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     share_rare = spark.sparkContext.broadcast(rare)
 
     def postings(batches):
-        get, rare = share_vocab.value.get, share_rare.value
+        rare = share_rare.value
         for b in batches:
+            row, x = _flat(b.column(1))
+            hits = np.bincount(row, rare[x], minlength=b.num_rows)
             ids, terms, places = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.array([get(w, 0) for w in words(t)], dtype=np.int32)
-                if np.count_nonzero(rare[x]) >= HITS:
-                    at = np.flatnonzero(x)
-                    ids.append(d)
-                    terms.append(x[at])
-                    places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(terms, pa.list_(pa.int32())),
-                 pa.array(places, pa.list_(pa.int32()))], names=["d", "terms", "places"])
-
-    index = written(texts.mapInArrow(postings, "d BIGINT, terms ARRAY<INT>, places ARRAY<INT>"))
+            start = np.searchsorted(row, np.arange(b.num_rows + 1))
+            for k in np.flatnonzero(hits >= HITS):
+                y = x[start[k]:start[k + 1]]
+                at = np.flatnonzero(y)
+                ids.append(b.column(0)[k].as_py())
+                terms.append(y[at].astype(np.int32))
+                places.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _ragged(terms), _ragged(places)], names=["d", "terms", "places"])
+
+    index = written(read.mapInArrow(postings, "d BIGINT, terms ARRAY<INT>, places ARRAY<INT>"))
+
     def match(batches):
         lists = share_lists.value
         for b in batches:
             out = defaultdict(list)
-            for d, terms, at in zip(*(b.column(k).to_pylist() for k in range(3))):
-                terms, at = np.array(terms), np.array(at)
+            row, terms_of = _flat(b.column(1))
+            places_of = _flat(b.column(2))[1]
+            start = np.searchsorted(row, np.arange(b.num_rows + 1))
+            for k, d in enumerate(b.column(0).to_pylist()):
+                terms, at = terms_of[start[k]:start[k + 1]], places_of[start[k]:start[k + 1]]
                 for i in agreeing(lists, terms, at):
                     span, part, weight = chain(share_items.value[i], terms, at, share_idf.value)
                     if span >= min(WINDOW, len(share_items.value[i])) and min(part, weight) >= share:
