@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, language, leakage, lookalike, sentences, truncation
+from pagewright.llm import bpe, language, leakage, lookalike, personal, sentences, truncation
 from pagewright.sources import table
 
 
@@ -13,6 +13,23 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "subsections").select("sub_id", "source", "content").distinct()
 
 
+def _free_text(spark: SparkSession, d: str) -> DataFrame:
+    parties = table(spark, d, "parties").select("party_id", "name", "details").distinct()
+    subs = table(spark, d, "subsections").select("sub_id", "content").distinct()
+    one = lambda df, field, key, col: df.select(F.lit(field).alias("field"), F.col(key).alias("row_id"), F.col(col).alias("text"))
+    return (one(subs, "subsections.content", "sub_id", "content").unionByName(one(parties, "parties.name", "party_id", "name"))
+            .unionByName(one(parties, "parties.details", "party_id", "details")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(_free_text(spark, d), personal.learn(table(spark, d, "parties"), "name")).distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders."""
+    return personal.redacted(_free_text(spark, d), personal.learn(table(spark, d, "parties"), "name"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalike.same_look_pairs(table(spark, d, "subsections"), "sub_id", "content")
     return pairs.select(F.col("id_a").alias("sub_id_a"), F.col("id_b").alias("sub_id_b"))
@@ -95,7 +112,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
+    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
                                     p8_segments)}
 
 
