@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, language, leakage, lookalike, personal, sentences, truncation
+from pagewright.llm import bpe, language, leakage, lookalike, personal, scans, sentences, truncation
 from pagewright.sources import table
 
 
@@ -30,6 +30,15 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(_free_text(spark, d), personal.learn(table(spark, d, "parties"), "name"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "subsections"), "sub_id", "content").select(F.col("id").alias("sub_id"), "kind")
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as running paragraphs."""
+    return scans.repaired(table(spark, d, "subsections"), "sub_id", "content").select(F.col("id").alias("sub_id"), "text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalike.same_look_pairs(table(spark, d, "subsections"), "sub_id", "content")
     return pairs.select(F.col("id_a").alias("sub_id_a"), F.col("id_b").alias("sub_id_b"))
@@ -112,7 +121,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
                                     p8_segments)}
 
 
