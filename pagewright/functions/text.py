@@ -9,7 +9,7 @@ TOC = "inhaltsverzeichnis"
 
 def trim(c: Column) -> Column:
     """Without spaces of any kind and tabs at both ends; line breaks stay."""
-    return F.regexp_replace(c, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")
+    return F.regexp_replace(c, r"^[\p{Zs}\t]+|[\p{Zs}\t]+\z", "")
 
 
 def blank(c: Column) -> Column:

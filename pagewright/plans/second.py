@@ -1,3 +1,277 @@
-QUERIES = {}
-SQL = {}
-def score_report(s, d): ...
+"""Queries of structure, score, rendering, decoding and history, with their SQL."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as T
+from pagewright.operators import clauses, decode, history, pages, render, score, structure
+from pagewright.plans.oracle import CLEAN, IDS, fold, letters, trim
+from pagewright.sources import table
+
+LINES = 3  # sections of a part in the merge query
+
+
+def _page(s, d):
+    return table(s, d, "page")
+
+
+def _sections(s, d):
+    return table(s, d, "sections").select("doc_id", "sec_pos", "id", "title").distinct()
+
+
+def _subs(s, d):
+    return table(s, d, "subsections").select("sub_id", "doc_id", "sec_pos", "sub_pos", "id", "content").distinct()
+
+
+def score_report(s: SparkSession, d: str) -> DataFrame:
+    """One row for each document with clause ids: what the sections cover of the pages, in ids and in long words, and how
+    the labels stand."""
+    src, lab = clauses.source_ids(_page(s, d)), clauses.label_ids(_sections(s, d), _subs(s, d))
+    cov = score.coverage(src, lab)
+    words = score.long_words(score.source_text(_page(s, d)), "doc_id", "text")
+    have = score.long_words(_subs(s, d).where("content IS NOT NULL"), "doc_id", "content")
+    total = words.groupBy("doc_id").agg(F.count("*").alias("n_words"))
+    kept = words.join(have, ["doc_id", "word"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_recalled"))
+    dup = score.duplicate_labels(_subs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_duplicates"))
+    flip = score.order_flips(_subs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_flips"))
+    out = cov
+    for df in (total, kept, dup, flip):
+        out = out.join(df, "doc_id", "left")
+    out = out.na.fill(0, ["n_words", "n_recalled", "n_duplicates", "n_flips"])
+    return out.withColumn("recall", F.round(100.0 * F.col("n_recalled") / F.greatest(F.lit(1), F.col("n_words")), 6))
+
+
+def score_missing_words(s, d):
+    words = score.long_words(score.source_text(_page(s, d)), "doc_id", "text")
+    have = score.long_words(_subs(s, d).where("content IS NOT NULL"), "doc_id", "content")
+    return words.join(have, ["doc_id", "word"], "left_anti")
+
+
+def merge_answer_scalars(s, d):
+    m = structure.merge_scalars(table(s, d, "answer"), "answer_id", ("title", "reference", "date", "notary"), ("annotations",))
+    return m.withColumn("annotations", F.array_join("annotations", "|"))
+
+
+def merge_sections(s, d):
+    sec = _sections(s, d).select("doc_id", F.expr(f"sec_pos div {LINES}").alias("part"), F.expr(f"sec_pos % {LINES}").alias("sec"), "id", "title")
+    return structure.merge_sections(sec)
+
+
+def _markdown(s, d):
+    return render.sections_markdown(_sections(s, d), _subs(s, d))
+
+
+def markdown_labels(s, d):
+    return score.markdown_labels(_markdown(s, d), "doc_id", "markdown").select("doc_id", "sec", "line_no", "label", "content")
+
+
+def _answers(s, d):
+    return table(s, d, "answer").select("answer_id", F.col("_markdown").alias("md")).where("md IS NOT NULL")
+
+
+def completeness_guard(s, d):
+    total = pages.content_pages(_page(s, d)).groupBy("doc_id").agg(F.sum(F.length("text")).alias("total"))
+    md = _markdown(s, d).select("doc_id", F.length("markdown").cast("bigint").alias("rendered"))
+    j = total.join(md, "doc_id", "left").na.fill(0, ["rendered"])
+    return j.withColumn("rejected", F.expr("rendered < (total * 2) div 5")).withColumn("second_most", F.expr("least(80000, total div 2)"))
+
+
+def label_text(s, d):
+    lab = _sections(s, d).select("doc_id", "sec_pos", F.lit(-1).alias("sub_pos"), "id").unionByName(_subs(s, d).select("doc_id", "sec_pos", "sub_pos", "id"))
+    lab = lab.select("doc_id", "sec_pos", "sub_pos", T.norm_id(F.col("id")).alias("s")).where("s <> ''")
+    return lab.groupBy("doc_id").agg(pages.joined(F.collect_list(F.struct("sec_pos", "sub_pos", "s")), "\n").alias("labels"))
+
+
+def outcome_chat(s, d):
+    """Bodies made of answers: some with errors or cut ends."""
+    body = F.to_json(F.struct(F.when(F.col("answer_id") % 11 == 0, F.struct(F.when(F.col("answer_id") % 2 == 0, 429).otherwise(400).alias("code"), F.lit("no").alias("message"))).alias("error"),
+                              F.array(F.struct(F.when(F.col("answer_id") % 7 == 0, "length").otherwise("stop").alias("finish_reason"),
+                                               F.struct(F.col("title").alias("content")).alias("message"))).alias("choices")))
+    df = table(s, d, "answer").select("answer_id", "title", body.alias("body"))
+    return decode.chat_outcome(df, "body").select("answer_id", "kind", F.coalesce("code", F.lit(-1)).alias("code"), "content", "transient")
+
+
+def outcome_candidates(s, d):
+    reason = F.when(F.col("answer_id") % 5 == 0, "MAX_TOKENS").when(F.col("answer_id") % 13 == 0, "SAFETY").otherwise("STOP")
+    body = F.to_json(F.struct(F.array(F.struct(reason.alias("finishReason"), F.struct(F.array(F.struct(F.col("title").alias("text")), F.struct(F.col("reference").alias("text"))).alias("parts"))
+                                               .alias("content"))).alias("candidates")))
+    df = table(s, d, "answer").select("answer_id", body.alias("body"))
+    return decode.candidate_outcome(df, "body").select("answer_id", "kind", "content")
+
+
+def parse_json_ladder(s, d):
+    js = F.to_json(F.struct("title", "reference", "date", "notary"))
+    k = F.col("answer_id") % 5
+    raw = (F.when(k == 0, js).when(k == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).when(k == 2, F.replace(js, F.lit('","'), F.lit(' \n","')))
+           .when(k == 3, F.concat(F.lit("Here it is: "), js, F.lit(" Done."))).otherwise(F.lit("no object")))
+    return decode.parse_ladder(table(s, d, "answer").select("answer_id", "title", raw.alias("reply")), "reply").select("answer_id", "rung", F.col("answer.title").alias("title"))
+
+
+def text_fold(s, d):
+    c = _subs(s, d).where("content IS NOT NULL")
+    return c.select("sub_id", F.md5(T.fold(F.col("content"))).alias("fold_md5"), T.fingerprint(F.col("content"), 32, 12).alias("fingerprint"),
+                    T.norm_id(F.col("id")).alias("norm_id"), F.array_join(T.comps(F.col("id")).cast("array<string>"), ".").alias("numeric"))
+
+
+def id_kinds(s, d):
+    i = F.trim(F.coalesce("id", F.lit("")))
+    return _subs(s, d).select("sub_id", F.regexp_replace(i, r"\.+$", "").rlike(structure.LETTER).alias("letter"), i.rlike(r"^\(|^[a-z]{1,2}$").alias("enumerator"),
+                              F.split_part(T.norm_id(F.col("id")), F.lit("."), F.lit(1)).alias("family"))
+
+
+def heading_candidates(s, d):
+    t = pages.lines(_page(s, d)).withColumn("t", T.trim(F.col("line"))).where(T.letters(F.col("t")) >= 4)
+    return t.where(structure.heading_like(F.col("t"))).select("doc_id", "pos", "line_no", F.col("t").alias("heading"))
+
+
+def retry_schedule(s, d):
+    e = table(s, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("attempt"),
+                                     F.when(F.col("event_id") % 17 == 0, 429).otherwise(500).alias("code"))
+    return history.retry_schedule(e.withColumnRenamed("user_id", "key"))
+
+
+def reflow_text(s, d):
+    return pages.content_pages(_page(s, d)).select("doc_id", "pos", F.md5(T.reflow(F.col("text"))).alias("reflow_md5"))
+
+
+QUERIES = {
+    "score_report": score_report, "score_missing_words": score_missing_words,
+    "score_duplicate_labels": lambda s, d: score.duplicate_labels(_subs(s, d)), "score_order_flips": lambda s, d: score.order_flips(_subs(s, d)),
+    "numbering_blocks": lambda s, d: structure.blocks(_subs(s, d)), "family_segments": lambda s, d: structure.families(_subs(s, d)),
+    "numbering_restarts": lambda s, d: structure.restarts(_subs(s, d)), "demote_letter_sections": lambda s, d: structure.demote_letters(_sections(s, d), _subs(s, d)),
+    "dedupe_enumerations": lambda s, d: structure.duplicated_items(_subs(s, d)), "merge_answer_scalars": merge_answer_scalars, "merge_sections": merge_sections,
+    "enumeration_items": lambda s, d: structure.items(_page(s, d)), "item_presence": lambda s, d: structure.item_hits(structure.items(_page(s, d)), _subs(s, d)),
+    "item_insertion_target": lambda s, d: structure.insertion_targets(structure.items(_page(s, d)), _subs(s, d)),
+    "front_matter_sections": lambda s, d: structure.front_matter(_sections(s, d)), "front_matter_missing": lambda s, d: structure.front_matter_missing(_page(s, d), _subs(s, d)),
+    "heading_candidates": heading_candidates, "heading_above_line": lambda s, d: structure.heading_above(_page(s, d)),
+    "render_markdown": _markdown, "markdown_labels": markdown_labels, "preview_classify": lambda s, d: render.classify_lines(_answers(s, d), "answer_id", "md"),
+    "completeness_guard": completeness_guard, "label_text": label_text, "outcome_chat": outcome_chat, "outcome_candidates": outcome_candidates, "parse_json_ladder": parse_json_ladder,
+    "text_fold_fingerprint": text_fold, "enumerator_ids": id_kinds, "history_newest": lambda s, d: history.newest(table(s, d, "history")).select("name", "output_path", F.unix_timestamp("ts").alias("epoch_s"), "warning"),
+    "history_unqueued": lambda s, d: history.unqueued(table(s, d, "history"), table(s, d, "history").where("warning IS NOT NULL")),
+    "path_parts": lambda s, d: history.path_parts(table(s, d, "history").select("output_path").distinct(), "output_path"), "retry_schedule": retry_schedule, "reflow_text": reflow_text,
+}
+
+SUB = "sub AS (SELECT DISTINCT sub_id, doc_id, sec_pos, sub_pos, id, content FROM subsections),\nsec AS (SELECT DISTINCT doc_id, sec_pos, id, title FROM sections)"
+NORM = r"regexp_replace(coalesce({0}, ''), '^[ .]+|[ .]+$', '', 'g')"
+COMPS = r"(CASE WHEN len(list_filter(string_split({0}, '.'), lambda x: x <> '')) > 0 AND len(list_filter(string_split({0}, '.'), lambda x: x <> '' AND NOT regexp_matches(x, '^[+]?[0-9]{{1,9}}$'))) = 0 THEN list_transform(list_filter(string_split({0}, '.'), lambda x: x <> ''), lambda x: CAST(x AS INT)) END)".format(NORM.format("id"))
+DEHYPH = r"regexp_replace(replace(replace({0}, chr(173) || chr(10), ''), chr(173), ''), '([a-zäöüß])-\s*\n\s*([a-zäöüß])', '\1\2', 'g')"
+WORDS = "SELECT DISTINCT doc_id, lower(w) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({0}, '[A-Za-zÄÖÜäöüß]{{12,}}')) AS w FROM {1})"
+DUP = f"SELECT doc_id, sec_pos, label, count(*) AS n FROM (SELECT doc_id, sec_pos, {NORM.format('id')} AS label FROM sub) WHERE regexp_matches(label, '^[0-9]+(\\.[0-9]+)*$') GROUP BY 1, 2, 3 HAVING count(*) > 1"
+FLIP = rf"""SELECT doc_id, sec_pos, sub_pos, label, before FROM (SELECT *, lag(label) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS before FROM
+  (SELECT doc_id, sec_pos, sub_pos, {NORM.format('id')} AS label FROM sub) WHERE regexp_matches(label, '^[0-9]+(\.[0-9]+)*$'))
+  WHERE regexp_replace(label, '[0-9]+$', '') = regexp_replace(before, '[0-9]+$', '') AND TRY_CAST(regexp_extract(label, '([0-9]+)$', 1) AS BIGINT) < TRY_CAST(regexp_extract(before, '([0-9]+)$', 1) AS BIGINT)"""
+WORD_CTES = f"""{IDS}, {SUB},
+txt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM cp GROUP BY 1),
+sw AS ({WORDS.format(DEHYPH.format('text'), 'txt')}), aw AS ({WORDS.format(DEHYPH.format('content'), 'sub')})"""
+
+
+def islands(flag: str) -> str:
+    return f"""WITH {SUB}, s AS (SELECT doc_id, sec_pos, sub_pos, {COMPS} AS c FROM sub),
+a AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
+b AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN p IS NOT NULL AND {flag} THEN 1 ELSE 0 END AS f FROM a),
+g AS (SELECT *, first_value(f IGNORE NULLS) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nf,
+  lag(c) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS lc, row_number() OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS i FROM b)
+SELECT doc_id, sec_pos, sub_pos, CAST(sum(CASE WHEN nf = 1 AND (i = 1 OR lc IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS BIGINT) AS block FROM g"""
+
+
+REFLOW = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\p{{Zs}}\t]*\n[\s\p{{Zs}}]*', chr(10), 'g'), '(\p{{Ll}})-\n(\p{{Ll}})', '\1\2', 'g'), '\n+', ' ', 'g'), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g')"
+ITEMS = CLEAN + rf""", {SUB},
+l0 AS (SELECT *, regexp_extract(line, '^([a-z]{{1,2}}\.|\((?:[ivxlcdm]+|[a-z]{{1,2}}|[0-9]{{1,2}})\))(\s)', 1) AS tk FROM ln WHERE regexp_matches(line, '[^\s\p{{Z}}]')),
+l1 AS (SELECT *, {trim('substr(line, length(tk) + 1)')} AS tail FROM l0),
+l2 AS (SELECT *, CASE WHEN tk <> '' AND length(tail) >= 8 THEN tk END AS token FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN token IS NOT NULL OR regexp_matches({trim('line')}, '^[0-9]{{1,2}}(\.[0-9]{{1,2}})*\.?(\s|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY line_no) AS grp FROM l2),
+i0 AS (SELECT doc_id, pos, grp, min(line_no) AS line_no, max(token) AS token, string_agg(CASE WHEN token IS NOT NULL THEN tail ELSE line END, chr(10) ORDER BY line_no) AS raw FROM l3 GROUP BY 1, 2, 3),
+i1 AS (SELECT doc_id, pos, CAST(line_no AS INT) AS line_no, token, regexp_replace(token, '^\(|[.)]$', '', 'g') AS id, {REFLOW.format('raw')} AS text FROM i0 WHERE token IS NOT NULL),
+i2 AS (SELECT *, CASE WHEN length({fold('text')}) >= 12 THEN substr({fold('text')}, 1, 32) END AS key FROM i1),
+items AS (SELECT * FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos, line_no) AS anchor FROM i2) WHERE key IS NOT NULL),
+sf AS (SELECT doc_id, sec_pos, sub_pos, {NORM.format('lower(id)')} AS sid, {fold('content')} AS n FROM sub),
+hits AS (SELECT i.doc_id, i.pos, i.line_no, s.sec_pos, s.sub_pos, regexp_replace(s.sid, '[()]', '', 'g') = lower(i.id) AS same_id FROM items i JOIN sf s ON s.doc_id = i.doc_id AND contains(s.n, i.key))"""
+HEAD_I = r"regexp_replace(trim(coalesce(id, '')), '\.+$', '')"
+MD = SUB + rf""",
+h0 AS (SELECT doc_id, sec_pos, {HEAD_I} AS i, trim(coalesce(title, '')) AS t FROM sec),
+h1 AS (SELECT DISTINCT doc_id, sec_pos, i, CASE WHEN i <> '' AND starts_with(t, i) AND substr(t, length(i) + 1, 1) IN ('', ' ', '.') THEN trim(regexp_replace(substr(t, length(i) + 1), '^\.+', '')) ELSE t END AS t FROM h0),
+h AS (SELECT doc_id, sec_pos, trim(concat_ws(' ', nullif(i, ''), nullif(t, ''))) AS h FROM h1),
+b0 AS (SELECT s.*, h.h, {NORM.format('id')} AS i, replace({trim("coalesce(content, '')")}, '- , ', '-, ') AS body FROM sub s JOIN h USING (doc_id, sec_pos)),
+rows_ AS (SELECT doc_id, sec_pos, -1 AS sub_pos, '## ' || h AS s FROM h WHERE h <> ''
+  UNION ALL SELECT doc_id, sec_pos, sub_pos, s FROM (SELECT *, CASE WHEN h = '' THEN regexp_replace(body, '(?s)^(\p{{Lu}}[^:.\n]{{1,39}}):[\s]*(.*)$', '**\1:** \2') WHEN i = '' OR regexp_matches(i, '^\p{{L}}{{3,}}') THEN body
+    ELSE '**' || i || '.** ' || body END AS s FROM b0) WHERE s <> ''),
+md AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY sec_pos, sub_pos, s) AS markdown FROM rows_ GROUP BY 1)"""
+LIKE = r"(length({0}) <= 80 AND NOT regexp_matches({0}, '[,;]') AND regexp_matches({0}, '^[^\p{{L}}]*\p{{Lu}}') AND NOT regexp_matches({0}, '[.,;:–—-]$') AND NOT regexp_matches({0}, '^[0-9]{{1,2}}(\.[0-9]{{1,2}})+'))"
+
+SQL = {
+    "score_report": f"""WITH {WORD_CTES}, dup AS ({DUP}), flip AS ({FLIP}),
+cov AS (SELECT doc_id, count(*) AS n_source, count(*) FILTER ((doc_id, id) IN (SELECT doc_id, id FROM lab)) AS n_covered FROM src GROUP BY 1),
+w AS (SELECT s.doc_id, count(*) AS n_words, count(a.word) AS n_recalled FROM sw s LEFT JOIN aw a USING (doc_id, word) GROUP BY 1)
+SELECT c.doc_id, n_source, n_covered, round(100.0 * n_covered / greatest(1, n_source), 6) AS coverage, coalesce(n_words, 0) AS n_words, coalesce(n_recalled, 0) AS n_recalled,
+  coalesce(d.n, 0) AS n_duplicates, coalesce(f.n, 0) AS n_flips, round(100.0 * coalesce(n_recalled, 0) / greatest(1, coalesce(n_words, 0)), 6) AS recall
+FROM cov c LEFT JOIN w USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM dup GROUP BY 1) d USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM flip GROUP BY 1) f USING (doc_id)""",
+    "score_missing_words": f"WITH {WORD_CTES} SELECT doc_id, word FROM sw WHERE (doc_id, word) NOT IN (SELECT doc_id, word FROM aw)",
+    "score_duplicate_labels": f"WITH {SUB} {DUP}", "score_order_flips": f"WITH {SUB} {FLIP}",
+    "numbering_blocks": islands("NOT (p < c)"), "family_segments": islands("p[1] <> c[1]"),
+    "numbering_restarts": f"""WITH {SUB}, s AS (SELECT doc_id, sec_pos, sub_pos, {COMPS} AS c FROM sub),
+a AS (SELECT *, lag(c) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS p FROM s WHERE c IS NOT NULL),
+b AS (SELECT *, coalesce(p IS NOT NULL AND NOT (p < c) AND c = [1], false) AS re FROM a),
+g AS (SELECT *, sum(CAST(re AS INT)) OVER (PARTITION BY doc_id, sec_pos ORDER BY sub_pos) AS scope FROM b)
+SELECT doc_id, sec_pos, min(sub_pos) AS sub_pos, count(*) AS n_ids FROM g GROUP BY doc_id, sec_pos, scope HAVING scope > 0 AND count(*) >= 2 AND bool_and(re OR p < c)""",
+    "demote_letter_sections": rf"""WITH {SUB}, x AS (SELECT DISTINCT doc_id, sec_pos, regexp_matches({HEAD_I}, '^\p{{Ll}}$') AS letter FROM sec),
+y AS (SELECT doc_id, sec_pos, bool_or(regexp_matches({HEAD_I}, '^\p{{Ll}}$')) AS lettered FROM sub GROUP BY 1, 2),
+z AS (SELECT *, last_value(CASE WHEN NOT letter THEN sec_pos END IGNORE NULLS) OVER w AS head, last_value(CASE WHEN NOT letter THEN coalesce(lettered, false) END IGNORE NULLS) OVER w AS ok
+  FROM x LEFT JOIN y USING (doc_id, sec_pos) WINDOW w AS (PARTITION BY doc_id ORDER BY sec_pos))
+SELECT doc_id, sec_pos, head AS into FROM z WHERE letter AND ok""",
+    "dedupe_enumerations": rf"""WITH {SUB}, n AS (SELECT doc_id, sec_pos, sub_pos, coalesce(id, '') AS id, {fold("coalesce(content, '')")} AS n FROM sub)
+SELECT DISTINCT a.doc_id, a.sec_pos, a.sub_pos FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.sec_pos = b.sec_pos AND b.sub_pos < a.sub_pos AND contains(b.n, a.n)
+WHERE regexp_matches(a.id, '^\(|^[a-z]{{1,2}}$') AND length(a.n) >= 12""",
+    "merge_answer_scalars": "SELECT doc_id, " + ", ".join(f"arg_min({c}, answer_id) FILTER (regexp_matches({c}, '[^\\s\\p{{Z}}]')) AS {c}" for c in ("title", "reference", "date", "notary"))
+    + ", array_to_string(flatten(list(coalesce(annotations, []) ORDER BY answer_id)), '|') AS annotations FROM answer GROUP BY 1",
+    "merge_sections": f"""WITH {SUB}, m AS (SELECT doc_id, CAST(sec_pos // {LINES} AS BIGINT) AS part, sec_pos % {LINES} AS sec, trim(coalesce(id, '')) AS id, trim(coalesce(title, '')) AS t FROM sec),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, sec) AS rn, (part > 0 AND sec = 0 AND id = '' AND t = '') AS hc FROM m),
+b AS (SELECT *, last_value(CASE WHEN NOT hc OR rn = 1 THEN id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lid FROM a)
+SELECT doc_id, part, sec, CAST(sum(CASE WHEN rn = 1 OR hc THEN 0 WHEN id <> '' AND id = lid THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY rn) AS BIGINT) AS out_section FROM b""",
+    "enumeration_items": f"WITH {ITEMS} SELECT doc_id, pos, line_no, token, id, text, key, anchor FROM items",
+    "item_presence": f"WITH {ITEMS} SELECT * FROM hits",
+    "item_insertion_target": f"""WITH {ITEMS},
+lost AS (SELECT * FROM items WHERE anchor IS NOT NULL AND (doc_id, pos, line_no) NOT IN (SELECT doc_id, pos, line_no FROM hits)),
+at_ AS (SELECT l.doc_id, l.pos, l.line_no, lower(l.id) AS sid, s.sec_pos, s.sub_pos FROM lost l JOIN sf s ON s.doc_id = l.doc_id AND contains(s.n, l.anchor)),
+free AS (SELECT * FROM at_ a WHERE NOT EXISTS (SELECT 1 FROM sf s WHERE s.doc_id = a.doc_id AND s.sec_pos = a.sec_pos AND regexp_replace(s.sid, '[()]', '', 'g') = a.sid))
+SELECT doc_id, pos, line_no, sec_pos, sub_pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, line_no ORDER BY sec_pos DESC, sub_pos DESC) AS rn FROM free) WHERE rn = 1""",
+    "front_matter_sections": r"SELECT DISTINCT doc_id, sec_pos FROM sections WHERE NOT regexp_matches(coalesce(id, ''), '[^\s\p{Z}]') AND NOT regexp_matches(coalesce(title, ''), '[^\s\p{Z}]')",
+    "front_matter_missing": f"""WITH {CLEAN}, {SUB}, fp AS (SELECT *, min(pos) OVER (PARTITION BY doc_id) AS f FROM ln),
+k AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line, substr({fold('line')}, 1, 64) AS key FROM fp WHERE pos = f AND length({fold('line')}) >= 24),
+n AS (SELECT doc_id, {fold("coalesce(content, '')")} AS n FROM sub)
+SELECT doc_id, line_no, line FROM k WHERE EXISTS (SELECT 1 FROM n WHERE n.doc_id = k.doc_id) AND NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = k.doc_id AND contains(n.n, k.key))""",
+    "heading_candidates": f"WITH {CLEAN}, t AS (SELECT doc_id, pos, CAST(line_no AS INT) AS line_no, {trim('line')} AS t FROM ln) SELECT doc_id, pos, line_no, t AS heading FROM t WHERE {letters('t')} >= 4 AND {LIKE.format('t')}",
+    "heading_above_line": rf"""WITH {CLEAN}, t AS (SELECT doc_id, pos, CAST(line_no AS INT) AS line_no, {trim('line')} AS t FROM ln),
+a AS (SELECT *, last_value(CASE WHEN {letters('t')} >= 4 THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM t)
+SELECT doc_id, pos, line_no, above, {LIKE.format('above')} AS heading_like FROM a WHERE above IS NOT NULL AND regexp_matches(t, '^[0-9]{{1,2}}(\.[0-9]{{1,2}})*\.?(\s|$)')""",
+    "render_markdown": f"WITH {MD} SELECT doc_id, markdown FROM md",
+    "markdown_labels": rf"""WITH {MD}, l AS (SELECT doc_id, unnest(range(len(string_split(markdown, chr(10))))) AS line_no, unnest(string_split(markdown, chr(10))) AS line FROM md),
+s AS (SELECT *, count(*) FILTER (starts_with(line, '## ')) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM l)
+SELECT doc_id, sec, CAST(line_no AS INT) AS line_no, regexp_extract(line, '^\*\*([^*]+?)\.?\*\*\s+(.*)$', 1) AS label, regexp_extract(line, '^\*\*([^*]+?)\.?\*\*\s+(.*)$', 2) AS content
+FROM s WHERE regexp_matches(line, '^\*\*([^*]+?)\.?\*\*\s+(.*)$')""",
+    "preview_classify": rf"""WITH l0 AS (SELECT answer_id, string_split(substr(_markdown, 1, 60000), chr(10)) AS a FROM answer WHERE _markdown IS NOT NULL),
+l AS (SELECT answer_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM l0), m AS (SELECT answer_id, CAST(line_no AS INT) AS line_no, {trim('line')} AS t FROM l WHERE line_no < 600),
+f AS (SELECT *, coalesce(sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY answer_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM m),
+k AS (SELECT *, CASE WHEN starts_with(t, '```') THEN 'fence' WHEN inside THEN 'code' WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(-{{3,}}|\*{{3,}}|_{{3,}})$') THEN 'rule' WHEN starts_with(t, '|') THEN 'table'
+  WHEN regexp_matches(t, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)] ') THEN 'ordered' WHEN regexp_matches(t, '^[-*+] ') THEN 'bullet' WHEN starts_with(t, '>') THEN 'quote' ELSE 'text' END AS kind FROM f)
+SELECT answer_id, line_no, kind, CAST(CASE WHEN kind = 'heading' THEN length(regexp_extract(t, '^(#+)', 1)) ELSE 0 END AS INT) AS level FROM k""",
+    "completeness_guard": f"""WITH {CLEAN}, {MD}, t AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS total FROM cp GROUP BY 1)
+SELECT doc_id, total, coalesce(length(markdown), 0) AS rendered, coalesce(length(markdown), 0) < (total * 2) // 5 AS rejected, least(80000, total // 2) AS second_most FROM t LEFT JOIN md USING (doc_id)""",
+    "label_text": f"""WITH {SUB}, l AS (SELECT doc_id, sec_pos, -1 AS sub_pos, {NORM.format('id')} AS s FROM sec UNION ALL SELECT doc_id, sec_pos, sub_pos, {NORM.format('id')} FROM sub)
+SELECT doc_id, string_agg(s, chr(10) ORDER BY sec_pos, sub_pos, s) AS labels FROM l WHERE s <> '' GROUP BY 1""",
+    "outcome_chat": """SELECT answer_id, CASE WHEN answer_id % 11 = 0 THEN 'providerError' WHEN answer_id % 7 = 0 THEN 'truncated' WHEN trim(coalesce(title, '')) = '' THEN 'empty' ELSE 'success' END AS kind,
+CASE WHEN answer_id % 11 = 0 THEN CASE WHEN answer_id % 2 = 0 THEN 429 ELSE 400 END ELSE -1 END AS code, CASE WHEN answer_id % 11 = 0 THEN NULL WHEN answer_id % 7 = 0 OR trim(coalesce(title, '')) <> '' THEN title END AS content,
+CASE WHEN answer_id % 11 = 0 THEN answer_id % 2 = 0 ELSE false END AS transient FROM answer""",
+    "outcome_candidates": """SELECT answer_id, CASE WHEN answer_id % 5 = 0 THEN 'truncated' WHEN answer_id % 13 = 0 THEN 'providerError' WHEN trim(t) = '' THEN 'empty' ELSE 'success' END AS kind,
+CASE WHEN answer_id % 5 = 0 OR (answer_id % 13 <> 0 AND trim(t) <> '') THEN t END AS content FROM (SELECT answer_id, coalesce(title, '') || coalesce(reference, '') AS t FROM answer)""",
+    "text_fold_fingerprint": f"""WITH {SUB} SELECT sub_id, md5({fold('content')}) AS fold_md5, CASE WHEN length({fold('content')}) >= 12 THEN substr({fold('content')}, 1, 32) END AS fingerprint,
+{NORM.format('id')} AS norm_id, array_to_string({COMPS}, '.') AS numeric FROM sub WHERE content IS NOT NULL""",
+    "enumerator_ids": rf"""WITH {SUB} SELECT sub_id, regexp_matches({HEAD_I}, '^\p{{Ll}}$') AS letter, regexp_matches(trim(coalesce(id, '')), '^\(|^[a-z]{{1,2}}$') AS enumerator, split_part({NORM.format('id')}, '.', 1) AS family FROM sub""",
+    "history_newest": "SELECT name, output_path, CAST(epoch(ts) AS BIGINT) AS epoch_s, warning FROM (SELECT *, row_number() OVER (PARTITION BY output_path ORDER BY ts DESC, name DESC, warning DESC NULLS LAST) AS rn FROM history) WHERE rn = 1 ORDER BY ts DESC, output_path LIMIT 8",
+    "history_unqueued": "SELECT DISTINCT output_path FROM history WHERE output_path NOT IN (SELECT output_path FROM history WHERE warning IS NOT NULL AND output_path IS NOT NULL)",
+    "path_parts": r"""WITH p AS (SELECT DISTINCT output_path, regexp_extract(output_path, '([^/]*)$', 1) AS filename FROM history)
+SELECT output_path, filename, regexp_replace(filename, '\.[^./]+$', '') AS stem, lower(regexp_extract(filename, '\.([^./]+)$', 1)) AS extension, lower(regexp_extract(filename, '\.([^./]+)$', 1)) = 'pdf' AS is_pdf FROM p""",
+    "retry_schedule": """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, CASE WHEN event_id % 17 = 0 THEN 429 ELSE 500 END AS code FROM events)
+SELECT key, CAST(attempt AS INT) AS attempt, CAST((CASE WHEN max(CASE WHEN code = 429 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY attempt) = 1 THEN 15 ELSE 3 END) * attempt AS BIGINT) AS delay_s FROM e""",
+    "reflow_text": f"WITH {CLEAN} SELECT doc_id, pos, md5({REFLOW.format('text')}) AS reflow_md5 FROM cp",
+}
