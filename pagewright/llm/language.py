@@ -31,8 +31,9 @@ SENTENCES = 2  # full sentences that make a language present
 
 LANGS = [x for f in FAMILIES.values() for x in f]
 PAIRS = [(f, a, b) for f, ls in FAMILIES.items() for a, b in combinations(ls, 2)]
-_cut = re.compile(r"\n+|(?<=[^\W\d_]{3}[.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[^\W\d_]{3}[.!?][)\"“”»«])\s+(?=[^\W\d_a-zà-ÿ])"
-                  r"|(?<=\d{3}[.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[)][.!?])\s+(?=[^\W\d_a-zà-ÿ])|(?<=[?!…])\s+(?=[¿¡«])").split
+_cut = re.compile(r"[ \n\t](?:(?<=\n)\n*|(?:(?<=[^\W\d_]{3}[.!?].)|(?<=[^\W\d_]{3}[.!?][)\"“”»«].)|(?<=\d{3}[.!?].)|(?<=[)][.!?].))[ \t]*(?=[^\W\d_a-zà-ÿ])"
+                  r"|(?<=[?!…].)(?=[¿¡«]))", re.S).split
+_figures = re.compile(r"\d+").sub
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 _ended = re.compile(r"[.!?…][)\"“”»«’']*\s*$").search
 
@@ -90,6 +91,7 @@ class Model:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.row: dict[str, int] = {}
+        self.segments: dict[str, tuple] = {}
         self.table = np.zeros((1024, weights.shape[1]), dtype=np.float32)
 
     def __getstate__(self):
@@ -186,30 +188,33 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
 
 def _document(model: Model, texts: list[str | None]) -> list[list[tuple[int, str, float, int, bool]]]:
     """For each text its segments: (language number, segment, confidence, words, full sentence). A segment of fewer
-    than LEAST_WORDS words takes the language of the one before it, or of the next."""
-    out, parts, where = [], [], []
-    for k, t in enumerate(texts):
-        segs = segments(t) if t else []
-        rows = []
-        for s in segs:
-            w = _words(s)
-            rows.append([None, s, 0.0, len(w), bool(_ended(s)) and len(w) >= LEAST_WORDS])
-            if len(w) >= LEAST_WORDS or (w and len(segs) == 1):
-                where.append((k, len(rows) - 1))
-                parts.append(w)
-        if rows and not any(a == k for a, _ in where[-len(rows):]) and (w := _words(t)):
-            where.append((k, max(range(len(rows)), key=lambda i: rows[i][3])))
-            parts.append(w)
-        out.append(rows)
-    lang, conf = model.judge(parts)
-    for (k, i), g, c in zip(where, lang, conf):
-        out[k][i][0], out[k][i][2] = int(g), float(c)
-    for rows in out:
+    than LEAST_WORDS words takes the language of the one before it, or of the next; in a text without a longer one the
+    longest is judged. Segments that differ in figures alone are judged once."""
+    cache = model.segments
+    if len(cache) > 200_000:
+        cache.clear()
+    split = [segments(t) if t else [] for t in texts]
+    keys = [[_figures("0", s) for s in segs] for segs in split]
+    new = {k: _words(k) for ks in keys for k in ks if k not in cache}
+    for k, w in new.items():
+        cache[k] = (None, 0.0, len(w), bool(_ended(k)) and len(w) >= LEAST_WORDS)
+    long = [k for k, w in new.items() if len(w) >= LEAST_WORDS]
+    for k, g, c in zip(long, *model.judge([new[k] for k in long])):
+        cache[k] = (int(g), float(c), *cache[k][2:])
+    out = []
+    for segs, ks in zip(split, keys):
+        rows = [[g, s, c, n, full] for s, (g, c, n, full) in zip(segs, map(cache.__getitem__, ks))]
+        if rows and all(r[0] is None for r in rows):
+            longest = max(rows, key=lambda r: r[3])
+            if longest[3]:
+                g, c = model.judge([_words(longest[1])])
+                longest[0], longest[2] = int(g[0]), float(c[0])
         last = next((r[0] for r in rows if r[0] is not None), None)
         for r in rows:
             if r[0] is None:
                 r[0] = last
             last = r[0]
+        out.append(rows)
     return out
 
 
