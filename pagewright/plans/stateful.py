@@ -1 +1,29 @@
-QUERIES = {}
+"""Queries of the repairs that SQL can't express."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import repair
+from pagewright.sources import table
+from pagewright.streaming import queue
+
+OUT = ("doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content", "note")
+
+
+def _rel(s, d):
+    return repair.relation(table(s, d, "sections"), table(s, d, "subsections"))
+
+
+def _anchors(s, d):
+    """Anchors as an extractor would print them: the id and the opening words of the numbered subsections."""
+    subs = table(s, d, "subsections").select("doc_id", "sec_pos", "sub_pos", "id", "content").distinct().where("id IS NOT NULL AND content IS NOT NULL")
+    return subs.select("doc_id", (F.col("sec_pos") * 1000 + F.col("sub_pos")).alias("pos"), "id", F.substring("content", 1, 60).alias("start"))
+
+
+QUERIES = {
+    "item_repair": lambda s, d: repair.repaired_items(_rel(s, d), table(s, d, "page")).select(*OUT),
+    "scope_split": lambda s, d: repair.scoped(_rel(s, d), table(s, d, "page")).select(*OUT),
+    "front_matter_recovery": lambda s, d: repair.with_front(_rel(s, d), table(s, d, "page")).select(*OUT),
+    "rebind_clauses": lambda s, d: repair.rebound(_rel(s, d), _anchors(s, d)).select(*OUT),
+    "queue_state_fold": lambda s, d: queue.fold(queue.commands_of_events(table(s, d, "events"))),
+}
