@@ -45,50 +45,66 @@ def _body(x: Column) -> Column:
     return F.regexp_replace(x, rf"{SPACE}+$", "")
 
 
+def _flags(x: Column, field: Column) -> Column:
+    """What the end of a text tells: mark of omission, full stop, running text, list item or heading, opening words."""
+    tail = F.right(x, F.lit(80))  # patterns of the end need no more
+    y = _body(F.regexp_replace(x, r"[\s\p{Z}]+\*+$", ""))
+    end = F.right(y, F.lit(80))
+    last = F.substring_index(y, "\n\n", -1)
+    item = F.regexp_replace(last, r"^(?:\*\*[^*\n]{1,12}\*\*|#+)[\s]*", "")
+    return F.struct(
+        (tail.rlike(MARK) & ~tail.rlike(r"„…[“”]?$")).alias("mark"),
+        (end.rlike(TERMINAL) & ~end.rlike(_abbreviated()) & ~_open_quotes(last)).alias("terminal"),
+        F.when(field.contains("_markdown"), item.rlike(RUNNING)).otherwise(y.rlike(RUNNING)).alias("prose"),
+        (item.rlike(r"^\p{Ll}") | last.rlike(r"^#+\s")).alias("list"),
+        F.regexp_replace(F.lower(F.regexp_extract(item, r"^(\S+\s+\S+\s+\S+)\s", 1)), r"\p{N}+", "#").alias("opening"))
+
+
 def ends(df: DataFrame) -> DataFrame:
-    """df (field, id, source, text) with: whole (closes with a footer), mark, complete, prose, list, opening, terminal."""
+    """(field, id, source, n_chars, n_bytes, comma, whole, mark, terminal, prose, list, opening) of df (field, id, source,
+    text). The texts are read once, each end judged as it is and, in texts of several lines, without the last line; which
+    of the two holds is decided by how many texts share that line."""
+    t = F.col("t")
     d = df.withColumn("t", _body(F.regexp_replace(_body(F.col("text")), PAGE_LINE, "")))
+    several = F.contains(t, F.lit("\n"))
+    d = d.withColumn("lastp", F.when(F.contains(t, F.lit("\n\n")), F.substring_index("t", "\n\n", -1)))
+    d = d.withColumn("lastp", F.when(F.length("lastp") <= 200, F.col("lastp")))
+    d = d.withColumn("lastl", F.when(several & F.col("lastp").isNull(), F.regexp_replace(F.lower(F.trim(F.substring_index("t", "\n", -1))), r"\p{N}+", "#")))
+    d = d.withColumn("above", F.when(F.col("lastl").isNotNull(), _body(F.regexp_replace(F.regexp_replace("t", r"\n[^\n]*$", ""), PAGE_LINE, ""))))
+    # some headers are told by their look: signs and figures, capitals only
+    look = F.substring_index("t", "\n", -1)
+    signs = look.rlike(r"\||·|^UR-N[Rr]")
+    dated = look.rlike(r"^(?=.*(?:\p{N}/\p{N}|\p{N}{4}$))[^.;,]{3,80}$|^[\p{Lu}\p{N}\s&|·./-]{6,80}$") & F.right("above", F.lit(80)).rlike(TERMINAL)
+    d = d.select("field", "id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"),
+                 F.right("text", F.lit(20)).rlike(r"[;,:][\s\p{Z}]*$").alias("comma"), "lastp",
+                 F.when(~F.col("lastl").rlike(TERMINAL) & (F.length("lastl") <= 120) & (F.col("lastl") != "#"), F.col("lastl")).alias("lastl"),
+                 (F.col("above").isNotNull() & (signs | dated)).alias("looks"), _flags(t, F.col("field")).alias("f0"),
+                 F.when(F.col("above").isNotNull(), _flags(F.col("above"), F.col("field"))).alias("f1"))
+    d = written(d)
     # a last paragraph that many texts of the field share closes whole texts
-    d = d.withColumn("lastp", F.when(F.contains("t", F.lit("\n\n")), F.substring_index("t", "\n\n", -1)))
-    sized = df.groupBy("field").agg(F.count("*").alias("rows"))
-    foot = (d.where("lastp IS NOT NULL AND length(lastp) <= 200").groupBy("field", "lastp").agg(F.count("*").alias("k"))
+    sized = d.groupBy("field").agg(F.count("*").alias("rows"))
+    foot = (d.where("lastp IS NOT NULL").groupBy("field", "lastp").agg(F.count("*").alias("k"))
              .join(F.broadcast(sized), "field").where(F.col("k") >= F.greatest(F.lit(LEAST_COUNT), FOOTER_SHARE * F.col("rows")))
-             .select("field", "lastp", F.lit(True).alias("whole")))
-    # a last line without a full stop, behind a line that closes or not, that several texts share is a page header
-    d = d.withColumn("lastl", F.when(F.contains("t", F.lit("\n")) & ~F.contains("t", F.lit("\n\n")),
-                                     F.regexp_replace(F.lower(F.trim(F.substring_index("t", "\n", -1))), r"\p{N}+", "#")))
-    lines = (d.where(F.col("lastl").isNotNull() & ~F.col("lastl").rlike(TERMINAL) & (F.length("lastl") <= 120))
-              .groupBy("lastl").agg(F.count("*").alias("k")).where(f"k >= {REPEATS} AND lastl NOT RLIKE '^#$'")
-              .select("lastl", F.lit(True).alias("header")))
-    d = d.join(F.broadcast(foot), ["field", "lastp"], "left").join(lines, ["lastl"], "left")
-    cut_line = _body(F.regexp_replace(F.regexp_replace("t", r"\n[^\n]*$", ""), PAGE_LINE, ""))
-    # other headers are told by their look: signs and figures, capitals only
-    looks = F.col("t").rlike(r"\n(?=[^\n]*(?:\||·|\p{N}/\p{N}|\p{N}{4}$))[^\n.;,]{3,80}$|\n[\p{Lu}\p{N}\s&|·./-]{6,80}$|(?i)\nUR-Nr\.[^\n]*$")
-    closed_above = F.regexp_extract("t", r"(?s)^(.*)\n[^\n]*$", 1).rlike(TERMINAL)
-    d = d.withColumn("x", F.when(F.coalesce(F.col("header"), F.lit(False)) | (looks & (closed_above | F.col("t").rlike(r"\n[^\n]*(?:\||·|UR-Nr)[^\n]*$"))), cut_line)
-                      .otherwise(F.col("t")))
-    tail = F.right("x", F.lit(80))  # patterns of the end need no more
-    d = d.withColumn("mark", tail.rlike(MARK) & ~tail.rlike(r"„…[“”]?$"))
-    d = d.withColumn("x", _body(F.regexp_replace("x", r"[\s\p{Z}]+\*+$", "")))
-    last = F.substring_index("x", "\n\n", -1)
-    terminal = tail.rlike(TERMINAL) & ~tail.rlike(_abbreviated()) & ~_open_quotes(last)
-    item = F.regexp_replace(last, r"^(?:\*\*[^*\n]{1,12}\*\*|#+)[\s]*", "")
-    return d.select(
-        "field", "id", "source", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "mark", terminal.alias("terminal"),
-        F.when(F.col("field").contains("_markdown"), item.rlike(RUNNING)).otherwise(F.col("x").rlike(RUNNING)).alias("prose"),
-        (item.rlike(r"^\p{Ll}") | last.rlike(r"^#+\s")).alias("list"),
-        F.regexp_replace(F.lower(F.regexp_extract(item, r"^(\S+\s+\S+\s+\S+)\s", 1)), r"\p{N}+", "#").alias("opening"))
+             .select("field", "lastp", F.lit(True).alias("whole")))  # 1 / FOOTER_SHARE paragraphs of a field at most
+    # a last line without a full stop that several texts share is a page header
+    lines = d.where("lastl IS NOT NULL").groupBy("lastl").agg(F.count("*").alias("k")).where(f"k >= {REPEATS}").select("lastl", F.lit(True).alias("header"))
+    plain = d.where("lastl IS NULL").withColumn("header", F.lit(None).cast("boolean"))
+    lined = d.where("lastl IS NOT NULL").join(lines, "lastl", "left").select(*plain.columns)
+    d = plain.unionByName(lined).join(F.broadcast(foot), ["field", "lastp"], "left")
+    f = F.when(F.col("looks") | F.coalesce("header", F.lit(False)), F.coalesce("f1", "f0")).otherwise(F.col("f0"))
+    return (d.withColumn("f", f).select("field", "id", "source", "n_chars", "n_bytes", "comma", F.coalesce("whole", F.lit(False)).alias("whole"), "f.*"))
 
 
 def hazards(df: DataFrame, fdr: float = FDR) -> DataFrame:
     """(field, source, unit, len, n, at_risk, expected, p_bound, significant) for each length that LEAST_COUNT or more
     texts of a source have. p_bound bounds the chance of n or more texts where the neighbours' hazard expects so many
     (Chernoff bound of the Poisson law, so a test passed by it is passed); Benjamini-Hochberg over all lengths."""
-    u = (df.where("text IS NOT NULL AND text <> ''")
-           .select("field", F.coalesce("source", F.lit("")).alias("source"),
-                   F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("len")),
-                                     F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("len")))).alias("u"))
-           .groupBy("field", "source", "u.unit", "u.len").agg(F.count("*").alias("n")))
+    if "n_chars" not in df.columns:
+        df = df.where("text IS NOT NULL AND text <> ''").select("field", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    u = (df.groupBy("field", F.coalesce("source", F.lit("")).alias("source"), "n_chars", "n_bytes").agg(F.count("*").alias("c"))
+           .select("field", "source", "c", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("len")),
+                                                            F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("len")))).alias("u"))
+           .groupBy("field", "source", "u.unit", "u.len").agg(F.sum("c").alias("n")))
     part = W.partitionBy("field", "source", "unit").orderBy("len")
     near = part.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     h = (u.withColumn("at_risk", F.sum("n").over(part.rangeBetween(0, W.unboundedFollowing)))
@@ -114,9 +130,8 @@ def truncated(df: DataFrame) -> DataFrame:
     Null, empty and blank texts are whole; a null source is a source of its own; repeated rows are judged alike, and
     count as often as they occur in the statistics; ties have no bearing. Other columns of df are not read."""
     d = df.select("field", "id", "source", "text").where(F.col("text").rlike(r"\S"))
-    e = written(ends(d).withColumns({"n_chars": F.length("text"), "n_bytes": F.octet_length("text"),
-                                     "comma": F.col("text").rlike(r"[;,:][\s\p{Z}]*$")}).drop("text"))
-    sig = (hazards(d).where("significant").groupBy("field", "source")
+    e = written(ends(d))
+    sig = (hazards(e).where("significant").groupBy("field", "source")
             .agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("len"))).alias("chars"),
                  F.collect_set(F.when(F.col("unit") == "bytes", F.col("len"))).alias("bytes")))
     family = (e.where("NOT mark AND NOT list AND NOT prose AND opening <> ''").groupBy("field", "opening")
