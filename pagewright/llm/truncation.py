@@ -27,7 +27,8 @@ SPACE = r"[\s\p{Z}]"
 MARK = rf"(?:…|\.\.\.|\x{{FFFD}}|\[(?:…|\.\.\.|gekürzt|cut|truncated)\]|\((?:…|\.\.\.|gekürzt)\))[\s\p{{Z}}*]*$"
 TERMINAL = r"(?:(?<=[\u0370-\u03ff])[;\u037e]|[.!?。！？।॥؟۔](?:[\s\p{Z}]*[)\]\"'”“’‘»«›‹」』）])*|[.!?][*_]+)$"
 PAGE_LINE = r"(?:\n[ \t]*(?:[-–—\[(]?[ \t]*\p{N}{1,4}[ \t]*[-–—\])]?|(?i:seite|blatt|page|s\.)[ \t]*\p{N}{1,4}(?:[ \t]*(?:von|/|of)[ \t]*\p{N}{1,4})?|\p{N}{1,4}[ \t]*/[ \t]*\p{N}{1,4})[ \t]*)+$"
-RUNNING = r"(?:(?<!einschl|entspr|insbes|zuzügl|Buchst|Absch)(?:\p{L}{4}|\p{N}[“”»«)]|usw|etc|p\. ?a|\p{N}{2}|u\. Ä)[.!?]+[“”»«)]*[\s\p{Z}]+[\p{Lu}\p{Lo}„»“«\p{N}]|[。！？।؟])"
+RUNNING = (r"[.!?。！？।؟](?:(?<=[。！？।؟])|(?<=(?:\p{L}{4}|\p{N}[“”»«)]|usw|etc|p\. ?a|\p{N}{2}|u\. Ä)[.!?])(?<!(?:einschl|entspr|insbes|zuzügl|Buchst|Absch)\.)"
+           r"[.!?]*[“”»«)]*[\s\p{Z}]+[\p{Lu}\p{Lo}„»“«\p{N}])")  # begins with a mark, which the search can skip to
 
 
 def _abbreviated() -> str:
@@ -38,26 +39,27 @@ def _abbreviated() -> str:
 
 def _open_quotes(x: Column) -> Column:
     count = lambda s: F.length(x) - F.length(F.translate(x, s, ""))
-    return count("„") > count("“”")
+    return F.contains(x, F.lit("„")) & (count("„") > count("“”"))
 
 
 def _body(x: Column) -> Column:
-    return F.regexp_replace(x, rf"{SPACE}+$", "")
+    return F.when(F.right(x, F.lit(1)).rlike(SPACE), F.regexp_replace(x, rf"{SPACE}+$", "")).otherwise(x)
 
 
-def _flags(x: Column, field: Column) -> Column:
-    """What the end of a text tells: mark of omission, full stop, running text, list item or heading, opening words."""
-    tail = F.right(x, F.lit(80))  # patterns of the end need no more
-    y = _body(F.regexp_replace(x, r"[\s\p{Z}]+\*+$", ""))
-    end = F.right(y, F.lit(80))
-    last = F.substring_index(y, "\n\n", -1)
-    item = F.regexp_replace(last, r"^(?:\*\*[^*\n]{1,12}\*\*|#+)[\s]*", "")
-    return F.struct(
-        (tail.rlike(MARK) & ~tail.rlike(r"„…[“”]?$")).alias("mark"),
-        (end.rlike(TERMINAL) & ~end.rlike(_abbreviated()) & ~_open_quotes(last)).alias("terminal"),
-        F.when(field.contains("_markdown"), item.rlike(RUNNING)).otherwise(y.rlike(RUNNING)).alias("prose"),
-        (item.rlike(r"^\p{Ll}") | last.rlike(r"^#+\s")).alias("list"),
-        F.regexp_replace(F.lower(F.regexp_extract(item, r"^(\S+\s+\S+\s+\S+)\s", 1)), r"\p{N}+", "#").alias("opening"))
+def _with_flags(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df with a struct of what the end of a text tells: mark of omission, full stop, running text, list item or heading,
+    opening words. What several of them need is a projection of its own, so that it is computed once."""
+    df = df.withColumn("_end", F.right(col, F.lit(80)))  # patterns of the end need no more
+    df = df.withColumn("_y", F.when(F.endswith(F.col("_end"), F.lit("*")), _body(F.regexp_replace(col, r"[\s\p{Z}]+\*+$", ""))).otherwise(F.col(col)))
+    df = df.withColumn("_last", F.substring_index("_y", "\n\n", -1)).withColumn("_tail", F.right("_y", F.lit(80)))
+    df = df.withColumn("_item", F.when(F.col("_last").rlike(r"^[*#]"), F.regexp_replace("_last", r"^(?:\*\*[^*\n]{1,12}\*\*|#+)[\s]*", "")).otherwise(F.col("_last")))
+    flags = F.struct(
+        (F.col("_end").rlike(MARK) & ~F.col("_end").rlike(r"„…[“”]?$")).alias("mark"),
+        (F.col("_tail").rlike(TERMINAL) & ~F.col("_tail").rlike(_abbreviated()) & ~_open_quotes(F.col("_last"))).alias("terminal"),
+        F.when(F.col("field").contains("_markdown"), F.col("_item")).otherwise(F.col("_y")).rlike(RUNNING).alias("prose"),
+        F.col("_last").rlike(r"^(?:\*\*[^*\n]{1,12}\*\*\s*)?\p{Ll}|^#+\s").alias("list"),
+        F.regexp_replace(F.lower(F.regexp_extract(F.substring("_item", 1, 200), r"^(\S+\s+\S+\s+\S+)\s", 1)), r"\p{N}+", "#").alias("opening"))
+    return df.withColumn(name, F.when(F.col(col).isNotNull(), flags)).drop("_end", "_y", "_last", "_tail", "_item")
 
 
 def ends(df: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def ends(df: DataFrame) -> DataFrame:
     text). The texts are read once, each end judged as it is and, in texts of several lines, without the last line; which
     of the two holds is decided by how many texts share that line."""
     t = F.col("t")
-    d = df.withColumn("t", _body(F.regexp_replace(_body(F.col("text")), PAGE_LINE, "")))
+    d = df.withColumn("t", _body(F.col("text")))
+    d = d.withColumn("t", F.when(F.contains(t, F.lit("\n")), _body(F.regexp_replace(t, PAGE_LINE, ""))).otherwise(t))
     several = F.contains(t, F.lit("\n"))
     d = d.withColumn("lastp", F.when(F.contains(t, F.lit("\n\n")), F.substring_index("t", "\n\n", -1)))
     d = d.withColumn("lastp", F.when(F.length("lastp") <= 200, F.col("lastp")))
@@ -78,9 +81,8 @@ def ends(df: DataFrame) -> DataFrame:
     d = d.select("field", "id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"),
                  F.right("text", F.lit(20)).rlike(r"[;,:][\s\p{Z}]*$").alias("comma"), "lastp",
                  F.when(~F.col("lastl").rlike(TERMINAL) & (F.length("lastl") <= 120) & (F.col("lastl") != "#"), F.col("lastl")).alias("lastl"),
-                 (F.col("above").isNotNull() & (signs | dated)).alias("looks"), _flags(t, F.col("field")).alias("f0"),
-                 F.when(F.col("above").isNotNull(), _flags(F.col("above"), F.col("field"))).alias("f1"))
-    d = written(d)
+                 (F.col("above").isNotNull() & (signs | dated)).alias("looks"), "t", "above")
+    d = written(_with_flags(_with_flags(d, "t", "f0"), "above", "f1").drop("t", "above"))
     # a last paragraph that many texts of the field share closes whole texts
     sized = d.groupBy("field").agg(F.count("*").alias("rows"))
     foot = (d.where("lastp IS NOT NULL").groupBy("field", "lastp").agg(F.count("*").alias("k"))
