@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import repair
+from pagewright.operators import pages, provider, repair
+from pagewright.plans import pipeline
 from pagewright.sources import table
 from pagewright.streaming import queue
 
@@ -20,7 +21,19 @@ def _anchors(s, d):
     return subs.select("doc_id", (F.col("sec_pos") * 1000 + F.col("sub_pos")).alias("pos"), "id", F.substring("content", 1, 60).alias("start"))
 
 
+def _convert(s, d):
+    return pipeline.convert(table(s, d, "page"), table(s, d, "sections"), table(s, d, "subsections"))
+
+
+def _transcribe(s, d):
+    """Pages of documents without a text layer, by the provider of the tests."""
+    scanned = table(s, d, "doc").where("NOT has_text_layer").select("doc_id")
+    return provider.transcribe(pages.content_pages(table(s, d, "page")).join(scanned, "doc_id", "left_semi"), provider.Echo(), width=8)
+
+
 QUERIES = {
+    "convert_documents": _convert,
+    "transcribe_pages": _transcribe,
     "item_repair": lambda s, d: repair.repaired_items(_rel(s, d), table(s, d, "page")).select(*OUT),
     "scope_split": lambda s, d: repair.scoped(_rel(s, d), table(s, d, "page")).select(*OUT),
     "front_matter_recovery": lambda s, d: repair.with_front(_rel(s, d), table(s, d, "page")).select(*OUT),
