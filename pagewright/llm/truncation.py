@@ -140,7 +140,7 @@ def truncated(df: DataFrame) -> DataFrame:
                .agg(F.count("*").alias("k"), F.avg(F.col("terminal").cast("int")).alias("closing"))
                .where(f"k >= {FAMILY}").select("field", "opening", "closing"))
     e = e.withColumn("src", F.coalesce("source", F.lit("")))
-    e = (e.join(F.broadcast(sig.withColumnRenamed("source", "src")), ["field", "src"], "left")
+    e = (e.join(sig.withColumnRenamed("source", "src"), ["field", "src"], "left")
           .join(family, ["field", "opening"], "left"))
     fixed = (F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes")))
     fixed = F.coalesce(fixed, F.lit(False))
