@@ -477,3 +477,36 @@ def rebound(rel: DataFrame, anchors: DataFrame) -> DataFrame:
         return _flat(int(key[0]), secs, str(n))
 
     return rel.groupBy("doc_id").cogroup(anchors.groupBy("doc_id")).applyInPandas(run, FLAT)
+
+
+def adopt_runs(secs: list[Sec], runs: dict[str, list[list[str]]], wanted: set[str], most: int = 3) -> tuple[list[Sec], int]:
+    """Sections with freshly extracted runs of the missing ids' first numbers, the first few by number; each is taken by
+    itself, if it holds all that is missing of its number, leaves fewer ids missing and keeps two fifths of the text."""
+    size = lambda ss: sum(len(c) for x in ss for _, c in x.subs)
+    gone = lambda ss: len(wanted - {norm_id(i) for x in ss for i, _ in x.subs})
+    taken = 0
+    for prefix in sorted({w.split(".")[0] for w in wanted}, key=int)[:most]:
+        mine = {w for w in wanted if w.split(".")[0] == prefix}
+        run = sanitize(runs.get(prefix, []), prefix, mine)
+        new = splice(secs, run, prefix) if run and mine <= {i for i, _ in run} else None
+        if new and gone(new) < gone(secs) and size(new) >= size(secs) * 2 // 5:
+            secs, taken = new, taken + 1
+    return secs, taken
+
+
+def spliced(rel: DataFrame, runs: DataFrame, missing: DataFrame) -> DataFrame:
+    """The relation after adopt_runs with runs (doc_id, prefix, pos, id, content) and missing (doc_id, id); note holds the
+    number of runs taken. More than 24 missing ids are left alone."""
+    few = missing.groupBy("doc_id").agg(F.collect_set("id").alias("w")).where(F.size("w") <= 24)
+    fresh = [F.col(c).alias(f"run_{c}") for c in ("doc_id", "prefix", "pos", "id", "content")]  # names of their own beside rel's
+    r = runs.join(few, "doc_id").select(*fresh, F.array_join("w", " ").alias("w"))
+
+    def run(key, left, right):
+        secs = _nested(left)
+        taken = 0
+        if len(right):
+            parts = {p: [[i, c] for i, c in zip(g.run_id, g.run_content)] for p, g in right.sort_values("run_pos").groupby("run_prefix")}
+            secs, taken = adopt_runs(secs, parts, set(right.w.iloc[0].split()))
+        return _flat(int(key[0]), secs, str(taken))
+
+    return rel.groupBy("doc_id").cogroup(r.groupBy("run_doc_id")).applyInPandas(run, FLAT)

@@ -21,6 +21,16 @@ def _anchors(s, d):
     return subs.select("doc_id", (F.col("sec_pos") * 1000 + F.col("sub_pos")).alias("pos"), "id", F.substring("content", 1, 60).alias("start"))
 
 
+def _splice(s, d):
+    """Sections that lost every third subsection, mended by runs of all subsections with the missing ids' first number."""
+    rel = _rel(s, d)
+    ids = rel.where("id RLIKE '^[1-9][0-9]?[.][1-9][0-9]?$' AND content RLIKE '\\\\S'")
+    lost = ids.where("sub_pos % 3 = 1").select("doc_id", "id").distinct()
+    kept = rel.where("NOT coalesce(sub_pos % 3 = 1 AND id RLIKE '^[1-9][0-9]?[.][1-9][0-9]?$' AND content RLIKE '\\\\S', false)")
+    runs = ids.select("doc_id", F.split_part("id", F.lit("."), F.lit(1)).alias("prefix"), (F.col("sec_pos") * 1000 + F.col("sub_pos")).alias("pos"), "id", "content")
+    return repair.spliced(kept, runs, lost).select(*OUT)
+
+
 def _convert(s, d):
     return pipeline.convert(table(s, d, "page"), table(s, d, "sections"), table(s, d, "subsections"))
 
@@ -37,6 +47,7 @@ QUERIES = {
     "item_repair": lambda s, d: repair.repaired_items(_rel(s, d), table(s, d, "page")).select(*OUT),
     "scope_split": lambda s, d: repair.scoped(_rel(s, d), table(s, d, "page")).select(*OUT),
     "front_matter_recovery": lambda s, d: repair.with_front(_rel(s, d), table(s, d, "page")).select(*OUT),
+    "splice_runs": _splice,
     "rebind_clauses": lambda s, d: repair.rebound(_rel(s, d), _anchors(s, d)).select(*OUT),
     "queue_state_fold": lambda s, d: queue.fold(queue.commands_of_events(table(s, d, "events"))),
 }

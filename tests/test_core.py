@@ -196,6 +196,14 @@ def test_sanitize_and_splice():
     assert repair.splice([Sec("5", "Y", [["5.1", "nichts"]])], good, "2") is None
 
 
+def test_runs_adopted_one_by_one():
+    texts = {f"1.{k}": f"Klausel Nummer {'abcdefg'[k]} des ersten Teils der Bedingungen" for k in range(1, 6)}
+    secs = [Sec("1", "X", [["1.1", texts["1.1"]], ["1.3", texts["1.3"]]])]
+    out, n = repair.adopt_runs(secs, {"1": [[i, t] for i, t in texts.items()]}, {"1.2", "1.4"})
+    assert n == 1 and [i for i, _ in out[0].subs] == list(texts)
+    assert repair.adopt_runs(secs, {"1": [["1.2", texts["1.2"]], ["1.3", texts["1.3"]]]}, {"1.2", "1.4"}) == (secs, 0)
+
+
 def test_front_matter_recovered():
     intro = "Diese Bedingungen gelten für alle Verträge der Gesellschaft mit ihren Kunden."
     secs = repair.recover_front([Sec("1", "X", [["1", "Der erste Absatz des Vertrages."]])], [f"{intro}\n\nDer erste Absatz des Vertrages."])
