@@ -27,8 +27,10 @@ IGNORABLE = ("\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\
              "\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0\\ufff0-\\ufff8")
 SPACES = "\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000\\t"
 # Latin text with the usual marks, in which nothing can change: its visible form is the text itself.
-SETTLED = "^[\\x0a\\x20-\\x7e\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00b0-\\u00b3\\u00b6\\u00b7\\u00b9\\u00bb-\\u02af" \
+SETTLED = "^[\\x0a\\x20-\\x7e\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00b0-\\u00b3\\u00b6\\u00b7\\u00b9\\u00bb-\\u0131\\u0134-\\u02af" \
           "\\u2010-\\u2027\\u2030-\\u203a\\u20a0-\\u20bf]*$"
+# Text of which the canonical form is its lower case with the sharp s spelt out.
+PLAIN = "^[\\x0a\\x20-\\x7e\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00b0\\u00b6\\u00bb\\u00bf-\\u00ff\\u2013-\\u2015\\u2018-\\u201e\\u20ac]*$"
 # Compatibility mappings of one character that a reader sees as the same form: width, spaces, ligatures.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 
@@ -84,9 +86,10 @@ def forms(df: DataFrame, text_col: str) -> DataFrame:
     text is its own form. Other columns of df are not read."""
     d = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
     f = _forms("text")
-    plain = d.where(settled(F.col("text"))).select("text", F.lower("text").alias("canonical"),
-                                                   F.col("text").alias("visible"))
-    odd = d.where(~settled(F.col("text"))).select("text", f["canonical"].alias("canonical"),
+    simple = F.col("text").rlike(PLAIN)
+    plain = d.where(simple).select("text", F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")).alias("canonical"),
+                                   F.col("text").alias("visible"))
+    odd = d.where(~simple).select("text", f["canonical"].alias("canonical"),
                                                   f["visible"].alias("visible"))
     return plain.unionByName(odd)
 

@@ -70,6 +70,12 @@ def test_look_alike_pairs_against_brute_force(spark):
     assert lookalike.same_look_pairs(rows(spark), "id", "text").count() == 0
 
 
+def test_forms_are_those_of_each_value(spark):
+    values = ["Straße m²", "Straße\xa0m²", "STRASSE M2", "a … b", "½", "ĳ", "plain text; „quoted“ – 5 €", "Ünïcödé ÿ", "ſ", "ª"]
+    for r in lookalike.forms(rows(spark, *list(enumerate(values))), "text").collect():
+        assert (r.canonical, r.visible) == (lookalike.canonical_form(r.text), lookalike.visible_form(r.text)), r.text
+
+
 def test_forms_keep_settled_values(spark):
     f = {r.text: (r.canonical, r.visible) for r in lookalike.forms(rows(spark, (1, "Äpfel"), (2, "ＡＢ１"), (3, None), (4, "")), "text").collect()}
     assert f == {"Äpfel": ("äpfel", "Äpfel"), "ＡＢ１": ("ab1", "AB1"), "": ("", "")}
