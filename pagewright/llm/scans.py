@@ -4,8 +4,8 @@ Skip-gram vectors are learnt from all texts: the counts of words near each other
 sentence with masked figures, make the matrix of shifted positive pointwise mutual information whose factors are
 the vectors that skip-gram with negative sampling converges to. A rare word is linked to a frequent one if plausible
 edits of glyphs lead from one to the other, which holds if both fold to one skeleton; it is corrected where the
-vectors of the words around it agree with the frequent word. Page furniture is told by its look and by how many texts
-hold the line; what is left flows into paragraphs.
+vectors of the words around it agree with the frequent word. Page furniture is told by its look, or by texts that hold
+the line in different places and across their sentences; what is left flows into paragraphs.
 """
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ DIMS, SHIFT, NEAR = 50, 1.0, 2
 FIT = 0.1  # least cosine of a word's neighbours with the frequent word
 UNBROKEN = 5  # a word is no misreading if one in so many of its occurrences is in a text without line breaks
 REPEATS = 3  # texts that hold a line
+SAME_WORD = 0.5  # part of a line's occurrences with one word before it, or behind it, from which it belongs to that word
+BREAKS = 0.2  # least part of a header's places between lines where the sentence runs on across it
 
 # Glyphs that scanners take for one another, by the glyph that stands for the group.
 GLYPHS = {"1": "l", "I": "l", "i": "l", "|": "l", "!": "l", "0": "o", "O": "o", "c": "e", "f": "t", "b": "h", "u": "n", "9": "g", "q": "g",
@@ -48,6 +50,11 @@ _with_no = re.compile(rf"(?:[ \t]+[–—|·-][ \t]*|[ \t]{{2,}})(?:(?:Seite|Bla
 _look = re.compile(r"[ \t][|·•][ \t]|^UR-N[Rr]\. ?\d+|\bStand \d\d/\d{4}$|\bFassung \d{4}$|^[^a-zäöüß\n]{0,3}(?:[A-ZÄÖÜ]{3,}[^a-zäöüß\n]*)$").search
 _own = re.compile(r"(?:und|oder|bzw|sowie|als|bis|noch|wie|et|and|or|ou|en|of)\b").match
 _ends = re.compile(r"[.,;:!?“”»«)\-‐¬\xad…]\s*$").search
+_closes = re.compile(r"[.:!?“”»«)…]$").search
+_plain_words = re.compile(r"[^\W_]+").findall
+# Words behind which the line runs on, so that it is no header.
+_runs_on = re.compile(r"(?<!\w)(?:d(?:er|ie|as|en|em|es)|eine?[mnrs]?|und|oder|sowie|bzw\.|von|vo[mr]|z(?:u|um|ur)|a[mn]|auf|aus|bei|beim|bis|durch|für|gegen|i[mn]|ins|mit|nach|ohne|seit|über|um|unter|"
+                      r"wegen|als|wie|wenn|dass|sofern|soweit|the|an?|of|to|on|by|for|and|or|with)$", re.I).search
 
 
 def pieces(text: str) -> list[str]:
@@ -72,12 +79,13 @@ def skeleton(word: Column) -> Column:
     return x
 
 
-def layout(text: str) -> tuple[set[str], list[tuple[str, bool]], list[bool]]:
-    """(kinds found, lines that may be headers with whether they hold a page number, furniture for sure by line)."""
+def layout(text: str) -> tuple[set[str], list[tuple[int, str, bool]], list[bool]]:
+    """(kinds found, lines that may be headers as number, key and whether they hold a page number, furniture for sure by
+    line)."""
     lines = text.split("\n")
     n = len(lines)
     kinds: set[str] = set()
-    maybe: list[tuple[str, bool]] = []
+    maybe: list[tuple[int, str, bool]] = []
     sure = [False] * n
     prose = sum(len(x) > 25 for x in lines) > 0
     for k, line in enumerate(lines):
@@ -99,8 +107,8 @@ def layout(text: str) -> tuple[set[str], list[tuple[str, bool]], list[bool]]:
                 sure[k] = True
                 if numbered:
                     kinds.add("pageno")
-            elif not _ends(s) and (s[0].isupper() or numbered) and not re.match(r"\w{1,2}[.)] ", s):
-                maybe.append((line_key(line), numbered))
+            elif not _ends(s) and (s[0].isupper() or numbered) and not re.match(r"\w{1,2}[.)] ", s) and not _runs_on(_with_no.sub("", s).rstrip()):
+                maybe.append((k, line_key(line), numbered))
     for k in range(n - 1):
         s = lines[k].rstrip()
         if len(s) > 1 and s[-1] in "-‐¬\xad" and s[-2].isalpha():
@@ -108,11 +116,37 @@ def layout(text: str) -> tuple[set[str], list[tuple[str, bool]], list[bool]]:
             later = [x.lstrip() for x in lines[k + 2:k + 4]]
             if s[-1] != "-" or (following[:1].islower() and not _own(following)):
                 kinds.add("hyphen")
-            elif following[:1].isupper() and any(x[:1].islower() and not _own(x) for x in later[:1]) and line_key(following) in {m for m, _ in maybe} and len(following) < 45:
+            elif following[:1].isupper() and any(x[:1].islower() and not _own(x) for x in later[:1]) and line_key(following) in {m for _, m, _ in maybe} and len(following) < 45:
                 kinds.add("hyphen")
     return kinds, maybe, sure
 
 
+def surroundings(text: str) -> list[tuple[str, str]]:
+    """(kind, word) of what tells whether the lines that may be headers are: the line, once for a text (line); the line with
+    the word before it (before) and behind it (after), furniture left out; whether it stands between lines (between), and
+    whether a sentence runs on from the one above to the one below (breaks)."""
+    _, maybe, sure = layout(text)
+    out = [("line", key) for key in {key for _, key, _ in maybe}]
+    if not maybe:
+        return out
+    lines = text.split("\n")
+    stay = [k for k, x in enumerate(lines) if x.strip() and not sure[k]]
+    at = {k: j for j, k in enumerate(stay)}
+    for k, key, _ in maybe:
+        j = at[k]
+        above = lines[stay[j - 1]].strip() if j else ""
+        below = lines[stay[j + 1]].strip() if j + 1 < len(stay) else ""
+        for kind, words, n in (("before", above, -1), ("after", below, 0)):
+            w = _plain_words(words.lower())
+            if w:
+                out.append((kind, f"{key}\n{_digits.sub('#', w[n])}"))
+        if above and below:
+            out.append(("between", key))
+            if not _closes(above) and not below[0].isupper():
+                out.append(("breaks", key))
+    return out
+
+
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
               .where(r"id IS NOT NULL AND t RLIKE '\\S'"))
@@ -120,7 +154,7 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def vocabulary(src: DataFrame) -> DataFrame:
     """(kind, word, n): words with their number of occurrences (word), of those in texts without line breaks (flat), and
-    lines that may be headers with their number of texts (line)."""
+    lines that may be headers with their number of texts (line) and their surroundings()."""
 
     def run(batches):
         broken: Counter = Counter()
@@ -130,10 +164,10 @@ def vocabulary(src: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 if "\n" in t.strip():
                     broken.update(pieces(t))
-                    lines.update({k for k, _ in layout(t)[1]})
+                    lines.update(surroundings(t))
                 else:
                     flat.update(pieces(t))
-            if len(broken) + len(flat) > 200_000:
+            if len(broken) + len(flat) + len(lines) > 200_000:
                 yield _counts(broken, flat, lines)
                 broken.clear()
                 flat.clear()
@@ -151,11 +185,24 @@ def _counts(broken: Counter, flat: Counter, lines: Counter) -> pa.RecordBatch:
             for w in _text(piece):
                 for c in counters:
                     c[w] += n
-    kinds = ["word"] * len(found) + ["flat"] * len(unbroken) + ["line"] * len(lines)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*found, *unbroken, *lines], pa.string()),
+    kinds = ["word"] * len(found) + ["flat"] * len(unbroken) + [k for k, _ in lines]
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*found, *unbroken, *(x for _, x in lines)], pa.string()),
                                        pa.array([*found.values(), *unbroken.values(), *lines.values()], pa.int64())], names=["kind", "word", "n"])
 
 
+def headers(vocab: DataFrame) -> DataFrame:
+    """(word): the lines that are headers, by shares, which copies of a clause don't change: REPEATS texts hold the line, no
+    word stands before or behind most of its occurrences, as it does where the line is part of a clause, and it breaks
+    sentences, as the first line of a clause doesn't."""
+    n = lambda kind: F.when(F.col("kind") == kind, F.col("n"))
+    share = lambda kind: F.max(n(kind)) / F.sum(n(kind))
+    return (vocab.where("kind IN ('line', 'before', 'after', 'between', 'breaks')").groupBy(F.substring_index("word", "\n", 1).alias("word"))
+                 .agg(F.max(n("line")).alias("texts"), share("before").alias("before"), share("after").alias("after"),
+                      F.max(n("between")).alias("between"), F.max(n("breaks")).alias("breaks"))
+                 .where((F.col("texts") >= REPEATS) & (F.col("before") <= SAME_WORD) & (F.col("after") <= SAME_WORD)
+                        & (F.col("breaks") >= BREAKS * F.col("between"))).select("word"))
+
+
 def links(vocab: DataFrame) -> DataFrame:
     """(word, target, n, n_target): rare words with the frequent word of their skeleton. Scanned pages keep their lines, so
     a word that texts without line breaks use too is a word of its own."""
@@ -224,7 +271,7 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     k, maybe, _ = layout(t)
                     for x in k:
                         ids.append(i), kinds.append(x), ws.append(None), near.append(None), more.append(False)
-                    for x, numbered in maybe:
+                    for _, x, numbered in maybe:
                         ids.append(i), kinds.append("line"), ws.append(x), near.append(None), more.append(numbered)
                 parts = pieces(t)
                 seen.update(parts)
@@ -266,7 +313,7 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     misread = (marks.where("kind = 'word'").join(link, "word").select("id", "target", "near").mapInArrow(fits, "id BIGINT")
                     .select("id", F.lit("misread").alias("kind")))
-    line = (marks.where("kind = 'line'").join(vocab.where(f"kind = 'line' AND n >= {REPEATS}").select("word"), "word")
+    line = (marks.where("kind = 'line'").join(headers(vocab), "word")
                  .select("id", F.explode(F.when(F.col("numbered"), F.array(F.lit("header"), F.lit("pageno"))).otherwise(F.array(F.lit("header")))).alias("kind")))
     sure = marks.where("kind IN ('hyphen', 'header', 'pageno')").select("id", "kind")
     return sure.unionByName(misread).unionByName(line).distinct()
@@ -305,7 +352,7 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = _source(df, id_col, text_col).distinct()
     vocab = written(vocabulary(src))
     link = written(links(vocab))
-    heads = vocab.where(f"kind = 'line' AND n >= {REPEATS}").select(F.col("word").alias("key"))
+    heads = headers(vocab).select(F.col("word").alias("key"))
     token = src.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+(?:[¨!|][\p{L}\p{N}]*)*)"), F.lit(1)))).alias("word"))
     fix = token.join(link, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "target"))).alias("fix"))
     key = F.regexp_replace(F.lower(F.trim("line")), r"\p{N}+", "#")

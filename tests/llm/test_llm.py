@@ -231,3 +231,21 @@ def test_vectors_put_like_words_together():
     w, _ = scans.vectors(pairs, 8)
     cos = lambda a, b: float(w[a] @ w[b] / np.linalg.norm(w[a]) / np.linalg.norm(w[b]))
     assert cos(0, 1) > 0.9 > abs(cos(0, 2))
+
+
+def scanned(n):
+    """Texts with a header at different places, and as many copies of a wrapped clause whose lines look like one."""
+    words = "mieter vermieter frist miete monat textform zugang haus garten keller zahlung abrede nutzung mangel schaden anzeige".split()
+    r = random.Random(8)
+    body = lambda: [" ".join(r.choice(words) for _ in range(6)) for _ in range(3)]
+    head = [(k, f"Die {(b := body())[0]}\n{b[1]}\nRahmenvertrag Wartung{f' – Seite {k}' if k % 2 else ''}\n{b[2]}.") for k in range(n)]
+    clause = "Nach dem {} gilt dies.\nZur Haus- und Grundbesitzerhaftpflicht zählt die Kfz-\nHaftpflicht nicht, wohl aber die Deckung\nzum Neuwert, sofern dies {} ist."
+    return head, [(1000 + k, clause.format(r.choice(words), r.choice(words))) for k in range(n)]
+
+
+def test_lines_of_copied_clauses_are_no_headers(spark):
+    head, prose = scanned(40)
+    got = {(x.id, x.kind) for x in scans.found(rows(spark, *head, *prose), "id", "text").collect()}
+    assert {i for i, k in got if k == "header"} == {i for i, _ in head}
+    fixed = {x.id: x.text for x in scans.repaired(rows(spark, *head, *prose), "id", "text").collect()}
+    assert all("Haftpflicht nicht, wohl aber die Deckung zum Neuwert" in fixed[i] for i, _ in prose)
