@@ -34,12 +34,14 @@ BREAKS = 0.2  # least part of a header's places between lines where the sentence
 GLYPHS = {"1": "l", "I": "l", "i": "l", "|": "l", "!": "l", "0": "o", "O": "o", "c": "e", "f": "t", "b": "h", "u": "n", "9": "g", "q": "g",
           "5": "s", "S": "s", "8": "B", "rn": "m", "vv": "w", "cl": "d", "ii": "ü"}
 _single = {k: v for k, v in GLYPHS.items() if len(k) == 1}
-_text = re.compile(r"[^\W_]+(?:[¨!|][^\W_]*)*").findall
+_word = re.compile(r"[^\W_]+(?:[¨!|][^\W_]*)*")
+_text = _word.findall
 _diaeresis = {"a¨": "ä", "o¨": "ö", "u¨": "ü", "A¨": "Ä", "O¨": "Ö", "U¨": "Ü"}
 _break = re.compile(r"[-‐¬\xad][ \t]*\n[ \t]*(?=[a-zäöüß])")
 _digits = re.compile(r"\d+")
 # numbers that stand alone; a figure inside a word may be a misread letter
-_pieces = re.compile(r"\d(?<![^\W_]\d)[\d.,/]*(?![^\W_])").split
+_numbers = re.compile(r"\d(?<![^\W_]\d)[\d.,/]*(?![^\W_])")
+_pieces = _numbers.split
 
 NUMBER = r"\d{1,4}"
 _pageno = re.compile(rf"^[ \t]*(?:[-–—\[(][ \t]*{NUMBER}[ \t]*[-–—\])]|(?:Seite|Blatt|Page|S\.|p\.)[ \t]*{NUMBER}(?:[ \t]*(?:von|/|of)[ \t]*{NUMBER})?|"
@@ -60,12 +62,18 @@ _runs_on = re.compile(r"(?<!\w)(?:d(?:er|ie|as|en|em|es)|eine?[mnrs]?|und|oder|s
 def pieces(text: str) -> list[str]:
     """The text between numbers, broken words joined and umlauts made of two signs composed. Pieces recur, so what is
     to be done with their words is done once for each."""
-    if "\n" in text:
-        text = _break.sub("", text)
+    return _pieces(_composed(_joined(text)))
+
+
+def _joined(text: str) -> str:
+    return _break.sub("", text) if "\n" in text else text
+
+
+def _composed(text: str) -> str:
     if "¨" in text:
         for a, b in _diaeresis.items():
             text = text.replace(a, b)
-    return _pieces(text)
+    return text
 
 
 def line_key(line: str) -> str:
@@ -243,10 +251,19 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null, empty and blank texts and null ids have none; repeated rows give their kinds once, several texts of one id each
     by itself.
     """
-    spark = df.sparkSession
     src = _source(df, id_col, text_col)
     vocab = written(vocabulary(src))
-    link = written(links(vocab))
+    marks, misread = misreads(src, vocab, written(links(vocab)))
+    line = (marks.where("kind = 'line'").join(headers(vocab), "word")
+                 .select("id", F.explode(F.when(F.col("numbered"), F.array(F.lit("header"), F.lit("pageno"))).otherwise(F.array(F.lit("header")))).alias("kind")))
+    sure = marks.where("kind IN ('hyphen', 'header', 'pageno')").select("id", "kind")
+    return sure.unionByName(misread.select("id", F.lit("misread").alias("kind"))).unionByName(line).distinct()
+
+
+def misreads(src: DataFrame, vocab: DataFrame, link: DataFrame, furniture: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Marks of the texts of src (id, t), kinds of furniture among them if wanted, and (id, word, target, n): the n-th
+    occurrence of a linked word in its text, from 0, where the vectors of the words around it agree with the target."""
+    spark = src.sparkSession
     sums = vocab.where("kind = 'word'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = [r.word for r in vocab.where("kind = 'word'").where(F.col("n") >= max(1.0, COMMON * sums)).orderBy("word").select("word").toLocalIterator()]
     known = {r.word for r in vocab.where("kind = 'word'").where(F.col("n") >= max(LEAST_TARGET, FREQUENT * sums))
@@ -265,15 +282,16 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for k, x in enumerate(w) if x not in known and len(x) >= 3 and not x.isdigit()]
 
         for b in batches:
-            ids, kinds, ws, near, more = [], [], [], [], []
+            ids, kinds, ws, near, more, nth = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if "\n" in t:
+                if furniture and "\n" in t:
                     k, maybe, _ = layout(t)
                     for x in k:
-                        ids.append(i), kinds.append(x), ws.append(None), near.append(None), more.append(False)
+                        ids.append(i), kinds.append(x), ws.append(None), near.append(None), more.append(False), nth.append(0)
                     for _, x, numbered in maybe:
-                        ids.append(i), kinds.append("line"), ws.append(x), near.append(None), more.append(numbered)
+                        ids.append(i), kinds.append("line"), ws.append(x), near.append(None), more.append(numbered), nth.append(0)
                 parts = pieces(t)
+                times: dict[str, int] = {}
                 seen.update(parts)
                 for part in parts:
                     got = unknown.get(part)
@@ -282,9 +300,10 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                             unknown.clear()
                         got = unknown[part] = odd(part)
                     for x, around in got:
-                        ids.append(i), kinds.append("word"), ws.append(x), near.append(around), more.append(False)
+                        times[x] = times.get(x, -1) + 1
+                        ids.append(i), kinds.append("word"), ws.append(x), near.append(around), more.append(False), nth.append(times[x])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(ws, pa.string()),
-                                              pa.array(near, pa.list_(pa.int32())), pa.array(more, pa.bool_()), pa.array([0] * len(ids), pa.int64())],
+                                              pa.array(near, pa.list_(pa.int32())), pa.array(more, pa.bool_()), pa.array(nth, pa.int64())],
                                              names=["id", "kind", "word", "near", "numbered", "n"])
             if len(seen) > 100_000:
                 yield _pairs(seen, common)
@@ -301,22 +320,19 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         number = share_common.value
         for b in batches:
             keep = []
-            for i, target, near in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for at, (target, near) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist())):
                 k = number.get(target)
                 if k is not None and near:
                     c, w = cs[near].mean(0), ws[k]
                     norm = float(np.linalg.norm(c) * np.linalg.norm(w))
                     if norm > 0 and float(c @ w) / norm < FIT:
                         continue
-                keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["id"])
+                keep.append(at)
+            yield b.select(["id", "word", "target", "n"]).take(pa.array(keep, pa.int64()))
 
-    misread = (marks.where("kind = 'word'").join(link, "word").select("id", "target", "near").mapInArrow(fits, "id BIGINT")
-                    .select("id", F.lit("misread").alias("kind")))
-    line = (marks.where("kind = 'line'").join(headers(vocab), "word")
-                 .select("id", F.explode(F.when(F.col("numbered"), F.array(F.lit("header"), F.lit("pageno"))).otherwise(F.array(F.lit("header")))).alias("kind")))
-    sure = marks.where("kind IN ('hyphen', 'header', 'pageno')").select("id", "kind")
-    return sure.unionByName(misread).unionByName(line).distinct()
+    accepted = (marks.where("kind = 'word'").join(link.select("word", "target"), "word").select("id", "word", "target", "n", "near")
+                     .mapInArrow(fits, "id BIGINT, word STRING, target STRING, n BIGINT"))
+    return marks, accepted
 
 
 def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
@@ -348,31 +364,46 @@ def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
 
 def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id BIGINT, text STRING): the texts with furniture removed, broken words joined, misread words corrected and lines
-    joined into paragraphs. Corrections are looked up by a join on the words of the texts that hold unknown ones."""
-    src = _source(df, id_col, text_col).distinct()
-    vocab = written(vocabulary(src))
+    joined into paragraphs. The furniture is that of found(). Several texts of one id are repaired each by itself."""
+    src = written(_source(df, id_col, text_col).distinct().withColumn("row", F.monotonically_increasing_id()))
+    vocab = written(vocabulary(src.select("id", "t")))
     link = written(links(vocab))
-    heads = headers(vocab).select(F.col("word").alias("key"))
-    token = src.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+(?:[¨!|][\p{L}\p{N}]*)*)"), F.lit(1)))).alias("word"))
-    fix = token.join(link, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "target"))).alias("fix"))
-    key = F.regexp_replace(F.lower(F.trim("line")), r"\p{N}+", "#")
-    lines = src.where(F.contains("t", F.lit("\n"))).select("id", F.explode(F.split("t", "\n")).alias("line")).select("id", "line", key.alias("key"))
-    gone = lines.join(heads, "key").groupBy("id").agg(F.collect_set("line").alias("gone"))
+
+    def lines(batches):
+        for b in batches:
+            row, at, key = [], [], []
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k, x, _ in layout(t)[1]:
+                    row.append(r), at.append(k), key.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.string())], names=["row", "at", "word"])
+
+    def clean(batches):
+        for b in batches:
+            out = []
+            for t, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if "\n" in t:
+                    sure, drop = layout(t)[2], set(gone or ())
+                    t = _joined("\n".join(x for k, x in enumerate(t.split("\n")) if not sure[k] and k not in drop))
+                out.append(_composed(t))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["row", "id", "t"])
+
+    gone = (src.where(F.contains("t", F.lit("\n"))).select("row", "t").mapInArrow(lines, "row BIGINT, at INT, word STRING")
+               .join(headers(vocab), "word").groupBy("row").agg(F.collect_set("at").alias("gone")))
+    text = written(src.join(gone, "row", "left").select("row", "id", "t", "gone").mapInArrow(clean, "row BIGINT, id BIGINT, t STRING"))
+    token = src.select("row", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+(?:[¨!|][\p{L}\p{N}]*)*)"), F.lit(1)))).alias("word"))
+    fix = token.join(link, "word").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("word", "target"))).alias("fix"))
 
     def run(batches):
         for b in batches:
             out = []
-            for t, fix, gone in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-                _, _, sure = layout(t)
-                drop = set(gone or [])
-                kept = [x for x, s in zip(t.split("\n"), sure) if not s and x not in drop]
-                t = _break.sub("", "\n".join(kept))
-                for a, c in _diaeresis.items():
-                    t = t.replace(a, c)
+            for t, fix in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 fix = dict(fix or [])
                 if fix:
-                    t = re.sub(r"[^\W_]+(?:[¨!|][^\W_]*)*", lambda m: fix.get(m.group(), m.group()), t)
-                out.append(re.sub(r"(?<![:;])[ \t]*\n[ \t]*(?![-•(]?\w{1,2}[.)]\s|[-•]\s|\d+\s*$)", " ", t))
+                    t = _word.sub(lambda m: fix.get(m.group(), m.group()), t)
+                out.append(_paragraphs(" ", t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
-    return (src.join(fix, "id", "left").join(gone, "id", "left").select("id", "t", "fix", "gone").mapInArrow(run, "id BIGINT, text STRING"))
+    return text.join(fix, "row", "left").select("id", "t", "fix").mapInArrow(run, "id BIGINT, text STRING")
+
+
+_paragraphs = re.compile(r"(?<![:;])[ \t]*\n[ \t]*(?![-•(]?\w{1,2}[.)]\s|[-•]\s|\d+\s*$)").sub

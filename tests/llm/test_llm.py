@@ -249,3 +249,9 @@ def test_lines_of_copied_clauses_are_no_headers(spark):
     assert {i for i, k in got if k == "header"} == {i for i, _ in head}
     fixed = {x.id: x.text for x in scans.repaired(rows(spark, *head, *prose), "id", "text").collect()}
     assert all("Haftpflicht nicht, wohl aber die Deckung zum Neuwert" in fixed[i] for i, _ in prose)
+
+
+def test_repair_drops_headers_with_page_numbers(spark):
+    head, prose = scanned(40)
+    fixed = {x.id: x.text for x in scans.repaired(rows(spark, *head, *prose), "id", "text").collect()}
+    assert not any("Rahmenvertrag" in fixed[i] for i, _ in head)
