@@ -364,7 +364,8 @@ def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
 
 def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id BIGINT, text STRING): the texts with furniture removed, broken words joined, misread words corrected and lines
-    joined into paragraphs. The furniture is that of found(). Several texts of one id are repaired each by itself."""
+    joined into paragraphs. The furniture is that of found(); what is a misread is judged in the texts without it, at each
+    place by the vectors of the words around. Several texts of one id are repaired each by itself."""
     src = written(_source(df, id_col, text_col).distinct().withColumn("row", F.monotonically_increasing_id()))
     vocab = written(vocabulary(src.select("id", "t")))
     link = written(links(vocab))
@@ -390,16 +391,15 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = (src.where(F.contains("t", F.lit("\n"))).select("row", "t").mapInArrow(lines, "row BIGINT, at INT, word STRING")
                .join(headers(vocab), "word").groupBy("row").agg(F.collect_set("at").alias("gone")))
     text = written(src.join(gone, "row", "left").select("row", "id", "t", "gone").mapInArrow(clean, "row BIGINT, id BIGINT, t STRING"))
-    token = src.select("row", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+(?:[¨!|][\p{L}\p{N}]*)*)"), F.lit(1)))).alias("word"))
-    fix = token.join(link, "word").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("word", "target"))).alias("fix"))
+    _, misread = misreads(text.select(F.col("row").alias("id"), "t"), vocab, link, furniture=False)
+    fix = misread.groupBy(F.col("id").alias("row")).agg(F.collect_list(F.struct("word", "n", "target")).alias("fix"))
 
     def run(batches):
         for b in batches:
             out = []
             for t, fix in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                fix = dict(fix or [])
                 if fix:
-                    t = _word.sub(lambda m: fix.get(m.group(), m.group()), t)
+                    t = _corrected(t, {(x["word"], x["n"]): x["target"] for x in fix})
                 out.append(_paragraphs(" ", t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
@@ -407,3 +407,19 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 _paragraphs = re.compile(r"(?<![:;])[ \t]*\n[ \t]*(?![-•(]?\w{1,2}[.)]\s|[-•]\s|\d+\s*$)").sub
+
+
+def _corrected(text: str, fix: dict[tuple[str, int], str]) -> str:
+    """The text with the n-th occurrences of words replaced, words being those of its pieces."""
+    times: Counter = Counter()
+
+    def one(m):
+        w = m.group()
+        times[w] += 1
+        return fix.get((w, times[w] - 1), w)
+
+    out, at = [], 0
+    for m in _numbers.finditer(text):
+        out += [_word.sub(one, text[at:m.start()]), m.group()]
+        at = m.end()
+    return "".join([*out, _word.sub(one, text[at:])])

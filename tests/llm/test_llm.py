@@ -255,3 +255,14 @@ def test_repair_drops_headers_with_page_numbers(spark):
     head, prose = scanned(40)
     fixed = {x.id: x.text for x in scans.repaired(rows(spark, *head, *prose), "id", "text").collect()}
     assert not any("Rahmenvertrag" in fixed[i] for i, _ in head)
+
+
+def test_repair_corrects_in_context_only(spark):
+    r = random.Random(4)
+    a, b = "mieter vermieter zahlung frist".split(), "garten hecke baum rasen".split()
+    one = lambda ws, mid: " ".join([*r.choices(ws, k=3), mid, *r.choices(ws, k=3)])
+    clean = [one(a, "Kündigung") for _ in range(200)] + [one(b, "Wiese") for _ in range(200)]
+    bad = {1000: "mieter zahlung Kündi-\ngnng frist mieter\nEnde hier", 1001: "garten hecke Kündigunq rasen baum\nEnde hier"}
+    fixed = {x.id: x.text for x in scans.repaired(rows(spark, *list(enumerate(clean)), *bad.items()), "id", "text").collect()}
+    assert fixed == dict(enumerate(clean)) | {1000: "mieter zahlung Kündigung frist mieter Ende hier", 1001: "garten hecke Kündigunq rasen baum Ende hier"}
+    assert scans._corrected("Mietcr 3!Mietcr und Mietcr", {("Mietcr", 1): "Mieter"}) == "Mietcr 3!Mieter und Mietcr"
