@@ -266,3 +266,13 @@ def test_repair_corrects_in_context_only(spark):
     fixed = {x.id: x.text for x in scans.repaired(rows(spark, *list(enumerate(clean)), *bad.items()), "id", "text").collect()}
     assert fixed == dict(enumerate(clean)) | {1000: "mieter zahlung Kündigung frist mieter Ende hier", 1001: "garten hecke Kündigunq rasen baum Ende hier"}
     assert scans._corrected("Mietcr 3!Mietcr und Mietcr", {("Mietcr", 1): "Mieter"}) == "Mietcr 3!Mieter und Mietcr"
+
+
+def test_all_segments_come_out(spark, tmp_path):
+    from pagewright.llm import queries
+
+    docs = [(k, " ".join([SAMPLES[lang]] * 4), lang) for k, lang in enumerate(sorted(SAMPLES) * 10)]
+    docs.append((500, SAMPLES["de"] + "\n" + SAMPLES["pl"].rstrip("."), "de"))  # a quotation without a closing mark
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(x.lang, x.sentences) for x in queries.p8_segments(spark, str(tmp_path)).where("doc_id = 500").orderBy("pos").collect()]
+    assert got == [("de", 1), ("pl", 0)]
