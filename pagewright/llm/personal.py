@@ -85,6 +85,7 @@ class Lexicon:
         self.given = given
         first = [g.split("-")[0] for g in given]
         self.forms = {f for g in first for f in (g.capitalize(), g.upper())}
+        self.first = set(first)
 
     def has(self, word: str) -> bool:
         w = word.lower().strip(".,")
@@ -315,7 +316,7 @@ class Model:
 
 
 _wrapped = re.compile(r"[\t  -  　]")
-_lead = re.compile(r"(?<!\d)0")
+_lead = re.compile(r"(?<!\d)0|(?<=(?<!\d)0)0")  # two of them lead to a country
 _mask = str.maketrans("0123456789~", "11111111110")
 _sentences = re.compile(r"(?<=[a-zäöüß“)»][a-zäöüß“)»1][.!?]\s)(?=[A-ZÄÖÜ„»])").split
 
@@ -341,25 +342,27 @@ def _plain(text: str) -> tuple[str, list[int] | None]:
 _odd = re.compile("[^\x00-ɏ‐-‧‰-›€ ]|\xad").search
 
 
-# Each begins with a set or a sign, which the search can skip to.
+# Each begins with a set or a sign, which the search can skip to, and holds wherever its shape does, which may ask for more.
 _streets = ("traße", "trasse", "tr.", "weg", "Weg", "latz", "pl.", "Pl.", "asse", "llee", "ufer", "Ufer", "ring", "Ring", "rund", "inkel", "raben",
             "amm", "teig", "fad", "hof", "Hof", "arkt", "haussee", "omenade")
 _hints = [re.compile(x, re.S).search for x in (
     r"[@\]})]\s?[\w-]+\s?(?:\.|\[dot|\(dot|\{dot)",
-    r"[+(0](?:(?<=\+)\d|(?<=\()0\d|(?<=0)(?<![\w.,/-].)(?:\d{4}|\d{0,5} ?[/. ‐–-]{1,3}\d[\d /‐–-]{3}))",
-    r"[A-Z\d](?<![\w-].)(?:(?<=[A-Z])[A-Z0-9]{7}|(?<=\d)(?:\d{10}|\d ?\d{3} ?\d{3} ?\d{3}|\d\d[- ]\d\d[- ]\d{4}|\d ?\d{6} ?[A-Z]|\d{1,2}/\d{3}/\d{4}))",
+    r"[+(0](?:(?<=\+)\d|(?<=\()0\d|(?<=0)(?<![\w.,/+-].)(?:0\d|\d{4}|\d{0,5} ?[/. ‐–-]{1,3}\d[\d ./‐–-]{3}))",
+    r"[A-Z\d](?<![\w-].)(?:(?<=[A-Z])[A-Z0-9]{7}|(?<=\d)(?:\d{10}|\d\s?\d{3}\s?\d{3}\s?\d{3}|\d\d[- ]\d\d[- ]\d{4}|\d\s?\d{6}\s?[A-Z]|\d{1,2}/\d{3}/\d{4}))",
     r" (?=\d)(?:" + "|".join(f"(?<={re.escape(x)} )" for x in _streets) + ")",
     r"(?:Am|An\sde[rnm]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Hinter\sde[rmn]|Unterer|Oberer|Alter|Alte|Neue|Neuer|Großer|Kleine|Straße\sde[sr]|Platz\sde[rs])\s(?:[A-ZÄÖÜ][\wäöüß]+\s)?[A-ZÄÖÜ][\wäöüß]+ \d",
-    r"\d[a-z]?(?:\s[A-Z][a-z]+){1,3}\s(?:Street|St|Road|Rd|Lane|Ln|Close|Terrace|Avenue|Ave|Drive|Court|Square|Way|Row|Hill|Crescent|Gardens|Place)(?!\w)|\d,?\s(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)\s",
-    r" \d{5}(?<=,.{6}|n.{6})\s[A-ZÄÖÜ]", r"[HF](?:errn?|rau)\s[A-ZÀ-Þ]",
-    rf"[A-ZÀ-Þ]\.(?<![\w.]..)(?<!\w\.\s..)\s(?:{PARTICLE}\s|{PARTICLE.upper()}\s)*[A-ZÀ-Þ]\w", r", [A-ZÀ-Þ]\.(?<=[^\W\d_]....)(?!\w)(?!\s\d)")]
+    r"\d[a-z]?(?:\s[A-Z][a-z]+){1,3}\s(?:Street|St|Road|Rd|Lane|Ln|Close|Terrace|Avenue|Ave|Drive|Court|Square|Way|Row|Hill|Crescent|Gardens|Place)(?!\w)|\d,?\s(?:bis\s|ter\s)?(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)\s",
+    r"\s\d{5}(?<=[,\w].{6})\s[A-ZÄÖÜ]", r"[HF](?:errn?|rau)\s[A-ZÀ-ÞĀ-Ž]",
+    rf"[A-ZÀ-Þ]\.(?<![\w.]..)(?<!\w\.\s..)\s(?:{PARTICLE}\s|{PARTICLE.upper()}\s)*[A-ZÀ-ÞẞĀ-Ž][\w’']", r",\s[A-ZÀ-Þ]\.(?<=[\w’']....)(?!\w)")]
 
 
 def hinted(text: str, lex: Lexicon) -> bool:
-    """Whether a text may hold a candidate at all: whatever matches a shape has one of these marks, or a given name."""
-    if not lex.forms.isdisjoint(_parts(text)):
+    """Whether a text with plain spaces may hold a candidate at all: whatever matches a shape has one of these marks, or a
+    given name, in small and capital letters of any order behind a capital."""
+    words = _parts(text)
+    if not lex.forms.isdisjoint(words) or any(h(text) for h in _hints):
         return True
-    return any(h(text) for h in _hints)
+    return not lex.first.isdisjoint([w.lower() for w in words if not (w.islower() or w.istitle() or w.isupper())])
 
 
 _parts = re.compile(r"[^\W\d_]+").findall
@@ -367,8 +370,10 @@ _parts = re.compile(r"[^\W\d_]+").findall
 
 def analyse(text: str, model: Model) -> list[tuple[int, int, str]]:
     if not _odd(text):
+        text = text.replace("\xa0", " ").replace("\t", " ")  # of those in _wrapped the others are odd
         return model.entities(text) if hinted(text, model.lex) else []
     plain, places = _plain(text)
+    plain = _wrapped.sub(" ", plain)
     if not hinted(plain, model.lex):
         return []
     found = model.entities(plain)

@@ -276,3 +276,25 @@ def test_all_segments_come_out(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(x.lang, x.sentences) for x in queries.p8_segments(spark, str(tmp_path)).where("doc_id = 500").orderBy("pos").collect()]
     assert got == [("de", 1), ("pl", 0)]
+
+
+def test_whatever_matches_a_shape_is_hinted():
+    lex = personal.Lexicon({"greta", "leroy", "jean-pierre"})
+    model = personal.Model(lex.given, personal.fit(lex))
+    cases = {"phone": ["Tel. 01.23.45.67.89", "Tel. 030.12.34.56.78", "Tel. 0049 (0)89 1234567", "Tel. 089\xa01234567"],
+             "address": ["wohnhaft Gartenstraße\xa012", "wohnhaft Lindenhain 12\n54321 Altbruck", "wohnhaft Lindenhain 12 54321 Altbruck", "12, bis rue de Lyon"],
+             "idnum": ["Steuer-ID 12\xa0345\xa0678\xa0901", "Steuer-ID 12 345\n678 901"],
+             "name": ["Frau Šimić Novak", "J. Łuczak", "Herr Leroy Bergfeld", "LeRoy Bergfeld", "Jean-Pierre Bergfeld", "Bergfeld, J. 12"]}
+    for kind, texts in cases.items():
+        for t in texts:
+            flat = personal._wrapped.sub(" ", t)
+            assert kind in {k for _, _, k, _ in personal.candidates(flat, lex)} and personal.hinted(flat, lex), t
+    for t in [*cases["phone"], *cases["address"][:3], *cases["idnum"], *cases["name"][1:2]]:
+        assert personal.analyse(t, model), t
+    r = random.Random(6)
+    bits = [*"0 0 0 1 1 12 123 54321 123456 + ( ) (0) . , / - – @ X. M. CFGHJKLMN A1".split(), " ", " ", " ", "\n", "’", "Frau", "Herr", "Dr.", "von", "Šimić", "Łuk", "ŁUK", "GRETA", "Weg",
+            "Am", "Ring", "rue", "ter", "Lane", "Old", "in", "a", "mail", "(at)"]
+    for _ in range(30000):
+        t = "".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randint(2, 12)))
+        assert personal.hinted(t, lex) or not personal.candidates(t, lex), t
+
