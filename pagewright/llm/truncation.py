@@ -2,8 +2,8 @@
 
 For each source, field and unit (code points, bytes) the discrete hazard of ending at a length, given that the text
 is at least so long, is tested against the hazard of the neighbouring lengths; false discoveries are controlled over
-all lengths of all sources. A text is cut if its end is incomplete and it either has a significant length or is
-running text of which the end can be told: a mark of omission, an open sentence behind a closed one, or an opening
+all lengths of all sources. A text is cut if its end is incomplete and it either has a significant length, whatever
+its end where most texts go no further, or is running text of which the end can be told: a mark of omission, an open sentence behind a closed one, or an opening
 whose other texts close.
 """
 from __future__ import annotations
@@ -19,6 +19,7 @@ NEIGHBOURS = 25  # lengths on each side
 FDR = 0.01
 LEAST_COUNT = 4  # texts of one length
 RATIO = 8  # times the neighbours' hazard that a length's hazard must have
+LIMIT = 0.5  # part of the texts so long or longer that end at a significant length, from which it is a limit of the source
 FOOTER_SHARE = 0.02  # part of a field's texts that close with one paragraph, which then marks a whole text
 FAMILY, CLOSED = 5, 0.6  # texts of one opening, and the part of them that closes
 REPEATS = 3  # texts that close with one line, which then may be a page header
@@ -133,19 +134,22 @@ def truncated(df: DataFrame) -> DataFrame:
     count as often as they occur in the statistics; ties have no bearing. Other columns of df are not read."""
     d = df.select("field", "id", "source", "text").where(F.col("text").rlike(r"\S"))
     e = written(ends(d))
-    sig = (hazards(e).where("significant").groupBy("field", "source")
-            .agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("len"))).alias("chars"),
-                 F.collect_set(F.when(F.col("unit") == "bytes", F.col("len"))).alias("bytes")))
-    family = (e.where("NOT mark AND NOT list AND NOT prose AND opening <> ''").groupBy("field", "opening")
+    lengths = lambda unit, of: F.collect_set(F.when((F.col("unit") == unit) & of, F.col("len")))
+    most = F.col("n") >= LIMIT * F.col("at_risk")
+    sig = (hazards(e).where("significant").groupBy(F.col("field"), F.col("source").alias("src"))
+            .agg(lengths("chars", F.lit(True)).alias("chars"), lengths("bytes", F.lit(True)).alias("bytes"),
+                 lengths("chars", most).alias("most_chars"), lengths("bytes", most).alias("most_bytes")))
+    at = lambda a, b: F.coalesce(F.array_contains(a, F.col("n_chars")) | F.array_contains(b, F.col("n_bytes")), F.lit(False))
+    e = (e.withColumn("src", F.coalesce("source", F.lit(""))).join(sig, ["field", "src"], "left")
+          .withColumn("fixed", at("chars", "bytes")).withColumn("limit", at("most_chars", "most_bytes")))
+    # texts at a limit say nothing about how an opening closes
+    family = (e.where("NOT limit").where("NOT mark AND NOT list AND NOT prose AND opening <> ''").groupBy("field", "opening")
                .agg(F.count("*").alias("k"), F.avg(F.col("terminal").cast("int")).alias("closing"))
                .where(f"k >= {FAMILY}").select("field", "opening", "closing"))
-    e = e.withColumn("src", F.coalesce("source", F.lit("")))
-    e = (e.join(sig.withColumnRenamed("source", "src"), ["field", "src"], "left")
-          .join(family, ["field", "opening"], "left"))
-    fixed = (F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes")))
-    fixed = F.coalesce(fixed, F.lit(False))
+    e = e.join(family, ["field", "opening"], "left")
     closes = F.coalesce(F.col("closing") >= CLOSED, F.lit(False))
-    fixed = fixed & F.coalesce(F.col("closing") > 1 - CLOSED, F.lit(True))
+    limit = F.col("limit")
+    fixed = limit | (F.col("fixed") & F.coalesce(F.col("closing") > 1 - CLOSED, F.lit(True)))
     cut = ~F.col("whole") & (F.col("mark") | (~F.col("terminal") & (
-        (fixed & ~F.col("comma") & ~F.col("list")) | F.col("prose") | (~F.col("list") & closes))))
+        limit | (fixed & ~F.col("comma") & ~F.col("list")) | F.col("prose") | (~F.col("list") & closes))))
     return e.select("field", "id", "source", cut.alias("cut"), fixed.alias("fixed_length"))

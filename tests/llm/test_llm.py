@@ -298,3 +298,18 @@ def test_whatever_matches_a_shape_is_hinted():
         t = "".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randint(2, 12)))
         assert personal.hinted(t, lex) or not personal.candidates(t, lex), t
 
+
+def test_limit_of_a_source_cuts_whatever_the_end(spark):
+    r = random.Random(2)
+    words = "mieter zahlt miete vermieter ende monat abzug frist garten keller".split()
+    body = lambda n: " ".join(r.choice(words) for _ in range(n))
+    clause = lambda: f"Die Deckung gilt {body(50)}."
+    data = [("f", k, "hot", clause()[:120]) for k in range(40)]  # cut copies outnumber the whole ones
+    data += [("f", 100 + k, "hot", f"{body(30)[:119]},") for k in range(8)] + [("f", 200 + k, "ok", clause()) for k in range(6)]
+    data += [("f", 300 + k, "hot", f"{body(r.randint(2, 9)).capitalize()}.") for k in range(60)]
+    data += [("f", 400 + k, "ok", f"infolge der Nutzung von {w}," ) for k, w in enumerate(["Räumen", "Wiesen", "Wegen?"[:5] + "n", "Türmen"] * 5)]
+    data += [("f", 500 + k, "ok", f"{body(r.randint(2, 30)).capitalize()}.") for k in range(200)]
+    df = spark.createDataFrame(data, "field STRING, id BIGINT, source STRING, text STRING")
+    out = {x.id: x.cut for x in truncation.truncated(df).collect()}
+    assert {k for k, c in out.items() if c} == {*range(40), *range(100, 108)}
+
