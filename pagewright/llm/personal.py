@@ -49,7 +49,6 @@ SHAPES = {
                 r"(?<![\w.,])\d{1,4}[a-z]?\s(?:[A-Z][a-z]+\s){1,3}(?:Street|St|Road|Rd|Lane|Ln|Close|Terrace|Avenue|Ave|Drive|Court|Square|Way|Row|Hill|Crescent|Gardens|Place)(?!\w)",
                 r"(?<!\w)\d{1,4},?\s(?:bis\s|ter\s)?(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)\s(?:(?:de|du|des|la|le|l’)\s?)*[A-ZÀ-Þ]?[\w'’-]+"],
 }
-_shapes = [(k, n, re.compile(p)) for k, ps in SHAPES.items() for n, p in enumerate(ps)]
 _lead_title = re.compile(rf"(?:(?<!\w){TITLE}\s)+$").search
 _rest = re.compile(rf"(?:[ -](?:{CAP}|{UP}|[A-ZÀ-Þ]\.))??(?:\s(?:{PARTICLE}|{PARTICLE.upper()}))*\s(?:{CAP}|{UP})(?![\w@])").match
 _turned = re.compile(rf"(?:(?<!\w)(?:{PARTICLE}|{PARTICLE.upper()})\s)*(?<![\w-])(?:{CAP}|{UP}),\s$").search
@@ -76,6 +75,30 @@ CUES = {  # fixed values: words that tell what follows
 _cues = {w: k for k, ws in CUES.items() for w in ws.split()}
 
 
+# Where a shape may stand at all. Each hint begins with a set or a sign, which the search can skip to, and holds wherever its
+# shapes do, which may ask for more; some shapes need a figure.
+_streets = ("traße", "trasse", "tr.", "weg", "Weg", "latz", "pl.", "Pl.", "asse", "llee", "ufer", "Ufer", "ring", "Ring", "rund", "inkel", "raben",
+            "amm", "teig", "fad", "hof", "Hof", "arkt", "haussee", "omenade")
+_shape = lambda kind, *of: [(kind, f"{kind}:{n}", re.compile(SHAPES[kind][n])) for n in of]
+_gates = [(re.compile(x, re.S).search, figure, shapes) for x, figure, shapes in (
+    (r"[@\]})]\s?[\w-]+\s?(?:\.|\[dot|\(dot|\{dot)", False, _shape("email", 0)),
+    (r"[+(0](?:(?<=\+)\d|(?<=\()0\d|(?<=0)(?<![\w.,/+-].)(?:0\d|\d{4}|\d{0,5} ?[/. ‐–-]{1,3}\d[\d ./‐–-]{3}))", True, _shape("phone", 0, 1, 2, 3)),
+    (r"[A-Z\d](?<![\w-].)(?:(?<=[A-Z])[A-Z0-9]{7}|(?<=\d)(?:\d{10}|\d\s?\d{3}\s?\d{3}\s?\d{3}|\d\d[- ]\d\d[- ]\d{4}|\d\s?\d{6}\s?[A-Z]|\d{1,2}/\d{3}/\d{4}))",
+     True, _shape("idnum", 0, 1, 2, 3, 4)),
+    (r"[CFGHJKLMNPRTVWXYZ]{9}", False, _shape("idnum", 5)),
+    (r" (?=\d)(?:" + "|".join(f"(?<={re.escape(x)} )" for x in _streets) + ")", True, _shape("address", 0)),
+    (r"(?:Am|An\sde[rnm]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Hinter\sde[rmn]|Unterer|Oberer|Alter|Alte|Neue|Neuer|Großer|Kleine|Straße\sde[sr]|Platz\sde[rs])\s(?:[A-ZÄÖÜ][\wäöüß]+\s)?[A-ZÄÖÜ][\wäöüß]+ \d",
+     True, _shape("address", 1)),
+    (r"\d[a-z]?(?:\s[A-Z][a-z]+){1,3}\s(?:Street|St|Road|Rd|Lane|Ln|Close|Terrace|Avenue|Ave|Drive|Court|Square|Way|Row|Hill|Crescent|Gardens|Place)(?!\w)|\d,?\s(?:bis\s|ter\s)?(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)\s",
+     True, _shape("address", 3, 4)),
+    (r"\s\d{5}(?<=[,\w].{6})\s[A-ZÄÖÜ]", True, _shape("address", 2)),
+    (r"[HF](?:errn?|rau)\s[A-ZÀ-ÞĀ-Ž]", False, [("name", "name:titled", _titled)]),
+    (rf"[A-ZÀ-Þ]\.(?<![\w.]..)(?<!\w\.\s..)\s(?:{PARTICLE}\s|{PARTICLE.upper()}\s)*[A-ZÀ-ÞẞĀ-Ž][\w’']|,\s[A-ZÀ-Þ]\.(?<=[\w’']....)(?!\w)", False,
+     [("name", "name:initial", _initial)]))]
+_figure = re.compile(r"\d").search
+_parts = re.compile(r"[^\W\d_]+").findall
+
+
 def _fold(s: str) -> str:
     return s.lower().rstrip(".:,;(")
 
@@ -83,33 +106,44 @@ def _fold(s: str) -> str:
 class Lexicon:
     def __init__(self, given: set[str]):
         self.given = given
-        first = [g.split("-")[0] for g in given]
-        self.forms = {f for g in first for f in (g.capitalize(), g.upper())}
-        self.first = set(first)
+        self.first = {g.split("-")[0] for g in given}
 
     def has(self, word: str) -> bool:
         w = word.lower().strip(".,")
         return w in self.given or ("-" in w and w.split("-")[0] in self.given)
 
 
-def candidates(s: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, kind, features) of every segment that could be an entity."""
-    out = []
-    spots = [(m.start(), m.start() + len(_stop(m.group())[0].rstrip("./- ")) if k == "phone" else m.end(), k, f"{k}:{n}")
-             for k, n, p in _shapes for m in p.finditer(s)]
+def _spots(s: str, lex: Lexicon):
+    """(start, end, kind, shape) of every segment that could be an entity; the shapes of a kind are looked for where their
+    hint is."""
+    figures = _figure(s) is not None
+    for hint, needs_figure, shapes in _gates:
+        if (figures or not needs_figure) and hint(s):
+            for kind, n, p in shapes:
+                for m in p.finditer(s):
+                    a, b = m.span()
+                    yield a, a + len(_stop(m.group())[0].rstrip("./- ")) if kind == "phone" else b, kind, n
+    if lex.first.isdisjoint(_parts(s.lower())):
+        return
     for m in _words.finditer(s):
         if m.group()[0].isupper() and lex.has(m.group()):
             a, b = m.span()
             lead = _lead_title(s[:a])
             start = lead.start() if lead else a
             if rest := _rest(s, b):
-                spots.append((start, rest.end(), "name", "name:given"))
+                yield start, rest.end(), "name", "name:given"
             if turned := _turned(s[max(0, a - 60):a]):
-                spots.append((max(0, a - 60) + turned.start(), b, "name", "name:turned"))
-    spots += [(*m.span(), "name", "name:titled") for m in _titled.finditer(s)]
-    spots += [(*m.span(), "name", "name:initial") for m in _initial.finditer(s)]
+                yield max(0, a - 60) + turned.start(), b, "name", "name:turned"
+
+
+def candidates(s: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, kind, features) of every segment that could be an entity."""
+    spots = set(_spots(s, lex))
+    if not spots:
+        return []
+    out = []
     shapes = defaultdict(list)
-    for a, b, kind, shape in sorted(set(spots)):
+    for a, b, kind, shape in sorted(spots):
         shapes[a, b, kind].append(shape)
     for (a, b, kind), own in shapes.items():
         text = s[a:b]
@@ -293,17 +327,16 @@ class Model:
 
     def sentence(self, masked: str) -> list[tuple[int, int, str]]:
         """Entities of a sentence with masked figures."""
-        got = decode(candidates(masked, self.lex), self.weights) if hinted(masked, self.lex) else []
+        got = decode(candidates(masked, self.lex), self.weights)
         if len(masked) < 1000:
-            if len(self.cache) > 100_000:
+            if len(self.cache) > 250_000:
                 self.cache.clear()
             self.cache[masked] = got
         return got
 
     def entities(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) in a text, in order. Sentences are cut at line ends only where a full stop stands."""
-        flat = _wrapped.sub(" ", text)
-        flat = _lead.sub("~", flat).translate(_mask)
+        """(start, end, kind) in a text with plain spaces, in order. Sentences are cut at line ends only where a full stop stands."""
+        flat = masked(text)
         out, at, get = [], 0, self.cache.get
         for part in _sentences(flat):
             got = get(part)
@@ -311,14 +344,20 @@ class Model:
                 got = self.sentence(part)
             if got:
                 out += [(a + at, b + at, k) for a, b, k in got]
-            at += len(part)
+            at += len(part) + 1
         return out
 
 
+def masked(text: str) -> str:
+    """All figures 1, but for one or two leading 0, which tell area and country codes. Which digit stands where decides
+    nothing else, so that sentences recur."""
+    return _digit.sub("1", _lead.sub("\1", text).replace("0", "1")).replace("\1", "0")
+
+
 _wrapped = re.compile(r"[\t  -  　]")
-_lead = re.compile(r"(?<!\d)0|(?<=(?<!\d)0)0")  # two of them lead to a country
-_mask = str.maketrans("0123456789~", "11111111110")
-_sentences = re.compile(r"(?<=[a-zäöüß“)»][a-zäöüß“)»1][.!?]\s)(?=[A-ZÄÖÜ„»])").split
+_lead = re.compile(r"0(?:(?<!\d0)|(?<=(?<!\d)00))")  # two of them lead to a country
+_digit = re.compile("[2-9]")
+_sentences = re.compile(r"\s(?<=[a-zäöüß“)»][a-zäöüß“)»1][.!?]\s)(?=[A-ZÄÖÜ„»])").split
 
 
 def _plain(text: str) -> tuple[str, list[int] | None]:
@@ -328,6 +367,10 @@ def _plain(text: str) -> tuple[str, list[int] | None]:
         return form, None
     chars, places = [], []
     for k, ch in enumerate(text):
+        if " " <= ch < "\x7f":  # stands for itself and joins nothing before it
+            chars.append(ch)
+            places.append(k)
+            continue
         v = visible_form(ch)
         joined = visible_form(chars[-1] + v) if chars and v else ""
         if chars and v and len(joined) == 1:
@@ -342,41 +385,12 @@ def _plain(text: str) -> tuple[str, list[int] | None]:
 _odd = re.compile("[^\x00-ɏ‐-‧‰-›€ ]|\xad").search
 
 
-# Each begins with a set or a sign, which the search can skip to, and holds wherever its shape does, which may ask for more.
-_streets = ("traße", "trasse", "tr.", "weg", "Weg", "latz", "pl.", "Pl.", "asse", "llee", "ufer", "Ufer", "ring", "Ring", "rund", "inkel", "raben",
-            "amm", "teig", "fad", "hof", "Hof", "arkt", "haussee", "omenade")
-_hints = [re.compile(x, re.S).search for x in (
-    r"[@\]})]\s?[\w-]+\s?(?:\.|\[dot|\(dot|\{dot)",
-    r"[+(0](?:(?<=\+)\d|(?<=\()0\d|(?<=0)(?<![\w.,/+-].)(?:0\d|\d{4}|\d{0,5} ?[/. ‐–-]{1,3}\d[\d ./‐–-]{3}))",
-    r"[A-Z\d](?<![\w-].)(?:(?<=[A-Z])[A-Z0-9]{7}|(?<=\d)(?:\d{10}|\d\s?\d{3}\s?\d{3}\s?\d{3}|\d\d[- ]\d\d[- ]\d{4}|\d\s?\d{6}\s?[A-Z]|\d{1,2}/\d{3}/\d{4}))",
-    r" (?=\d)(?:" + "|".join(f"(?<={re.escape(x)} )" for x in _streets) + ")",
-    r"(?:Am|An\sde[rnm]|Auf\sde[rm]|Im|In\sde[rn]|Zum|Zur|Hinter\sde[rmn]|Unterer|Oberer|Alter|Alte|Neue|Neuer|Großer|Kleine|Straße\sde[sr]|Platz\sde[rs])\s(?:[A-ZÄÖÜ][\wäöüß]+\s)?[A-ZÄÖÜ][\wäöüß]+ \d",
-    r"\d[a-z]?(?:\s[A-Z][a-z]+){1,3}\s(?:Street|St|Road|Rd|Lane|Ln|Close|Terrace|Avenue|Ave|Drive|Court|Square|Way|Row|Hill|Crescent|Gardens|Place)(?!\w)|\d,?\s(?:bis\s|ter\s)?(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)\s",
-    r"\s\d{5}(?<=[,\w].{6})\s[A-ZÄÖÜ]", r"[HF](?:errn?|rau)\s[A-ZÀ-ÞĀ-Ž]",
-    rf"[A-ZÀ-Þ]\.(?<![\w.]..)(?<!\w\.\s..)\s(?:{PARTICLE}\s|{PARTICLE.upper()}\s)*[A-ZÀ-ÞẞĀ-Ž][\w’']", r",\s[A-ZÀ-Þ]\.(?<=[\w’']....)(?!\w)")]
-
-
-def hinted(text: str, lex: Lexicon) -> bool:
-    """Whether a text with plain spaces may hold a candidate at all: whatever matches a shape has one of these marks, or a
-    given name, in small and capital letters of any order behind a capital."""
-    words = _parts(text)
-    if not lex.forms.isdisjoint(words) or any(h(text) for h in _hints):
-        return True
-    return not lex.first.isdisjoint([w.lower() for w in words if not (w.islower() or w.istitle() or w.isupper())])
-
-
-_parts = re.compile(r"[^\W\d_]+").findall
-
-
 def analyse(text: str, model: Model) -> list[tuple[int, int, str]]:
     if not _odd(text):
         text = text.replace("\xa0", " ").replace("\t", " ")  # of those in _wrapped the others are odd
-        return model.entities(text) if hinted(text, model.lex) else []
+        return model.entities(text)
     plain, places = _plain(text)
-    plain = _wrapped.sub(" ", plain)
-    if not hinted(plain, model.lex):
-        return []
-    found = model.entities(plain)
+    found = model.entities(_wrapped.sub(" ", plain))
     if places is None:
         return found
     places = [*places, len(text)]
