@@ -1,8 +1,8 @@
 """Traces of scanning in texts.
 
 Skip-gram vectors are learnt from all texts: the counts of words near each other, gathered once for each form of a
-sentence with masked figures, make the matrix of shifted positive pointwise mutual information whose factors are
-the vectors that skip-gram with negative sampling converges to. A rare word is linked to a frequent one if plausible
+sentence with masked figures, make the matrix of positive pointwise mutual information whose factors are the vectors
+that skip-gram with one negative sample converges to. A rare word is linked to a frequent one if plausible
 edits of glyphs lead from one to the other, which holds if both fold to one skeleton; it is corrected where the
 vectors of the words around it agree with the frequent word. Page furniture is told by its look, or by texts that hold
 the line in different places and across their sentences; what is left flows into paragraphs.
@@ -23,10 +23,11 @@ RATIO = 30  # times that the frequent word must be more frequent
 LEAST_TARGET = 30  # occurrences of the frequent word
 COMMON = 1e-4  # part of all words from which a word has a vector; so at most 1 / COMMON words have one
 FREQUENT = 4e-6  # part of all words from which a word is taken as known; so at most 1 / FREQUENT words are sent around
-DIMS, SHIFT, NEAR = 50, 1.0, 2
+DIMS, NEGATIVES, NEAR = 50, 1, 2  # with one negative sample for each pair the matrix is shifted by log 1, that is not at all; 5 turn down true misreadings
 FIT = 0.1  # least cosine of a word's neighbours with the frequent word
 UNBROKEN = 5  # a word is no misreading if one in so many of its occurrences is in a text without line breaks
 REPEATS = 3  # texts that hold a line
+SALTS = 8  # parts of the texts that hold one header
 SAME_WORD = 0.5  # part of a line's occurrences with one word before it, or behind it, from which it belongs to that word
 BREAKS = 0.2  # least part of a header's places between lines where the sentence runs on across it
 
@@ -49,9 +50,13 @@ _pageno = re.compile(rf"^[ \t]*(?:[-–—\[(][ \t]*{NUMBER}[ \t]*[-–—\])]|(
 _bare = re.compile(rf"^[ \t]*{NUMBER}[ \t]*$").match
 _with_no = re.compile(rf"(?:[ \t]+[–—|·-][ \t]*|[ \t]{{2,}})(?:(?:Seite|Blatt|S\.|Page)[ \t]*)?{NUMBER}(?:[ \t]*(?:/|von|of)[ \t]*{NUMBER})?[ \t]*$|^[ \t]*(?:Seite[ \t]*)?{NUMBER}(?:[ \t]*/[ \t]*{NUMBER})?"
                       rf"(?:[ \t]{{2,}}|[ \t]*[–—|·][ \t]*)(?=\D)", re.I)
-_look = re.compile(r"[ \t][|·•][ \t]|^UR-N[Rr]\. ?\d+|\bStand \d\d/\d{4}$|\bFassung \d{4}$|^[^a-zäöüß\n]{0,3}(?:[A-ZÄÖÜ]{3,}[^a-zäöüß\n]*)$").search
+_signs = re.compile(r"[ \t][|·•][ \t]").search
+_dated = re.compile(r"\bStand \d\d/\d{4}$|\bFassung \d{4}$").search
+_register = re.compile(r"UR-N[Rr]\. ?\d+").match
+_capitals = re.compile(r"[^a-zäöüß\n]{0,3}(?:[A-ZÄÖÜ]{3,}[^a-zäöüß\n]*)$").match
 _own = re.compile(r"(?:und|oder|bzw|sowie|als|bis|noch|wie|et|and|or|ou|en|of)\b").match
-_ends = re.compile(r"[.,;:!?“”»«)\-‐¬\xad…]\s*$").search
+_ENDS = frozenset(".,;:!?“”»«)-‐¬\xad…")
+_numbered_item = re.compile(r"\w{1,2}[.)] ").match
 _closes = re.compile(r"[.:!?“”»«)…]$").search
 _plain_words = re.compile(r"[^\W_]+").findall
 # Words behind which the line runs on, so that it is no header.
@@ -76,8 +81,18 @@ def _composed(text: str) -> str:
     return text
 
 
+def _without_no(line: str) -> str:
+    """A line without the page number at one of its ends."""
+    x = line.strip()
+    return _with_no.sub("", line) if x and (x[-1].isdigit() or x[0].isdigit() or x[:5].lower() == "seite") else line
+
+
 def line_key(line: str) -> str:
-    return _digits.sub("#", _with_no.sub("", line).strip().lower())
+    return _digits.sub("#", _without_no(line).strip().lower())
+
+
+def _look(s: str) -> bool:
+    return bool((("|" in s or "·" in s or "•" in s) and _signs(s)) or (s[-1:].isdigit() and _dated(s)) or _register(s) or _capitals(s))
 
 
 def skeleton(word: Column) -> Column:
@@ -87,10 +102,9 @@ def skeleton(word: Column) -> Column:
     return x
 
 
-def layout(text: str) -> tuple[set[str], list[tuple[int, str, bool]], list[bool]]:
+def layout(lines: list[str]) -> tuple[set[str], list[tuple[int, str, bool]], list[bool]]:
     """(kinds found, lines that may be headers as number, key and whether they hold a page number, furniture for sure by
     line)."""
-    lines = text.split("\n")
     n = len(lines)
     kinds: set[str] = set()
     maybe: list[tuple[int, str, bool]] = []
@@ -108,15 +122,18 @@ def layout(text: str) -> tuple[set[str], list[tuple[int, str, bool]], list[bool]
             if prose and not any(_bare(x.strip()) for x in beside) and not (k and lines[k - 1].rstrip().endswith(":")):
                 kinds.add("pageno")
                 sure[k] = True
-        elif len(s) <= 120 and n > 1:
-            numbered = bool(_with_no.search(line)) and not _ends(s)
-            if _look(_with_no.sub("", s).strip()) and not s.endswith((".", ",", ";", "“")):
+        elif n > 1:
+            open_end = s[-1] not in _ENDS
+            bare = _without_no(line)
+            numbered = open_end and bare != line
+            bare = bare.strip()
+            if s[-1] not in ".,;“" and _look(bare):
                 kinds.add("header")
                 sure[k] = True
                 if numbered:
                     kinds.add("pageno")
-            elif not _ends(s) and (s[0].isupper() or numbered) and not re.match(r"\w{1,2}[.)] ", s) and not _runs_on(_with_no.sub("", s).rstrip()):
-                maybe.append((k, line_key(line), numbered))
+            elif open_end and (numbered or s[0].isupper()) and not _numbered_item(s) and not _runs_on(bare[-8:]):  # the longest of these words has six letters
+                maybe.append((k, _digits.sub("#", bare.lower()), numbered))
     for k in range(n - 1):
         s = lines[k].rstrip()
         if len(s) > 1 and s[-1] in "-‐¬\xad" and s[-2].isalpha():
@@ -129,15 +146,13 @@ def layout(text: str) -> tuple[set[str], list[tuple[int, str, bool]], list[bool]
     return kinds, maybe, sure
 
 
-def surroundings(text: str) -> list[tuple[str, str]]:
+def surroundings(lines: list[str], maybe: list[tuple[int, str, bool]], sure: list[bool]) -> list[tuple[str, str]]:
     """(kind, word) of what tells whether the lines that may be headers are: the line, once for a text (line); the line with
     the word before it (before) and behind it (after), furniture left out; whether it stands between lines (between), and
     whether a sentence runs on from the one above to the one below (breaks)."""
-    _, maybe, sure = layout(text)
     out = [("line", key) for key in {key for _, key, _ in maybe}]
     if not maybe:
         return out
-    lines = text.split("\n")
     stay = [k for k, x in enumerate(lines) if x.strip() and not sure[k]]
     at = {k: j for j, k in enumerate(stay)}
     for k, key, _ in maybe:
@@ -160,21 +175,33 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
               .where(r"id IS NOT NULL AND t RLIKE '\\S'"))
 
 
-def vocabulary(src: DataFrame) -> DataFrame:
-    """(kind, word, n): words with their number of occurrences (word), of those in texts without line breaks (flat), and
-    lines that may be headers with their number of texts (line) and their surroundings()."""
+def read(src: DataFrame) -> DataFrame:
+    """Rows (kind, word, n, id, at, numbered) of texts (id, t), which are laid out but once. Counts: words with their number
+    of occurrences (word), of those in texts without line breaks (flat), and lines that may be headers with their number of
+    texts (line) and their surroundings(). Marks of a text, n null: hyphen, header and pageno that are sure, the numbers of the
+    lines that are furniture for sure (sure), and the lines that may be headers (maybe)."""
 
     def run(batches):
         broken: Counter = Counter()
         flat: Counter = Counter()
         lines: Counter = Counter()
         for b in batches:
-            for t in b.column(1).to_pylist():
+            kinds, words, ids, at, numbers = [], [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if "\n" in t.strip():
                     broken.update(pieces(t))
-                    lines.update(surroundings(t))
+                    split = t.split("\n")
+                    found, maybe, sure = layout(split)
+                    lines.update(surroundings(split, maybe, sure))
+                    marks = [*((k, None, None, None) for k in found), *(("maybe", x, k, no) for k, x, no in maybe),
+                             *(("sure", None, k, None) for k, x in enumerate(sure) if x)]
+                    for kind, x, k, no in marks:
+                        kinds.append(kind), words.append(x), ids.append(i), at.append(k), numbers.append(no)
                 else:
                     flat.update(pieces(t))
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.nulls(n, pa.int64()), pa.array(ids, pa.int64()),
+                                              pa.array(at, pa.int32()), pa.array(numbers, pa.bool_())], names=_READ)
             if len(broken) + len(flat) + len(lines) > 200_000:
                 yield _counts(broken, flat, lines)
                 broken.clear()
@@ -182,7 +209,15 @@ def vocabulary(src: DataFrame) -> DataFrame:
                 lines.clear()
         yield _counts(broken, flat, lines)
 
-    return src.mapInArrow(run, "kind STRING, word STRING, n BIGINT").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(run, "kind STRING, word STRING, n BIGINT, id BIGINT, at INT, numbered BOOLEAN")
+
+
+_READ = ["kind", "word", "n", "id", "at", "numbered"]
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(kind, word, n): the counts of read()."""
+    return rows.where("n IS NOT NULL").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
 def _counts(broken: Counter, flat: Counter, lines: Counter) -> pa.RecordBatch:
@@ -194,8 +229,17 @@ def _counts(broken: Counter, flat: Counter, lines: Counter) -> pa.RecordBatch:
                 for c in counters:
                     c[w] += n
     kinds = ["word"] * len(found) + ["flat"] * len(unbroken) + [k for k, _ in lines]
+    k = len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*found, *unbroken, *(x for _, x in lines)], pa.string()),
-                                       pa.array([*found.values(), *unbroken.values(), *lines.values()], pa.int64())], names=["kind", "word", "n"])
+                                       pa.array([*found.values(), *unbroken.values(), *lines.values()], pa.int64()), pa.nulls(k, pa.int64()),
+                                       pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_())], names=_READ)
+
+
+def in_headers(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The marks of lines that are headers. A header that a large part of the texts holds is spread over salts."""
+    heads = headers(vocab).select("word", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+    maybe = rows.where("kind = 'maybe'").select("word", F.pmod(F.hash("id", "at"), F.lit(SALTS)).alias("salt"), "id", "at", "numbered")
+    return maybe.join(heads, ["word", "salt"])
 
 
 def headers(vocab: DataFrame) -> DataFrame:
@@ -211,29 +255,39 @@ def headers(vocab: DataFrame) -> DataFrame:
                         & (F.col("breaks") >= BREAKS * F.col("between"))).select("word"))
 
 
-def links(vocab: DataFrame) -> DataFrame:
+def words_of(vocab: DataFrame) -> int:
+    return vocab.where("kind = 'word'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def frequent(total: int) -> float:
+    """Occurrences from which a word is taken as known, and as one that others may be misreadings of."""
+    return max(LEAST_TARGET, FREQUENT * total)
+
+
+def links(vocab: DataFrame, total: int) -> DataFrame:
     """(word, target, n, n_target): rare words with the frequent word of their skeleton. Scanned pages keep their lines, so
     a word that texts without line breaks use too is a word of its own."""
     flat = vocab.where("kind = 'flat'").select("word", F.col("n").alias("n_flat"))
     v = vocab.where("kind = 'word'").where(F.col("word").rlike(r"\p{L}.*[\p{L}]") & (F.length("word") >= 3)).withColumn("sk", skeleton(F.col("word")))
     top = (v.where(F.col("word").rlike(r"^\p{L}+$")).groupBy("sk").agg(F.max_by("word", F.struct("n", "word")).alias("target"), F.max("n").alias("n_target"))
-            .where(f"n_target >= {LEAST_TARGET}"))
+            .where(F.col("n_target") >= frequent(total)))
     return (v.join(top, "sk").where(f"word <> target AND n * {RATIO} <= n_target").where(F.lower("word") != F.lower("target"))
              .join(flat, "word", "left").where(f"coalesce(n_flat, 0) * {UNBROKEN} < n").select("word", "target", "n", "n_target"))
 
 
-def vectors(pairs: list[tuple[int, int, float]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word and context vectors from the counts of pairs of the n common words; a pair counts for both of its words."""
+def vectors(pairs: list[tuple[int, int, float]], n: int, negatives: float = NEGATIVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context vectors from the counts of pairs of the n common words, and each word's part of all contexts; a
+    pair counts for both of its words."""
     m = np.zeros((n, n), dtype=np.float64)
     for a, b, k in pairs:
         m[a, b] += k
         m[b, a] += k
     total = max(1.0, m.sum())
-    out = np.log(np.maximum(m, 1e-9) * total / np.maximum(np.outer(m.sum(1), m.sum(0)), 1e-9)) - np.log(SHIFT)
+    out = np.log(np.maximum(m, 1e-9) * total / np.maximum(np.outer(m.sum(1), m.sum(0)), 1e-9)) - np.log(negatives)
     out = np.where(m > 0, np.maximum(out, 0), 0)
     u, s, vt = np.linalg.svd(out, full_matrices=False) if n <= 3000 else _top(out)
     d = min(DIMS, len(s))
-    return u[:, :d] * np.sqrt(s[:d]), vt[:d].T * np.sqrt(s[:d])
+    return u[:, :d] * np.sqrt(s[:d]), vt[:d].T * np.sqrt(s[:d]), m.sum(0) / total
 
 
 def _top(m: np.ndarray):
@@ -252,44 +306,45 @@ def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by itself.
     """
     src = _source(df, id_col, text_col)
-    vocab = written(vocabulary(src))
-    marks, misread = misreads(src, vocab, written(links(vocab)))
-    line = (marks.where("kind = 'line'").join(headers(vocab), "word")
-                 .select("id", F.explode(F.when(F.col("numbered"), F.array(F.lit("header"), F.lit("pageno"))).otherwise(F.array(F.lit("header")))).alias("kind")))
-    sure = marks.where("kind IN ('hyphen', 'header', 'pageno')").select("id", "kind")
-    return sure.unionByName(misread.select("id", F.lit("misread").alias("kind"))).unionByName(line).distinct()
-
-
-def misreads(src: DataFrame, vocab: DataFrame, link: DataFrame, furniture: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Marks of the texts of src (id, t), kinds of furniture among them if wanted, and (id, word, target, n): the n-th
-    occurrence of a linked word in its text, from 0, where the vectors of the words around it agree with the target."""
+    rows = written(read(src))
+    vocab = written(vocabulary(rows))
+    misread = misreads(src, vocab).select("id", F.lit("misread").alias("kind"))
+    line = in_headers(rows, vocab).select("id", F.explode(F.when(F.col("numbered"), F.array(F.lit("header"), F.lit("pageno")))
+                                                           .otherwise(F.array(F.lit("header")))).alias("kind"))
+    sure = rows.where("kind IN ('hyphen', 'header', 'pageno') AND n IS NULL").select("id", "kind")
+    return sure.unionByName(misread).unionByName(line).distinct()
+
+
+def misreads(src: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, word, target, n): in texts (id, t) the n-th occurrence of a linked word in its text, from 0, where the vectors of
+    the words around it agree with the target. The vectors of common words are factors of the counts of their pairs; any
+    other target's vector is made of its own pairs with the common words."""
     spark = src.sparkSession
-    sums = vocab.where("kind = 'word'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = [r.word for r in vocab.where("kind = 'word'").where(F.col("n") >= max(1.0, COMMON * sums)).orderBy("word").select("word").toLocalIterator()]
-    known = {r.word for r in vocab.where("kind = 'word'").where(F.col("n") >= max(LEAST_TARGET, FREQUENT * sums))
-             .join(link.select("word"), "word", "left_anti").select("word").toLocalIterator()}
-    share_known, share_common = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast({w: k for k, w in enumerate(common)})
+    total = words_of(vocab)
+    link = written(links(vocab, total))
+    word = vocab.where("kind = 'word'")
+    common = [r.word for r in word.where(F.col("n") >= max(1.0, COMMON * total)).orderBy("word").select("word").toLocalIterator()]
+    known = [r.word for r in word.where(F.col("n") >= frequent(total)).join(link.select("word"), "word", "left_anti").orderBy("word").select("word").toLocalIterator()]
+    size = len(common)
+    number = {w: k for k, w in enumerate(common)}
+    for w in known:
+        number.setdefault(w, len(number))
+    share_known, share_number = spark.sparkContext.broadcast(set(known)), spark.sparkContext.broadcast(number)
 
     def run(batches):
-        known, common = share_known.value, share_common.value
+        known, number = share_known.value, share_number.value
         seen: Counter = Counter()
         unknown: dict[str, list] = {}
 
         def odd(piece):
             """Unknown words of a piece, each with the common words around it."""
             w = _text(piece)
-            return [(x, [common[y] for y in (*w[max(0, k - NEAR):k], *w[k + 1:k + 1 + NEAR]) if y in common])
+            return [(x, [c for y in (*w[max(0, k - NEAR):k], *w[k + 1:k + 1 + NEAR]) if (c := number.get(y, size)) < size])
                     for k, x in enumerate(w) if x not in known and len(x) >= 3 and not x.isdigit()]
 
         for b in batches:
-            ids, kinds, ws, near, more, nth = [], [], [], [], [], []
+            ids, ws, near, nth = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if furniture and "\n" in t:
-                    k, maybe, _ = layout(t)
-                    for x in k:
-                        ids.append(i), kinds.append(x), ws.append(None), near.append(None), more.append(False), nth.append(0)
-                    for _, x, numbered in maybe:
-                        ids.append(i), kinds.append("line"), ws.append(x), near.append(None), more.append(numbered), nth.append(0)
                 parts = pieces(t)
                 times: dict[str, int] = {}
                 seen.update(parts)
@@ -301,43 +356,62 @@ def misreads(src: DataFrame, vocab: DataFrame, link: DataFrame, furniture: bool
                         got = unknown[part] = odd(part)
                     for x, around in got:
                         times[x] = times.get(x, -1) + 1
-                        ids.append(i), kinds.append("word"), ws.append(x), near.append(around), more.append(False), nth.append(times[x])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(ws, pa.string()),
-                                              pa.array(near, pa.list_(pa.int32())), pa.array(more, pa.bool_()), pa.array(nth, pa.int64())],
-                                             names=["id", "kind", "word", "near", "numbered", "n"])
+                        ids.append(i), ws.append(x), near.append(around), nth.append(times[x])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.string()), pa.array(near, pa.list_(pa.int32())), pa.array(nth, pa.int64())],
+                                             names=["id", "word", "near", "n"])
             if len(seen) > 100_000:
-                yield _pairs(seen, common)
+                yield _pairs(seen, number, size)
                 seen.clear()
-        yield _pairs(seen, common)
+        yield _pairs(seen, number, size)
 
-    marks = written(src.mapInArrow(run, "id BIGINT, kind STRING, word STRING, near ARRAY<INT>, numbered BOOLEAN, n BIGINT"))
-    pairs = [(r[0], r[1], float(r[2])) for r in marks.where("kind = 'pair'").groupBy(F.col("near")[0], F.col("near")[1]).agg(F.sum("n")).toLocalIterator()]
-    word_vectors, context_vectors = vectors(pairs, len(common))
-    share_vectors = spark.sparkContext.broadcast((word_vectors, context_vectors))
+    marks = written(src.mapInArrow(run, "id BIGINT, word STRING, near ARRAY<INT>, n BIGINT"))
+    pair = marks.where("word IS NULL").groupBy(F.col("near")[0].alias("a"), F.col("near")[1].alias("b")).agg(F.sum("n").alias("n"))
+    pair = written(pair)
+    word_vectors, context_vectors, weight = vectors([(r.a, r.b, float(r.n)) for r in pair.where(F.greatest("a", "b") < size).toLocalIterator()], size)
+    share_vectors = spark.sparkContext.broadcast((word_vectors, context_vectors, weight))
+
+    def fold_in(batches):
+        _, cs, weight = share_vectors.value
+        for b in batches:
+            out = []
+            for near, ns in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                n = np.array(ns, dtype=np.float64)
+                pmi = np.maximum(np.log(n / (n.sum() * np.maximum(weight[near], 1e-12))) - np.log(NEGATIVES), 0)
+                out.append((pmi @ cs[near]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["target", "vector"])
+
+    ids = spark.createDataFrame([(w, k) for w, k in number.items() if k >= size], "target STRING, k INT") if len(number) > size else None
+    targets = link.select("target").distinct()
+    own = None
+    if ids is not None:
+        far = pair.where(F.greatest("a", "b") >= size).select(F.greatest("a", "b").alias("k"), F.least("a", "b").alias("near"), "n").groupBy("k", "near").agg(F.sum("n").alias("n"))
+        own = (far.groupBy("k").agg(F.collect_list("near").alias("near"), F.collect_list("n").alias("n")).join(ids.join(targets, "target", "left_semi"), "k")
+                  .select("target", "near", "n").mapInArrow(fold_in, "target STRING, vector ARRAY<DOUBLE>"))
 
     def fits(batches):
-        ws, cs = share_vectors.value
-        number = share_common.value
+        ws, cs, _ = share_vectors.value
+        number = share_number.value
         for b in batches:
             keep = []
-            for at, (target, near) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist())):
-                k = number.get(target)
-                if k is not None and near:
-                    c, w = cs[near].mean(0), ws[k]
+            for at, (target, near, own) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())):
+                k = number.get(target, size)
+                w = ws[k] if k < size else np.array(own) if own else None
+                if w is not None and near:
+                    c = cs[near].mean(0)
                     norm = float(np.linalg.norm(c) * np.linalg.norm(w))
                     if norm > 0 and float(c @ w) / norm < FIT:
                         continue
                 keep.append(at)
             yield b.select(["id", "word", "target", "n"]).take(pa.array(keep, pa.int64()))
 
-    accepted = (marks.where("kind = 'word'").join(link.select("word", "target"), "word").select("id", "word", "target", "n", "near")
-                     .mapInArrow(fits, "id BIGINT, word STRING, target STRING, n BIGINT"))
-    return marks, accepted
+    cand = marks.where("word IS NOT NULL").join(link.select("word", "target"), "word").select("id", "word", "target", "n", "near")
+    cand = cand.join(own, "target", "left") if own is not None else cand.withColumn("vector", F.lit(None).cast("array<double>"))
+    return cand.select("id", "word", "target", "n", "near", "vector").mapInArrow(fits, "id BIGINT, word STRING, target STRING, n BIGINT")
 
 
-def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
-    """Counts of common words within NEAR words of each other, in the order of the text."""
-    get, size = common.get, max(1, len(common))
+def _pairs(seen: Counter, number: dict[str, int], common: int) -> pa.RecordBatch:
+    """Counts of numbered words within NEAR words of each other, in the order of the text; one of them at least common."""
+    get, size = number.get, max(1, len(number))
     ids: list[int] = []
     sizes: list[int] = []
     gap = [-1] * NEAR
@@ -350,7 +424,7 @@ def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
     n = np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), sizes)
     keys, weights = [], []
     for d in range(1, NEAR + 1):
-        ok = (x[:-d] >= 0) & (x[d:] >= 0)
+        ok = (x[:-d] >= 0) & (x[d:] >= 0) & (np.minimum(x[:-d], x[d:]) < common)
         keys.append(x[:-d][ok] * size + x[d:][ok])
         weights.append(n[:-d][ok])
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -358,8 +432,7 @@ def _pairs(seen: Counter, common: dict[str, int]) -> pa.RecordBatch:
     k = len(key)
     both = np.stack([key // size, key % size], axis=1).astype(np.int32).ravel()
     near = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * k + 1, 2, dtype=np.int32)), pa.array(both, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(["pair"] * k, pa.string()), pa.nulls(k, pa.string()), near,
-                                       pa.array([False] * k, pa.bool_()), pa.array(total, pa.int64())], names=["id", "kind", "word", "near", "numbered", "n"])
+    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), near, pa.array(total, pa.int64())], names=["id", "word", "near", "n"])
 
 
 def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -367,31 +440,23 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined into paragraphs. The furniture is that of found(); what is a misread is judged in the texts without it, at each
     place by the vectors of the words around. Several texts of one id are repaired each by itself."""
     src = written(_source(df, id_col, text_col).distinct().withColumn("row", F.monotonically_increasing_id()))
-    vocab = written(vocabulary(src.select("id", "t")))
-    link = written(links(vocab))
-
-    def lines(batches):
-        for b in batches:
-            row, at, key = [], [], []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, x, _ in layout(t)[1]:
-                    row.append(r), at.append(k), key.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.string())], names=["row", "at", "word"])
+    rows = written(read(src.select(F.col("row").alias("id"), "t")))
+    vocab = written(vocabulary(rows))
 
     def clean(batches):
         for b in batches:
             out = []
             for t, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if "\n" in t:
-                    sure, drop = layout(t)[2], set(gone or ())
-                    t = _joined("\n".join(x for k, x in enumerate(t.split("\n")) if not sure[k] and k not in drop))
-                out.append(_composed(t))
+                if gone:
+                    drop = set(gone)
+                    t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
+                out.append(_composed(_joined(t)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["row", "id", "t"])
 
-    gone = (src.where(F.contains("t", F.lit("\n"))).select("row", "t").mapInArrow(lines, "row BIGINT, at INT, word STRING")
-               .join(headers(vocab), "word").groupBy("row").agg(F.collect_set("at").alias("gone")))
+    gone = (rows.where("kind = 'sure'").select("id", "at").unionByName(in_headers(rows, vocab).select("id", "at"))
+                .groupBy(F.col("id").alias("row")).agg(F.collect_set("at").alias("gone")))
     text = written(src.join(gone, "row", "left").select("row", "id", "t", "gone").mapInArrow(clean, "row BIGINT, id BIGINT, t STRING"))
-    _, misread = misreads(text.select(F.col("row").alias("id"), "t"), vocab, link, furniture=False)
+    misread = misreads(text.select(F.col("row").alias("id"), "t"), vocab)
     fix = misread.groupBy(F.col("id").alias("row")).agg(F.collect_list(F.struct("word", "n", "target")).alias("fix"))
 
     def run(batches):

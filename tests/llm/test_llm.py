@@ -229,7 +229,8 @@ def test_scans_kinds_and_repair(spark):
 def test_vectors_put_like_words_together():
     pairs = [(a, b, 50.0) for a in (0, 1) for b in (4, 5)] + [(a, b, 50.0) for a in (2, 3) for b in (6, 7)]
     pairs += [(b, a, n) for a, b, n in pairs]
-    w, _ = scans.vectors(pairs, 8)
+    w, _, part = scans.vectors(pairs, 8)
+    assert part.sum() == pytest.approx(1) and not scans.vectors(pairs, 8, negatives=5)[0].any()  # these pairs are no more frequent than that shift asks
     cos = lambda a, b: float(w[a] @ w[b] / np.linalg.norm(w[a]) / np.linalg.norm(w[b]))
     assert cos(0, 1) > 0.9 > abs(cos(0, 2))
 
@@ -269,6 +270,28 @@ def test_repair_corrects_in_context_only(spark):
     assert scans._corrected("Mietcr 3!Mietcr und Mietcr", {("Mietcr", 1): "Mieter"}) == "Mietcr 3!Mieter und Mietcr"
 
 
+def test_vectors_judge_targets_that_are_not_common(spark):
+    """A target below the share of a common word is judged by its own pairs with common words."""
+    r = random.Random(4)
+    a, b = "mieter vermieter zahlung frist".split(), "garten hecke baum rasen".split()
+    one = lambda ws, mid: " ".join([*r.choices(ws, k=3), mid, *r.choices(ws, k=3)])
+    clean = [one(a, "Kündigung") for _ in range(200)] + [one(b, "Wiese") for _ in range(200)] + [" ".join(r.choices(a if k % 2 else b, k=60)) for k in range(9000)]
+    bad = {100000: "mieter zahlung Kündigunq frist mieter\nEnde hier", 100001: "garten hecke Kündigunq rasen baum\nEnde hier"}
+    df = rows(spark, *list(enumerate(clean)), *bad.items())
+    assert 200 < scans.COMMON * sum(len(t.split()) for t in [*clean, *bad.values()]) * 5 and 200 / (9000 * 60) > scans.FREQUENT
+    old, scans.COMMON = scans.COMMON, 1e-3
+    try:
+        assert {x.id for x in scans.found(df, "id", "text").collect()} == {100000}
+    finally:
+        scans.COMMON = old
+
+
+def test_one_header_in_most_texts(spark):
+    head, _ = scanned(300)  # one key for all texts
+    got = {x.id for x in scans.found(rows(spark, *head), "id", "text").where("kind = 'header'").collect()}
+    assert got == {i for i, _ in head}
+
+
 def test_all_segments_come_out(spark, tmp_path):
     from pagewright.llm import queries
 
