@@ -455,7 +455,12 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     gone = (rows.where("kind = 'sure'").select("id", "at").unionByName(in_headers(rows, vocab).select("id", "at"))
                 .groupBy(F.col("id").alias("row")).agg(F.collect_set("at").alias("gone")))
-    text = written(src.join(gone, "row", "left").select("row", "id", "t", "gone").mapInArrow(clean, "row BIGINT, id BIGINT, t STRING"))
+    composed = F.col("t")
+    for a, c in _diaeresis.items():
+        composed = F.replace(composed, F.lit(a), F.lit(c))
+    one = src.where(~F.contains("t", F.lit("\n"))).select("row", "id", F.when(F.contains("t", F.lit("¨")), composed).otherwise(F.col("t")).alias("t"))
+    several = src.where(F.contains("t", F.lit("\n"))).join(gone, "row", "left").select("row", "id", "t", "gone").mapInArrow(clean, "row BIGINT, id BIGINT, t STRING")
+    text = written(one.unionByName(several))
     misread = misreads(text.select(F.col("row").alias("id"), "t"), vocab)
     fix = misread.groupBy(F.col("id").alias("row")).agg(F.collect_list(F.struct("word", "n", "target")).alias("fix"))
 
