@@ -68,9 +68,11 @@ def furniture_key(line: Column) -> Column:
 
 
 def dehyphenate(c: Column) -> Column:
-    x = F.replace(c, F.lit("­\n"), F.lit(""))
-    x = F.replace(x, F.lit("­"), F.lit(""))
-    return F.regexp_replace(x, r"([a-zäöüß])-\s*\n\s*([a-zäöüß])", "$1$2")
+    """Broken words joined: a soft hyphen goes with all space behind it, a hyphen between small letters with the line break
+    behind it if there is one; compounds go on with a capital or a space."""
+    x = F.regexp_replace(c, r"\x{ad}[\s\p{Z}]*", "")
+    x = F.regexp_replace(x, r"([a-zäöüß])-\s*\n\s*([a-zäöüß])", "$1$2")
+    return F.regexp_replace(x, r"([a-zäöüß])-([a-zäöüß])", "$1$2")
 
 
 def reflow(c: Column) -> Column:
@@ -90,14 +92,53 @@ def strip_leading_id(content: Column, ident: Column) -> Column:
     return F.when(ok, trim(dotted)).otherwise(c)
 
 
+def trim_all(c: Column) -> Column:
+    """Without spaces, tabs and line breaks at both ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+
+
 def bold_label(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)^(\p{Lu}[^:.\n]{1,39}):[\s]*(.*)$", "**$1:** $2")
+    """A text that opens with a short label of one line and a colon, the label in bold."""
+    return F.regexp_replace(trim_all(c), r"(?s)^(\p{Lu}[^:.\n]{1,39}):[\p{Zs}\t]*(.*)$", "**$1:** $2")
+
+
+def undotted(ident: Column) -> Column:
+    return F.regexp_replace(F.coalesce(ident, F.lit("")), r"\.+$", "")
 
 
 def heading(ident: Column, title: Column) -> Column:
-    """Heading of a section: id without closing dots, then the title unless it repeats the id."""
-    i = F.regexp_replace(F.trim(F.coalesce(ident, F.lit(""))), r"\.+$", "")
-    t = F.trim(F.coalesce(title, F.lit("")))
-    t = F.when((i != "") & F.startswith(t, i) & F.substring(t, F.length(i) + F.lit(1), F.lit(1)).isin("", " ", "."),
-               F.trim(F.regexp_replace(F.substring(t, F.length(i) + F.lit(1), F.length(t)), r"^\.+", ""))).otherwise(t)
-    return F.trim(F.concat_ws(" ", F.when(i != "", i), F.when(t != "", t)))
+    """Heading of a section: the title if it begins with the id, else the id without closing dots and the title; a number
+    in front loses its dot."""
+    i, t = undotted(ident), F.coalesce(title, F.lit(""))
+    h = F.when(F.startswith(norm_id(t), norm_id(i)), t).otherwise(F.concat(i, F.lit(" "), t))
+    return trim(F.regexp_replace(h, r"^([0-9]+(?:\.[0-9]+)*)\.(\s)", "$1$2"))
+
+
+def gap_pattern(key: Column, gap: str) -> Column:
+    """Pattern of the characters of a key with a gap allowed between them."""
+    return F.array_join(F.split(key, ""), gap)
+
+
+def plural(n: Column, one: str, more: str) -> Column:
+    return F.when(n == 1, F.lit(one)).otherwise(F.lit(more))
+
+
+def literal_pattern(c: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
+
+
+def bold_spans(line: Column) -> Column:
+    """The parts of a line that `**` encloses; an odd number of marks is text."""
+    parts = F.split(line, r"\*\*")
+    inner = F.filter(parts, lambda x, k: k % 2 == 1)
+    return F.when(F.size(parts) % 2 == 1, inner).otherwise(F.array().cast("array<string>"))
+
+
+def slice_trim(c: Column) -> Column:
+    """Without white space and the marks that join a heading to its text, at both ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z},;:–-]+|[\s\p{Z},;:–-]+\z", "")
+
+
+def base64url(c: Column) -> Column:
+    return F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), "=+$", "")

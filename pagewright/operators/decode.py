@@ -5,7 +5,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FENCE = r"^\s*```[a-zA-Z]*\s*|\s*```\s*$"
-ANSWER = "title STRING, reference STRING, date STRING, notary STRING"
+SUBSECTIONS = "ARRAY<STRUCT<id: STRING, content: STRING>>"
+ANSWER = {"title": "STRING", "reference": "STRING", "date": "STRING", "notary": "STRING", "annotations": "ARRAY<STRING>",
+          "parties": "ARRAY<STRUCT<name: STRING, role: STRING, details: STRING>>", "sections": f"ARRAY<STRUCT<id: STRING, title: STRING, subsections: {SUBSECTIONS}>>",
+          "signatures": "ARRAY<STRUCT<name: STRING, role: STRING>>", "subsections": SUBSECTIONS, "anchors": "ARRAY<STRUCT<id: STRING, start: STRING>>"}
 
 
 def chat_outcome(df: DataFrame, col: str) -> DataFrame:
@@ -34,17 +37,20 @@ def candidate_outcome(df: DataFrame, col: str) -> DataFrame:
 
 
 def parse_ladder(df: DataFrame, col: str) -> DataFrame:
-    """df with answer (STRUCT of strings) and rung: the text as it is, without fences, with control characters in strings
-    allowed, its outermost braces; rung 0 if none is an object, then raw holds the text."""
+    """df with answer (a STRUCT of what an answer, a run of clauses or a list of anchors may hold) and rung: the text as it
+    is, without fences, with control characters in strings allowed, its outermost braces, these with control characters;
+    rung 0 if none is an object, then raw holds the text. A field of another shape than expected is null, the rest stays."""
     x = F.trim(F.coalesce(F.col(col), F.lit("")))
     bare = F.trim(F.regexp_replace(x, FENCE, ""))
     braces = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    loose = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
+    loose = {"allowUnquotedControlChars": "true"}
     rungs = [(x, {}), (bare, {}), (bare, loose), (braces, {}), (braces, loose)]
+    schema = ", ".join(f"{k} {t}" for k, t in ANSWER.items())
 
     def attempt(text, options):
-        got = F.from_json(text, ANSWER + ", _corrupt STRING", {**options, "columnNameOfCorruptRecord": "_corrupt"})
-        return F.when(text.rlike(r"(?s)^\{.*\}$") & got["_corrupt"].isNull(), F.struct(*[got[c.split()[0]].alias(c.split()[0]) for c in ANSWER.split(", ")]))
+        # whether the text can be read at all is asked with a field it doesn't have, so that no field's shape has a say
+        bad = F.from_json(text, "_none STRING, _corrupt STRING", {**options, "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].isNotNull()
+        return F.when(text.rlike(r"(?s)^\{.*\}$") & ~bad, F.from_json(text, schema, options))
 
     d = df.withColumns({f"_r{k}": attempt(t, o) for k, (t, o) in enumerate(rungs, 1)})
     names = [f"_r{k}" for k in range(1, 6)]

@@ -33,6 +33,8 @@ class Item:
     text: str
     key: str
     anchor: str | None
+    anchor_id: str | None = None
+    page: int = 0
 
 
 def fold(s: str) -> str:
@@ -40,16 +42,35 @@ def fold(s: str) -> str:
 
 
 def places(s: str) -> tuple[str, list[int]]:
-    """The fold of a text and the place in it of each of the fold's characters."""
+    """The fold of a text and the place in it of each of the fold's characters; a letter goes with the marks behind it."""
     out, at = [], []
-    for k, ch in enumerate(s):
-        for c in ch.lower():
+    for m in _with_marks(s):
+        for c in unicodedata.normalize("NFC", m.group()).lower():
             if unicodedata.category(c)[0] in "LMN":
                 out.append(c)
-                at.append(k)
+                at.append(m.start())
     return "".join(out), at
 
 
+_with_marks = re.compile("(?s).[\u0300-\u036f]*").finditer
+
+
+_runs = re.compile(r"[0-9.,]+").findall
+_clause = re.compile(r"([1-9][0-9]?(?:\.[1-9][0-9]?){1,3})(?:$|\.$|\.[.,])").match
+
+
+def clause_ids(s: str | None) -> set[str]:
+    """As functions.text.clause_ids."""
+    return {m[1] for r in _runs(s or "") if (m := _clause(r))}
+
+
+def neighbours(ident: str) -> set[str]:
+    """As functions.text.neighbours."""
+    *stem, last = ident.split(".")
+    near = {".".join([*stem, str(int(last) + k)]) for k in (-1, 1) if int(last) + k > 0}
+    return near | ({".".join(stem)} if len(stem) > 1 else set())
+
+
 def norm_id(s: str | None) -> str:
     return (s or "").strip(" .")
 
@@ -83,20 +104,27 @@ def sanitize(run: list[list[str]], prefix: str, wanted: set[str]) -> list[list[s
     return parts[0] if len(parts) == 1 and len(parts[0]) >= 2 else None
 
 
+def toc(sec: Sec) -> bool:
+    return TOC in f"{sec.id} {sec.title}".lower()
+
+
 def splice(secs: list[Sec], run: list[list[str]], prefix: str) -> list[Sec] | None:
     """The sections with the run in place of the stretch of one section that matches it best: subsections of the prefix's
-    number next to each other of which openings match the run's, widened by neighbours with an id of the run; the first of
-    the best. None if nothing matches."""
+    number next to each other of which two openings or more match the run's, widened by neighbours with an id of the run; the
+    first of the best. None if nothing matches so; tables of contents are left alone."""
     keys = [k for _, c in run if len(k := fold(c)[:48]) >= 12]
+    if len(keys) < 2:
+        return None
     ids = {norm_id(i) for i, _ in run}
     best: tuple[int, int, int, int] | None = None
     for s, sec in enumerate(secs):
+        if toc(sec):
+            continue
         marks = []
         for i, c in sec.subs:
             k = fold(c)[:48]
             same = len(k) >= 12 and any(k.startswith(x) or x.startswith(k) for x in keys)
-            inside = norm_id(i).split(".")[0] == prefix or (not norm_id(i) and same)
-            marks.append((inside, same, norm_id(i) in ids))
+            marks.append((norm_id(i).split(".")[0] == prefix, same, norm_id(i) in ids))
         k = 0
         while k < len(marks):
             if not marks[k][0]:
@@ -106,7 +134,7 @@ def splice(secs: list[Sec], run: list[list[str]], prefix: str) -> list[Sec] | No
             while end < len(marks) and marks[end][0]:
                 end += 1
             hits = [j for j in range(k, end) if marks[j][1]]
-            if hits and (best is None or len(hits) > best[0]):
+            if len(hits) >= 2 and (best is None or len(hits) > best[0]):
                 lo, hi = hits[0], hits[-1] + 1
                 while lo > k and marks[lo - 1][2]:
                     lo -= 1
@@ -138,7 +166,7 @@ class Board:
         return [(s, k) for s, row in enumerate(self.folds) for k, f in enumerate(row) if key in f]
 
     def sub_id(self, at: tuple[int, int]) -> str:
-        return norm_id(self.secs[at[0]].subs[at[1]][0]).strip("()").lower()
+        return norm_id(self.secs[at[0]].subs[at[1]][0]).lower()
 
     def insert(self, s: int, k: int, sub: list[str]) -> None:
         self.secs[s].subs.insert(k, sub)
@@ -153,11 +181,13 @@ class Board:
         self.folds[s][k] = fold(sub[1])
 
     def target(self, item: Item) -> tuple[int, int] | None:
-        """Behind the last subsection that holds the item's anchor, in a section that lacks the item's id."""
+        """Behind the last subsection that holds the item's anchor, in a section that lacks the item's id; those that have the
+        anchor's own id come first."""
         if not item.anchor:
             return None
         free = [at for at in self.containing(item.anchor) if all(self.sub_id((at[0], k)) != item.id.lower() for k in range(len(self.secs[at[0]].subs)))]
-        return max(free) if free else None
+        own = [at for at in free if item.anchor_id is None or self.sub_id(at) == item.anchor_id.lower()]
+        return max(own or free, default=None)
 
 
 def _shown(item: Item, content: str) -> bool:
@@ -178,10 +208,10 @@ def _misfiled(board: Board, at: tuple[int, int], item: Item) -> bool:
     return board.sub_id((s, 1)) == "a" or re.match(r"a[.)]\s", subs[1][1]) is not None
 
 
-def repair_items(secs: list[Sec], items: list[Item]) -> tuple[list[Sec], int]:
+def repair_items(secs: list[Sec], items: list[Item]) -> tuple[list[Sec], list[Item]]:
     """Items of the pages back in their sections, one after the other, each seeing what those before it changed; and the
-    number of items that found no place."""
-    board, lost = Board(secs), 0
+    items that found no place."""
+    board, lost = Board(secs), []
     for item in items:
         hits = board.containing(item.key)
         own = [h for h in hits if board.sub_id(h) == item.id.lower()]
@@ -200,14 +230,17 @@ def repair_items(secs: list[Sec], items: list[Item]) -> tuple[list[Sec], int]:
             ident, content = board.secs[s].subs[k]
             folded, at = places(content)
             start = folded.find(item.key)
-            cut = at[start] if start >= 0 else 0
+            if start < 0:  # folded otherwise than it is cut
+                continue
+            cut = at[start]
             head = content[:cut].rstrip()
-            if not head:
+            tail = content[cut:].strip()
+            if not head.strip():
                 if not norm_id(ident):
-                    board.write(s, k, [item.id, content])
+                    board.write(s, k, [item.id, tail])
             else:
-                board.write(s, k, [ident, head])
-                board.insert(s, k + 1, [item.id, content[cut:]])
+                board.write(s, k, [ident, head.strip()])
+                board.insert(s, k + 1, [item.id, tail])
             continue
         if hits:
             continue
@@ -215,7 +248,7 @@ def repair_items(secs: list[Sec], items: list[Item]) -> tuple[list[Sec], int]:
         if to:
             board.insert(to[0], to[1] + 1, [item.id, item.text])
         else:
-            lost += 1
+            lost.append(item)
     return board.secs, lost
 
 
@@ -268,7 +301,7 @@ def split_scopes(secs: list[Sec], pages: list[str]) -> tuple[list[Sec], list[str
     todo, out, heads = list(secs)[::-1], [], []
     while todo:
         sec = todo.pop()
-        cut = None if TOC in sec.title.lower() else _restart(sec)
+        cut = None if toc(sec) else _restart(sec)
         head = heading_above(fold(sec.subs[cut][1])[:32], pages) if cut is not None and len(fold(sec.subs[cut][1])) >= 12 else None
         if head is None:
             out.append(sec)
@@ -293,9 +326,7 @@ def _restart(sec: Sec) -> int | None:
     if len(sec.subs) < 3:
         return None
     for j in range(1, len(ids)):
-        if ids[j][1] <= ids[j - 1][1]:
-            if ids[j][1] != (1,):
-                return None
+        if ids[j][1] == (1,) and ids[j][1] <= ids[j - 1][1]:
             run = [ids[j][1]]
             for _, n in ids[j + 1:]:
                 if n == (1,):
@@ -309,8 +340,8 @@ def _restart(sec: Sec) -> int | None:
 
 def recut(block: list[list[str]], anchors: list[tuple[str, str]]) -> list[list[str]] | None:
     """A block cut anew at the openings that the pages print behind its numbers: all or nothing. Openings of 12 folded
-    characters may stand anywhere, of 6 only at the start of a paragraph; numbers ascend, and every number of the block
-    must find its place."""
+    characters may stand anywhere, of 6 only at the start of a paragraph; the numbers found must ascend in the order of their
+    places, and every number of the block must be among them."""
     have = {n for i, _ in block if (n := numeric(i))}
     if len(have) < 2:
         return None
@@ -325,7 +356,7 @@ def recut(block: list[list[str]], anchors: list[tuple[str, str]]) -> list[list[s
         size += len(fold(p))
     cursor, cuts = 0, []
     for n, i, key in cand:
-        if len(key) < 6 or (cuts and n <= cuts[-1][0]):
+        if len(key) < 6:
             continue
         pos = folded.find(key, cursor)
         while pos >= 0 and len(key) < 12 and pos not in starts:
@@ -333,7 +364,7 @@ def recut(block: list[list[str]], anchors: list[tuple[str, str]]) -> list[list[s
         if pos >= 0:
             cuts.append((n, norm_id(i), pos))
             cursor = pos + 1
-    if len(cuts) < 2 or not have <= {c[0] for c in cuts}:
+    if len(cuts) < 2 or any(a[0] >= b[0] for a, b in zip(cuts, cuts[1:])) or not have <= {c[0] for c in cuts}:
         return None
     edge = [at[c[2]] for c in cuts] + [len(text)]
     trim = " \t\n,;:-–"
@@ -362,7 +393,7 @@ def rebind(secs: list[Sec], anchors: list[tuple[str, str]]) -> tuple[list[Sec],
     """Blocks of ascending numbers cut anew, or, where a block can't be, its parts of one first number; and how many were."""
     out, done = [], 0
     for sec in secs:
-        if TOC in sec.title.lower() or len(sec.subs) < 2:
+        if toc(sec) or len(sec.subs) < 2:
             out.append(sec)
             continue
         subs = []
@@ -375,27 +406,58 @@ def rebind(secs: list[Sec], anchors: list[tuple[str, str]]) -> tuple[list[Sec],
     return out, done
 
 
+# -- stray letters and duplicates -------------------------------------------------------------------
+
+def _letter(ident: str) -> str | None:
+    x = ident.strip().rstrip(".")
+    return x if len(x) == 1 and x.isalpha() and x.islower() else None
+
+
+def demote(secs: list[Sec]) -> list[Sec]:
+    """Sections that are a letter of the enumeration in front of them, back in it."""
+    out: list[Sec] = []
+    for sec in secs:
+        letter = _letter(sec.id)
+        if not letter or not out or not any(_letter(i) for i, _ in out[-1].subs):
+            out.append(Sec(sec.id, sec.title, [list(x) for x in sec.subs]))
+            continue
+        bare = [c for i, c in sec.subs if not norm_id(i) and c]
+        out[-1].subs += [[letter, "\n".join(([sec.title] if sec.title else []) + bare)], *([i, c] for i, c in sec.subs if norm_id(i))]
+    return out
+
+
+def drop_duplicates(secs: list[Sec]) -> list[Sec]:
+    """Sections without enumerated subsections of which an earlier one of the section holds the whole text."""
+    out = []
+    for sec in secs:
+        kept, seen = [], []
+        for i, c in sec.subs:
+            f = fold(c)
+            if len(f) >= 12 and re.match(r"\(|[^\W\d_]{1,2}$", norm_id(i)) and norm_id(i) == norm_id(i).lower() and any(f in x for x in seen):
+                continue
+            kept.append([i, c])
+            seen.append(f)
+        out.append(Sec(sec.id, sec.title, kept))
+    return out
+
+
 def recover_front(secs: list[Sec], pages: list[str]) -> list[Sec]:
     """Prose that stands before the first body text on its page and that no section holds, in front."""
     board = Board(secs)
-    body = [f[:32] for s in range(len(board.secs)) if not board.front(s) for f in board.folds[s] if len(f) >= 12]
-    if not body:
-        return board.secs
-    page = next((p for p in pages if body[0] in fold(p)), None)
+    start = next((s for s in range(len(board.secs)) if not board.front(s)), len(board.secs))
+    key = next((f[:32] for row in board.folds[start:] for f in row if len(f) >= 12), None)
+    page = next((p for p in pages if key in fold(p)), None) if key else None
     if page is None:
         return board.secs
-    rows, seen, above = _lines(page), "", []
-    for line in rows:
-        if body[0] in fold(seen + line):
-            break
-        seen += line
-        above.append(line)
+    folded, at = places(page)
+    cut = folded.find(key)
+    above = _lines(page[:at[cut]] if cut >= 0 else "")
     clause = re.compile(r"[0-9]{1,2}(\.[0-9]{1,2})*\.?(\s|$)").match
-    while above and (not above[-1] or clause(above[-1]) or heading_like(above[-1])):
+    while above and (not above[-1] or clause(above[-1])):
         above.pop()
     prose: list[str] = []
     for line in reversed(above):
-        if not line or line.isdigit() or clause(line) or line.startswith("--- Seite ") or TOC in line.lower() or len(line) < (10 if prose else 25):
+        if not line or line.isdigit() or clause(line) or line.startswith("--- Seite ") or len(line) < (10 if prose else 25):
             break
         prose.insert(0, line)
     paragraphs: list[list[str]] = []
@@ -403,7 +465,7 @@ def recover_front(secs: list[Sec], pages: list[str]) -> list[Sec]:
         if not paragraphs or (paragraphs[-1][-1].endswith(".") and line[:1].isupper()):
             paragraphs.append([])
         paragraphs[-1].append(line)
-    texts = [re.sub(r"([a-zäöüß])- ([a-zäöüß])", r"\1\2", " ".join(p)) for p in paragraphs]
+    texts = [re.sub(r"\s*\n\s*", " ", re.sub(r"([a-zäöüß])-\s*\n\s*([a-zäöüß])", r"\1\2", "\n".join(p))) for p in paragraphs]
     new = [["", t] for t in texts if len(fold(t)) >= 24 and len(t) >= 40 and not board.containing(fold(t)[:64])]
     if new:
         front = next((s for s in range(len(board.secs)) if board.front(s)), None)
@@ -423,30 +485,32 @@ def _nested(pdf: pd.DataFrame) -> list[Sec]:
     out = []
     for _, g in pdf.sort_values(["sec_pos", "sub_pos"], kind="stable").groupby("sec_pos", sort=True):
         first = g.iloc[0]
-        out.append(Sec(first.section or "", first.title or "", [[i or "", c or ""] for i, c in zip(g.id, g.content) if i is not None or c is not None]))
+        text = lambda x: x if isinstance(x, str) else ""
+        out.append(Sec(text(first.section), text(first.title), [[text(i), text(c)] for p, i, c in zip(g.sub_pos, g.id, g.content) if not pd.isna(p)]))
     return out
 
 
 def _flat(doc: int, secs: list[Sec], note: str) -> pd.DataFrame:
-    rows = [(doc, s, k, sec.id, sec.title, i, c, note) for s, sec in enumerate(secs) for k, (i, c) in enumerate(sec.subs)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FLAT.split(", ")]).astype({"doc_id": "int64", "sec_pos": "int32", "sub_pos": "int32"})
+    rows = [(doc, s, k, sec.id, sec.title, i, c, note) for s, sec in enumerate(secs) for k, (i, c) in (enumerate(sec.subs) if sec.subs else [(None, (None, None))])]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in FLAT.split(", ")]).astype({"doc_id": "int64", "sec_pos": "int32", "sub_pos": "Int32"})
 
 
 def relation(sections: DataFrame, subs: DataFrame) -> DataFrame:
-    """(doc_id, sec_pos, sub_pos, section, title, id, content): subsections beside their section's id and title. Repeated
-    sections count once, null ids and contents are empty."""
-    head = sections.groupBy("doc_id", "sec_pos").agg(F.max("id").alias("section"), F.max("title").alias("title"))
-    return subs.select("doc_id", "sec_pos", "sub_pos", "id", "content").distinct().join(head, ["doc_id", "sec_pos"], "left")
+    """(doc_id, sec_pos, sub_pos, section, title, id, content): subsections beside their section's id and title; a section
+    without any has a row of nulls. Repeated rows count once; of different rows of one section the greatest stands."""
+    head = sections.groupBy("doc_id", "sec_pos").agg(F.max(F.struct("id", "title")).alias("h")).select("doc_id", "sec_pos", F.col("h.id").alias("section"), "h.title")
+    return subs.select("doc_id", "sec_pos", "sub_pos", "id", "content").distinct().join(head, ["doc_id", "sec_pos"], "full").select(
+        "doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content")
 
 
 def repaired_items(rel: DataFrame, pages: DataFrame) -> DataFrame:
     """The relation after repair_items, note holding the number of items without a place."""
-    it = structure.items(pages).select("doc_id", "pos", "line_no", "token", "id", "text", "key", "anchor")
+    it = structure.items(pages).select("doc_id", "pos", "line_no", "token", "id", "text", "key", "anchor", "anchor_id")
 
     def run(key, left, right):
         rows = right.sort_values(["pos", "line_no"]).itertuples()
-        secs, lost = repair_items(_nested(left), [Item(r.token, r.id, r.text, r.key, r.anchor) for r in rows])
-        return _flat(int(key[0]), secs, str(lost))
+        secs, lost = repair_items(_nested(left), [Item(r.token, r.id, r.text, r.key, r.anchor, r.anchor_id) for r in rows])
+        return _flat(int(key[0]), secs, str(len(lost)))
 
     return rel.groupBy("doc_id").cogroup(it.groupBy("doc_id")).applyInPandas(run, FLAT)
 

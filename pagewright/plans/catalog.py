@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import clauses, pages
-from pagewright.plans import oracle, second, stateful
+from pagewright.operators import clauses, pages, structure
+from pagewright.plans import details, oracle, planted, second, stateful
 from pagewright.sources import table
 
 CHUNK = 2_000  # characters of a chunk in the query: test documents are short
@@ -46,6 +46,19 @@ def clause_ids_gate(s, d):
                     F.col("n_missing").between(1, clauses.RETRY).alias("retried"))
 
 
+def _bare(s, d):
+    return clauses.bare_numbered(*planted.bare(s, d), clauses.source_ids(_page(s, d)), _page(s, d))
+
+
+def audit_warning(s, d):
+    """All that a reader is told, sections with bare numbers and items without a place being the planted ones."""
+    miss, inv = _missing(s, d), _invented(s, d)
+    items = structure.items(planted.pages_of_items(s, d)).where("doc_id % 7 = 0")
+    placed = structure.item_hits(items, planted.thinned(s, d)).select("doc_id", "pos", "line_no").distinct()
+    places = clauses.locations(miss.unionByName(inv), _page(s, d))
+    return clauses.warnings(miss, inv, _bare(s, d), places, items.join(placed, ["doc_id", "pos", "line_no"], "left_anti"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return second.score_report(s, d)
 
@@ -66,14 +79,14 @@ QUERIES = {
     "missing_by_major": lambda s, d: clauses.by_major(_missing(s, d)),
     "clause_page_locations": lambda s, d: clauses.locations(_missing(s, d), _page(s, d)),
     "retry_pages": lambda s, d: clauses.retry_pages(_missing(s, d), _page(s, d)),
-    "audit_warning": lambda s, d: clauses.warnings(_missing(s, d), _invented(s, d)),
-    "bare_numbered_sections": lambda s, d: clauses.bare_numbered(_sections(s, d), _subs(s, d), clauses.source_ids(_page(s, d))),
+    "audit_warning": audit_warning,
+    "bare_numbered_sections": _bare,
 }
 
 
 def queries() -> dict:
-    return QUERIES | second.QUERIES | stateful.QUERIES
+    return QUERIES | second.QUERIES | details.QUERIES | stateful.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | second.SQL
+    return oracle.SQL | second.SQL | details.SQL | stateful.SQL

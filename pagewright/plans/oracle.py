@@ -1,6 +1,8 @@
 """SQL of the page and clause queries, for comparison."""
 from __future__ import annotations
 
+from pagewright.plans import planted
+
 ID = r"'^([1-9][0-9]?(?:\.[1-9][0-9]?){1,3})(?:$|\.$|\.[.,])'"
 
 
@@ -64,9 +66,28 @@ extra AS (SELECT l.doc_id, l.id FROM lab l JOIN gate USING (doc_id) LEFT JOIN fu
 NUM = "list_transform(string_split({0}, '.'), lambda x: CAST(x AS INT))"
 
 
-def listed(of: str, what: str) -> str:
-    return f"""{what}_l AS (SELECT doc_id, list(id ORDER BY {NUM.format('id')}) AS a FROM {of} GROUP BY 1),
-{what}_w AS (SELECT doc_id, '{what} ' || len(a) || ': ' || array_to_string(a[1:10], ', ') || CASE WHEN len(a) > 10 THEN ' and ' || (len(a) - 10) || ' more' ELSE '' END AS w FROM {what}_l)"""
+GAP = "[\\s\u00ad\\-.,;:()''\"„“/]*".replace("\\\\", "\\")
+KEY24 = "substr(" + fold("coalesce(content, '')") + ", 1, 24)"
+BARE = IDS + f""", {planted.BARE},
+btext AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM cp GROUP BY 1),
+bc AS (SELECT s.doc_id, s.sec_pos, s.section, b.sid, b.content, s.section || '.' || b.sid AS full_id FROM bsec s JOIN bsub b ON b.doc_id = s.doc_id AND b.sec_pos = s.sec_pos JOIN gate g ON g.doc_id = s.doc_id
+  WHERE regexp_matches(b.sid, '^[0-9]{{1,2}}$')),
+bare AS (SELECT DISTINCT b.doc_id, b.sec_pos, b.section FROM bc b JOIN btext t USING (doc_id)
+  WHERE ((b.doc_id, b.full_id) NOT IN (SELECT doc_id, id FROM src) OR (b.doc_id, b.sec_pos, b.full_id) IN (SELECT doc_id, sec_pos, sid FROM bsub))
+  AND NOT (length({KEY24}) < 4 OR regexp_matches(t.text, '(?i)(?:^|[^0-9.,])' || b.sid || '[.)]?{GAP}' || array_to_string(string_split({KEY24}, ''), '{GAP}'))))"""
+
+
+def listed(of: str, what: str, one: str, more: str) -> str:
+    return f"""{what}_l AS (SELECT doc_id, list(i.id || coalesce(' (page ' || p.page_no || ')', '') ORDER BY {NUM.format('i.id')}) AS a FROM {of} i LEFT JOIN place p USING (doc_id, id) GROUP BY 1),
+{what}_w AS (SELECT doc_id, CASE WHEN len(a) = 1 THEN '{one} ' ELSE '{more} ' END || array_to_string(a[1:10], ', ') || CASE WHEN len(a) > 10 THEN ' and ' || (len(a) - 10) || ' more' ELSE '' END || '.' AS w FROM {what}_l)"""
+
+
+WARNING = INVENTED + BARE.removeprefix(IDS) + f""",
+pl AS (SELECT doc_id, page_no, pos, contains(lower(text), 'inhaltsverzeichnis') AS toc, unnest({ids('text')}) AS id FROM cp),
+place AS (SELECT doc_id, id, arg_min(page_no, (toc, pos)) AS page_no FROM pl GROUP BY 1, 2),
+{listed('miss', 'missing', 'Missing from the result: clause', 'Missing from the result: clauses')}, {listed('inv', 'invented', 'Not printed in the source: clause', 'Not printed in the source: clauses')},
+bare_l AS (SELECT doc_id, list_sort(list(DISTINCT section)) AS a FROM bare GROUP BY 1),
+bare_w AS (SELECT doc_id, 'Numbered without print: paragraphs of ' || CASE WHEN len(a) = 1 THEN 'section ' ELSE 'sections ' END || array_to_string(a[1:8], ', ') || CASE WHEN len(a) > 8 THEN ' and ' || (len(a) - 8) || ' more' ELSE '' END || '.' AS w FROM bare_l)"""
 
 
 SQL = {
@@ -78,6 +99,9 @@ SQL = {
 fl AS (SELECT k.*, f.key IS NOT NULL AS furniture, row_number() OVER (PARTITION BY k.doc_id, k.key ORDER BY pos, line_no) AS rn FROM kd k LEFT JOIN fk f ON f.doc_id = k.doc_id AND f.key = k.key),
 st AS (SELECT doc_id, page_no, pos, string_agg(line, chr(10) ORDER BY line_no) AS text FROM fl WHERE NOT furniture OR rn = 1 GROUP BY 1, 2, 3)
 SELECT * FROM st WHERE {NOT_BLANK}""",
+    "reference_is_furniture": f"""WITH {KEYS}, ks AS (SELECT doc_id, list(key ORDER BY length(key) DESC, key) AS keys FROM fk GROUP BY 1),
+r AS (SELECT answer_id, reference, keys, list_reduce(list_prepend({key_of(trim('reference'))}, keys), lambda a, x: replace(a, x, ' ')) AS rest FROM answer LEFT JOIN ks USING (doc_id))
+SELECT answer_id, coalesce(keys IS NOT NULL AND regexp_matches(reference, '[^\\s\\p{{Z}}]') AND {letters('rest')} < 4, false) AS furniture FROM r""",
     "chunk_plan": f"""WITH RECURSIVE {CLEAN},
 p AS (SELECT doc_id, pos, length(text) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM cp),
 t AS (SELECT doc_id, sum(len) + 2 * (count(*) - 1) AS total, count(*) AS n FROM p GROUP BY 1),
@@ -106,13 +130,5 @@ ok AS (SELECT * FROM (SELECT *, bool_and(toc) OVER (PARTITION BY doc_id) AS all_
 o AS (SELECT doc_id, pos, 0 AS k, page_no FROM ok UNION ALL SELECT doc_id, pos, 1, next_no FROM ok WHERE next_no IS NOT NULL),
 f AS (SELECT doc_id, page_no, min((pos, k)) AS o FROM o GROUP BY 1, 2)
 SELECT doc_id, page_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rn FROM f) WHERE rn <= 4""",
-    "audit_warning": f"""WITH {INVENTED}, {listed('miss', 'missing')}, {listed('inv', 'invented')}
-SELECT doc_id, concat_ws('; ', m.w, i.w) AS warning FROM missing_w m FULL JOIN invented_w i USING (doc_id)""",
-    "bare_numbered_sections": rf"""WITH {IDS},
-sec AS (SELECT DISTINCT doc_id, sec_pos, regexp_replace(coalesce(id, ''), '^[ .]+|[ .]+$', '', 'g') AS section FROM sections),
-sub AS (SELECT DISTINCT doc_id, sec_pos, regexp_replace(coalesce(id, ''), '^[ .]+|[ .]+$', '', 'g') AS sid FROM subsections)
-SELECT DISTINCT s.doc_id, s.sec_pos, s.section FROM sec s JOIN sub b ON b.doc_id = s.doc_id AND b.sec_pos = s.sec_pos AND regexp_matches(b.sid, '^[0-9]{{1,2}}$')
-JOIN gate g ON g.doc_id = s.doc_id
-WHERE regexp_matches(s.section, '^[0-9]+(\.[0-9]+)+$') AND (NOT EXISTS (SELECT 1 FROM src x WHERE x.doc_id = s.doc_id AND x.id = s.section || '.' || b.sid)
-  OR EXISTS (SELECT 1 FROM sub x WHERE x.doc_id = s.doc_id AND x.sec_pos = s.sec_pos AND x.sid = s.section || '.' || b.sid))""",
+    "bare_numbered_sections": f"WITH {BARE} SELECT doc_id, sec_pos, section FROM bare",
 }

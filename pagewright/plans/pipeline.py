@@ -1,27 +1,119 @@
 """A whole conversion: pages and extracted sections to Markdown with a warning."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators import clauses, pages, render, repair
+from pagewright.operators import clauses, pages, provider, render, repair, structure
+from pagewright.operators.repair import Item, Sec
 from pagewright.session import written
 
+ARRAYS = {"secs": ("sec_pos", "sub_pos", "section", "title", "id", "content"), "pages": ("pos", "text"), "items": ("pos", "line_no", "page_no", "token", "id", "text", "key", "anchor", "anchor_id"),
+          "anchors": ("pos", "id", "start"), "source": ("id",), "runs": ("prefix", "pos", "id", "content")}
+OUT = "doc_id BIGINT, secs ARRAY<STRUCT<sec_pos: INT, sub_pos: INT, section: STRING, title: STRING, id: STRING, content: STRING>>, split BOOLEAN, " \
+      "lost ARRAY<STRUCT<pos: INT, line_no: INT, token: STRING, page_no: INT>>"
+SHARE = 2, 5  # least part of the source's text that a mended document keeps
 
-def convert(page: DataFrame, sections: DataFrame, subs: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """(doc_id, markdown, warning): furniture off, numbering scopes split, front matter and items recovered, numbers bound
-    to paragraphs if anchors are given, then rendered and audited. Each repair shuffles by document alone; what the
-    next steps read several times is written in between."""
+
+def missing_ids(source: list[str], secs: list[Sec]) -> set[str]:
+    """Ids of the source, of those with a neighbour there, that no label has; none for sources below the gate."""
+    shown = set(source)
+    if len(shown) < clauses.GATE:
+        return set()
+    labels = {i for s in secs for label in (s.id, *(x[0] for x in s.subs)) for i in repair.clause_ids(label)}
+    return {i for i in shown - labels if repair.neighbours(i) & shown}
+
+
+def _size(secs: list[Sec]) -> int:
+    return sum(len(s.title) + sum(len(c) for _, c in s.subs) for s in secs)
+
+
+def mend(secs: list[Sec], pages_: list[str], items: list[Item], anchors: list[tuple[str, str]], source: list[str]) -> tuple[list[Sec], list[Item], bool]:
+    """One document's sections: stray letters and duplicates folded, numbering scopes split, front matter and items recovered,
+    numbers bound to paragraphs unless more ids are missing or too much text is, scopes split once more; with the items
+    without a place, and whether a scope was split."""
+    total = sum(map(len, pages_))
+    secs, first = repair.split_scopes(repair.drop_duplicates(repair.demote(secs)), pages_)
+    secs, lost = repair.repair_items(repair.recover_front(secs, pages_), items)
+    if len(anchors) >= 2 and len(set(source)) >= clauses.GATE:
+        new, done = repair.rebind(secs, anchors)
+        if done and len(missing_ids(source, new)) <= len(missing_ids(source, secs)) and _size(new) * SHARE[1] >= total * SHARE[0]:
+            secs = new
+    secs, second = repair.split_scopes(secs, pages_)
+    return secs, lost, bool(first or second)
+
+
+def _rows(secs: list[Sec]) -> list[dict]:
+    return [dict(sec_pos=s, sub_pos=k, section=x.id, title=x.title, id=i, content=c) for s, x in enumerate(secs) for k, (i, c) in (enumerate(x.subs) if x.subs else [(None, (None, None))])]
+
+
+def _sections(rows: list[dict]) -> list[Sec]:
+    out: dict[int, Sec] = {}
+    for r in sorted(rows, key=lambda r: (r["sec_pos"], -1 if r["sub_pos"] is None else r["sub_pos"], r["id"] or "", r["content"] or "")):
+        sec = out.setdefault(r["sec_pos"], Sec(r["section"] or "", r["title"] or "", []))
+        if r["sub_pos"] is not None:
+            sec.subs.append([r["id"] or "", r["content"] or ""])
+    return list(out.values())
+
+
+def _gathered(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row for each document with an array of each part's rows; all are grouped and joined by doc_id alone."""
+    out = None
+    for name, df in parts.items():
+        one = df.groupBy("doc_id").agg(F.collect_list(F.struct(*ARRAYS[name])).alias(name))
+        out = one if out is None else out.join(one, "doc_id", "left")
+    return out
+
+
+def mended(rel: DataFrame, content: DataFrame, anchors: DataFrame) -> DataFrame:
+    """OUT of repair.relation(), of pages and of anchors: mend() of every document, in one pass over documents."""
+    d = _gathered({"secs": rel, "pages": pages.content_pages(content), "items": structure.items(content), "anchors": anchors, "source": clauses.source_ids(content)})
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for doc, *parts in f[["doc_id", "secs", "pages", "items", "anchors", "source"]].itertuples(index=False):
+                secs, page, items, anchor, source = ([] if x is None else list(x) for x in parts)
+                texts = [p["text"] for p in sorted(page, key=lambda p: p["pos"])]
+                items = [Item(i["token"], i["id"], i["text"], i["key"], i["anchor"], i["anchor_id"], i["page_no"]) for i in sorted(items, key=lambda i: (i["pos"], i["line_no"]))]
+                new, lost, split = mend(_sections(secs), texts, items, [(a["id"], a["start"]) for a in sorted(anchor, key=lambda a: a["pos"])], [s["id"] for s in source])
+                out.append((doc, _rows(new), split, [dict(pos=k, line_no=0, token=x.token, page_no=x.page) for k, x in enumerate(lost)]))
+            yield pd.DataFrame(out, columns=["doc_id", "secs", "split", "lost"])
+
+    return d.mapInPandas(run, OUT)
+
+
+def flat(m: DataFrame) -> DataFrame:
+    """The relation of OUT."""
+    return m.select("doc_id", F.explode("secs").alias("x")).select("doc_id", "x.*")
+
+
+def _pair(rel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (rel.select("doc_id", "sec_pos", F.col("section").alias("id"), "title").distinct(), rel.where("sub_pos IS NOT NULL").select("doc_id", "sec_pos", "sub_pos", "id", "content"))
+
+
+def convert(page: DataFrame, sections: DataFrame, subs: DataFrame, anchors: DataFrame | None = None, reader: provider.Provider | None = None) -> DataFrame:
+    """(doc_id, markdown, warning): furniture off, each document mended in one pass, clauses that are still missing read anew
+    by the reader, if there is one, and spliced in, then rendered and audited. Without anchors the reader is asked for
+    them, if there is one. No id and no text is lost: repairs that would lose any are not taken."""
     content = written(pages.strip_furniture(page))
     rel = repair.relation(sections, subs)
-    steps = [lambda r: repair.scoped(r, content), lambda r: repair.with_front(r, content), lambda r: repair.repaired_items(r, content)]
-    if anchors is not None:
-        steps.append(lambda r: repair.rebound(r, anchors))
-    for step in steps:
-        rel = step(rel).select("doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content")
+    if anchors is None:
+        anchors = written(provider.anchors(content, reader)) if reader else content.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("id"), F.lit("").alias("start")).limit(0)
+    m = written(mended(rel, content, anchors))
+    rel = flat(m)
+    src = clauses.source_ids(content)
+    if reader:
+        gone = written(clauses.missing(src, clauses.label_ids(*_pair(rel))))
+        rel = repair.spliced(rel, written(provider.runs(gone, content, reader)), gone).select("doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content")
     rel = written(rel)
-    sec = rel.select("doc_id", "sec_pos", F.col("section").alias("id"), "title").distinct()
-    sub = rel.select("doc_id", "sec_pos", "sub_pos", "id", "content")
-    src, lab = clauses.source_ids(content), clauses.label_ids(sec, sub)
-    warn = clauses.warnings(clauses.missing(src, lab), clauses.invented(src, lab, content))
-    return render.sections_markdown(sec, sub).join(warn, "doc_id", "left")
+    sec, sub = _pair(rel)
+    lab = clauses.label_ids(sec, sub)
+    miss, inv = clauses.missing(src, lab), clauses.invented(src, lab, content)
+    # what a split moves below a heading is judged as it stood before
+    before = clauses.bare_numbered(sections, subs, src, content).join(m.where("split").select("doc_id"), "doc_id", "left_semi")
+    bare = clauses.bare_numbered(sec, sub, src, content).unionByName(before)
+    lost = m.select("doc_id", F.explode("lost").alias("x")).select("doc_id", "x.*")
+    places = clauses.locations(miss.unionByName(inv), content)
+    return render.sections_markdown(sec, sub).join(clauses.warnings(miss, inv, bare, places, lost), "doc_id", "left")
