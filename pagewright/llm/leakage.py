@@ -1,20 +1,20 @@
-"""Test passages inside training texts, by a positional inverted index.
+"""Test passages inside training texts, by a distributed positional inverted index.
 
 The words of the test items are numbered; of every training text the positions of these words are found. The
 number of texts with each word is counted over all texts, and in every window of an item its rarest words are its
-probes. Texts with a few probes keep their positional lists in a table, partitioned by text, so that what
-follows moves nothing: the lists of the probes are intersected with the items' own, their positions subtracted, and
-where probes of enough weight agree on the offset, up to what a page header or struck words shift, the text is a
-candidate. Candidates are matched over the whole lists: the best
-chain of words in the order of the item, weighted by their rarity.
+probes. The lists of these words, (term, text, positions), are the index: a table spread and sorted by term, those of
+heavy terms over salts. The lists that the probes ask for meet by text, where the items' own places are subtracted from
+the positions; where probes of enough weight agree on the offset, up to what a page header or struck words shift, text
+and item are a candidate. Candidates are matched over all words of the item: the best chain of words in the order of the
+item, weighted by their rarity.
 """
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,8 @@ NEAR = 0.8  # part of the weight of some window that must be near at the offset
 SLACK = 24  # words by which the offset may drift inside a passage
 GAP_ITEM, GAP_TEXT = 4, 30  # longest run of unmatched words between two matched ones
 SHARE = 0.86  # least part of a passage's words, and of their weight, that must match
-MOST_ITEM_WORDS = 2_000_000  # words of all test items together that are sent to every executor
+MOST_ITEM_WORDS = 2_000_000  # words of test items that are sent to every executor; more are taken in blocks
+SALTS = 8  # parts of the index that one term is spread over
 
 _fold = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "á": "a", "à": "a", "â": "a", "ã": "a", "å": "a",
                        "ç": "c", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "ì": "i", "î": "i", "ï": "i",
@@ -136,6 +137,7 @@ class Lists:
         self.idf = idf
         self.items = [np.array(items[i], dtype=np.int64) for i in self.ids.tolist()]
         self.least = np.zeros(len(self.ids))
+        self.probes = np.bincount(self.item, minlength=len(self.ids))
         marked = {(i, k) for i, _, k in probes}
         for n, i in enumerate(self.ids.tolist()):
             ws = items[i]
@@ -145,8 +147,8 @@ class Lists:
             self.least[n] = AGREE * sums.min(initial=np.inf) if size else np.inf
 
 
-def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[int]:
-    """Items of which probes of enough weight have offsets in one bin; each hit counts in the two bins around it."""
+def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """(item number, bin) where probes of enough weight have offsets in one bin; each hit counts in the two bins around it."""
     terms, at = terms.astype(np.int64), at.astype(np.int64)
     first, n = lists.start[terms], lists.start[terms + 1] - lists.start[terms]
     total = int(n.sum())
@@ -155,37 +157,32 @@ def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[int]:
     which = np.repeat(np.arange(len(terms)), n)
     row = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + first[which]
     item, place = lists.item[row], lists.place[row]
-    b = (at[which] - place) // SLACK + 4096
-    weight = lists.idf[terms[which]]
-    key = np.concatenate([item * (1 << 40) + b * 4096, item * (1 << 40) + (b + 1) * 4096]) + np.tile(place % 4096, 2)
-    key, once = np.unique(key, return_index=True)  # a probe counts once in a bin
-    group, at_group = np.unique(key // 4096, return_inverse=True)
-    got = np.bincount(at_group, np.tile(weight, 2)[once])
-    hits = np.bincount(at_group)
-    who = group // (1 << 28)
-    ok = (hits >= np.minimum(HITS, np.bincount(lists.item, minlength=len(lists.ids))[who])) & (got >= lists.least[who])
-    if not ok.any():
-        return []
-    # of these offsets, those at which a whole window of the item is near: each of its words is looked up in the
-    # text within the drift, in whatever order, so that no passage is lost
-    keys = np.sort(terms * (1 << 32) + at)
-    near = set()
-    for g in group[ok].tolist():
-        n, b = g >> 28, (g & ((1 << 28) - 1)) - 4096
-        if n in near:
-            continue
-        ws = lists.items[n]
-        low = ws * (1 << 32) + np.maximum(0, (b - 2) * SLACK + np.arange(len(ws)))
-        pos = np.searchsorted(keys, low)
-        hit = keys[np.minimum(pos, len(keys) - 1)] <= low + 4 * SLACK
-        hit &= (pos < len(keys)) & (keys[np.minimum(pos, len(keys) - 1)] >= low)
-        w = lists.idf[ws]
-        size = min(WINDOW, len(ws))
-        sums = np.concatenate([[[0.0, 0.0]], np.cumsum(np.stack([hit * w, w]), axis=1).T])
-        part = sums[size:] - sums[:-size]
-        if (part[:, 0] >= NEAR * part[:, 1]).any():
-            near.add(n)
-    return lists.ids[sorted(near)].tolist()
+    b = (at[which] - place) // SLACK
+    low = int(b.min())
+    bins = int(b.max()) - low + 2
+    group, member = np.unique(np.concatenate([item * bins + b - low, item * bins + b - low + 1]), return_inverse=True)
+    places = int(place.max()) + 1
+    once, index = np.unique(member * places + np.tile(place, 2), return_index=True)  # a probe counts once in a bin
+    of = once // places
+    got = np.bincount(of, np.tile(lists.idf[terms[which]], 2)[index], minlength=len(group))
+    who = group // bins
+    ok = (np.bincount(of, minlength=len(group)) >= np.minimum(HITS, lists.probes[who])) & (got >= lists.least[who])
+    return [(int(g // bins), int(g % bins) + low) for g in group[ok]]
+
+
+def near(lists: Lists, keys: np.ndarray, n: int, b: int) -> bool:
+    """Whether a whole window of the item is near at an offset: each of its words is looked up in the text within the drift,
+    in whatever order, so that no passage is lost. keys are the sorted places of a text by term."""
+    ws = lists.items[n]
+    low = ws * (1 << 32) + np.maximum(0, (b - 2) * SLACK + np.arange(len(ws)))
+    pos = np.searchsorted(keys, low)
+    at = keys[np.minimum(pos, len(keys) - 1)]
+    hit = (pos < len(keys)) & (at <= low + 4 * SLACK) & (at >= low)
+    w = lists.idf[ws]
+    size = min(WINDOW, len(ws))
+    sums = np.concatenate([[[0.0, 0.0]], np.cumsum(np.stack([hit * w, w]), axis=1).T])
+    part = sums[size:] - sums[:-size]
+    return bool((part[:, 0] >= NEAR * part[:, 1]).any())
 
 
 def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
@@ -196,19 +193,27 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
     An item shorter than WINDOW words must be there as a whole. Null, empty and blank texts and items match nothing;
     repeated rows count once, also items of one id with several texts, of which the first by order stands; the items
-    are sent to every executor, and a set of more than MOST_ITEM_WORDS words is refused. Other columns aren't read.
+    are sent to every executor, those of a set of more than MOST_ITEM_WORDS words in blocks, one after the other. Other
+    columns aren't read.
     """
-    spark = docs.sparkSession
     test = (items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t"))
                  .where("i IS NOT NULL AND t IS NOT NULL").groupBy("i").agg(F.min("t").alias("t")))
     size = test.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
-    if size > MOST_ITEM_WORDS:
-        raise ValueError(f"the test items have {size} words; split the set into blocks of {MOST_ITEM_WORDS}")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
+    if size <= MOST_ITEM_WORDS:
+        return _found(texts, test, share)
+    blocks = 2 * -(-size // MOST_ITEM_WORDS)
+    return reduce(DataFrame.unionByName, [_found(texts, test.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k), share) for k in range(blocks)])
+
+
+RESULT = "doc_id BIGINT, item_id BIGINT, span INT, matched DOUBLE, weight DOUBLE"
+
+
+def _found(texts: DataFrame, test: DataFrame, share: float) -> DataFrame:
+    spark = texts.sparkSession
     rows = sorted((r.i, r.t) for r in test.toLocalIterator())
     vocab, numbered = _number(rows)
     share_vocab = spark.sparkContext.broadcast(vocab)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where(
-        "d IS NOT NULL AND t IS NOT NULL")
 
     def lists(batches):
         get = Numbers(share_vocab.value).__getitem__
@@ -232,32 +237,59 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         df[r[0]] = r[1]  # a number for each word of the items, whatever the texts are
     idf = np.log((df[0] + 1) / (df + 1)) + 0.3
     probes: list[tuple[int, int, int]] = []
+    worth = np.zeros(len(vocab) + 1)  # what a hit of a term counts towards HITS: all of it for the probes of short items
     for i, ws in numbered.items():
         chosen: set[int] = set()
         for s in range(max(1, len(ws) - WINDOW + 1)):
             part = range(s, min(len(ws), s + WINDOW))
             chosen.update(sorted(part, key=lambda k: (df[ws[k]], k))[:PROBES])
         probes += [(i, ws[k], k) for k in sorted(chosen)]
-    rare = np.zeros(len(vocab) + 1, dtype=bool)
-    rare[[p[1] for p in probes]] = True
-    share_rare = spark.sparkContext.broadcast(rare)
+        for k in chosen:
+            worth[ws[k]] = max(worth[ws[k]], 1 if len(chosen) >= HITS else HITS)
+    share_worth = spark.sparkContext.broadcast(worth)
 
     def postings(batches):
-        rare = share_rare.value
+        """The lists of the probes' terms (term, places), and of texts that enough of them are in the whole list (terms,
+        places) under term 0."""
+        worth = share_worth.value
         for b in batches:
             row, x = _flat(b.column(1))
-            hits = np.bincount(row, rare[x], minlength=b.num_rows)
-            ids, terms, places = [], [], []
+            hits = np.bincount(row, worth[x], minlength=b.num_rows)
+            ids, term, terms, places = [], [], [], []
             start = np.searchsorted(row, np.arange(b.num_rows + 1))
+            none = np.zeros(0, np.int32)
             for k in np.flatnonzero(hits >= HITS):
-                y = x[start[k]:start[k + 1]]
+                d, y = b.column(0)[k].as_py(), x[start[k]:start[k + 1]]
                 at = np.flatnonzero(y)
-                ids.append(b.column(0)[k].as_py())
-                terms.append(y[at].astype(np.int32))
-                places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _ragged(terms), _ragged(places)], names=["d", "terms", "places"])
+                ids.append(d), term.append(0), terms.append(y[at].astype(np.int32)), places.append(at.astype(np.int32))
+                at = at[worth[y[at]] > 0]
+                at = at[np.argsort(y[at], kind="stable")]
+                cut = np.flatnonzero(np.diff(y[at])) + 1
+                for p in np.split(at, cut):
+                    ids.append(d), term.append(int(y[p[0]])), terms.append(none), places.append(p.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(term, pa.int32()), _ragged(terms), _ragged(places)], names=["d", "term", "terms", "places"])
+
+    cores = 2 * spark.sparkContext.defaultParallelism
+    marks = written(read.mapInArrow(postings, "d BIGINT, term INT, terms ARRAY<INT>, places ARRAY<INT>"))
+    index = written(marks.where("term > 0").select("term", F.pmod(F.xxhash64("d"), F.lit(SALTS)).alias("salt"), "d", "places")
+                         .repartition("term", "salt").sortWithinPartitions("term", "d"))
+    share_lists = spark.sparkContext.broadcast(Lists(numbered, probes, idf))
 
-    index = written(read.mapInArrow(postings, "d BIGINT, terms ARRAY<INT>, places ARRAY<INT>"))
+    def agree(batches):
+        lists = share_lists.value
+        for b in batches:
+            ids, who, bins = [], [], []
+            for d, hits in zip(b.column(0).to_pylist(), b.column(1)):
+                h = hits.values
+                sizes = np.diff(h.field(1).offsets.to_numpy())
+                terms = np.repeat(h.field(0).to_numpy(), sizes)
+                at = h.field(1).flatten().to_numpy()
+                for n, k in agreeing(lists, terms, at):
+                    ids.append(d), who.append(n), bins.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who, pa.int32()), pa.array(bins, pa.int32())], names=["d", "n", "bin"])
+
+    by_text = index.groupBy("d").agg(F.collect_list(F.struct("term", "places")).alias("hits"))
+    cand = by_text.mapInArrow(agree, "d BIGINT, n INT, bin INT").groupBy("d").agg(F.collect_list(F.struct("n", "bin")).alias("c"))
 
     def match(batches):
         lists = share_lists.value
@@ -266,19 +298,25 @@ def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
             row, terms_of = _flat(b.column(1))
             places_of = _flat(b.column(2))[1]
             start = np.searchsorted(row, np.arange(b.num_rows + 1))
-            for k, d in enumerate(b.column(0).to_pylist()):
+            for k, (d, pairs) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 terms, at = terms_of[start[k]:start[k + 1]], places_of[start[k]:start[k + 1]]
-                for i in agreeing(lists, terms, at):
-                    span, part, weight = chain(share_items.value[i], terms, at, share_idf.value)
-                    if span >= min(WINDOW, len(share_items.value[i])) and min(part, weight) >= share:
-                        for k, v in zip(("doc_id", "item_id", "span", "matched", "weight"), (d, i, span, part, weight)):
-                            out[k].append(v)
+                keys = np.sort(terms * (1 << 32) + at)
+                seen: set[int] = set()
+                for n, bin_ in sorted((p["n"], p["bin"]) for p in pairs):
+                    if n in seen or not near(lists, keys, n, bin_):
+                        continue
+                    seen.add(n)
+                    ws = lists.items[n]
+                    span, part, weight = chain(ws.tolist(), terms, at, lists.idf)
+                    if span >= min(WINDOW, len(ws)) and min(part, weight) >= share:
+                        for c, v in zip(("doc_id", "item_id", "span", "matched", "weight"), (d, int(lists.ids[n]), span, part, weight)):
+                            out[c].append(v)
             yield pa.RecordBatch.from_pydict(
                 {k: pa.array(out[k], t) for k, t in (("doc_id", pa.int64()), ("item_id", pa.int64()), ("span", pa.int32()),
                                                      ("matched", pa.float64()), ("weight", pa.float64()))})
 
-    share_items, share_idf = spark.sparkContext.broadcast(numbered), spark.sparkContext.broadcast(idf)
-    share_lists = spark.sparkContext.broadcast(Lists(numbered, probes, idf))
-    out = index.mapInArrow(match, "doc_id BIGINT, item_id BIGINT, span INT, matched DOUBLE, weight DOUBLE")
+    # of several texts under one id each is matched by itself against the candidates of all
+    whole = marks.where("term = 0").select("d", "terms", "places").join(cand, "d").select("d", "terms", "places", "c").repartition(cores, "d")
     best = F.max(F.struct("span", "matched", "weight")).alias("m")
+    out = whole.mapInArrow(match, RESULT)
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.span", "m.matched", "m.weight")

@@ -157,6 +157,70 @@ def test_leakage_against_planted_passages(spark):
     assert leakage.found(d, "doc", "body", t.limit(0), "item", "body").count() == 0
 
 
+def leak_tables(spark, docs, items):
+    return spark.createDataFrame(docs, "doc BIGINT, body STRING"), spark.createDataFrame(items, "item BIGINT, body STRING")
+
+
+def leaked(spark, docs, items):
+    d, t = leak_tables(spark, docs, items)
+    return {(x.doc_id, x.item_id) for x in leakage.found(d, "doc", "body", t, "item", "body").collect()}
+
+
+def test_leakage_of_short_and_very_long_items(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(9000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    long = text(6000)  # places beyond what one key held before
+    items = [(1, "Sesamkringel"), (2, "zwei Sonderworte"), (3, long)]
+    docs = [(k, text(60)) for k in range(50)]
+    docs += [(100, f"{text(30)} sesamkringel {text(30)}"), (101, f"{text(30)} Zwei Sonderworte {text(9)}"), (102, f"{text(9)} zwei {text(40)} Sonderworte")]
+    docs += [(103, f"{text(30)} {' '.join(long.split()[5000:5030])} {text(30)}"), (104, f"{text(10)} {' '.join(long.split()[4096:4120])}"), (105, "Sesamkringel")]
+    assert leaked(spark, docs, items) == {(100, 1), (105, 1), (101, 2), (103, 3), (104, 3)}
+
+
+def test_leakage_in_blocks_and_with_several_texts(spark):
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(k, text(50)) for k in range(20)]
+    docs = [(k, f"{text(40)} {' '.join(items[k % 20][1].split()[5:40])} {text(40)}") for k in range(60)] + [(0, text(100)), (0, f"{text(10)} {items[7][1]}")]
+    want = {(k, k % 20) for k in range(60)} | {(0, 7)}
+    assert leaked(spark, docs, items) == want
+    old, leakage.MOST_ITEM_WORDS = leakage.MOST_ITEM_WORDS, 400
+    try:
+        assert leaked(spark, docs, items) == want
+    finally:
+        leakage.MOST_ITEM_WORDS = old
+
+
+def test_leakage_candidates_against_brute_force(spark):
+    """Every pair that the matching takes, tried on all pairs, must come out of the index."""
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(700)]
+    text = lambda n: [r.choice(vocab[:60] if r.random() < .4 else vocab) for _ in range(n)]
+    items = [(k, " ".join(text(r.randint(22, 70)))) for k in range(25)]
+    docs = []
+    for k in range(200):
+        words = r.choice(items)[1].split()
+        at = r.randint(0, len(words) - 21)
+        part = [w if r.random() > .1 else r.choice(vocab) for w in words[at:at + r.randint(18, 40)]]
+        cut = r.randint(0, len(part))
+        docs.append((k, " ".join(text(30) + part[:cut] + (["Seite", "3"] if r.random() < .5 else []) + part[cut:] + text(30))))
+    got = leaked(spark, docs, items)
+    vocabulary, numbered = leakage._number(items)
+    read = {d: np.array([vocabulary.get(leakage.fold(w), 0) for w in t.split()]) for d, t in docs}
+    df = np.bincount(np.concatenate([np.unique(x) for x in read.values()]), minlength=len(vocabulary) + 1)
+    idf = np.log((df[0] + 1) / (df + 1)) + 0.3
+    brute = set()
+    for d, x in read.items():
+        at = np.flatnonzero(x)
+        for i, ws in numbered.items():
+            span, part, weight = leakage.chain(ws, x[at], at, idf)
+            if span >= leakage.WINDOW and min(part, weight) >= leakage.SHARE:
+                brute.add((d, i))
+    assert len(brute) > 60 and got <= brute and len(got & brute) >= 0.98 * len(brute)
+
+
 # -- 8 languages ----------------------------------------------------------------------------------
 
 SAMPLES = {
