@@ -136,6 +136,13 @@ class Lists:
         self.start = np.searchsorted(p[:, 0], np.arange(len(idf) + 1))
         self.idf = idf
         self.items = [np.array(items[i], dtype=np.int64) for i in self.ids.tolist()]
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate(self.items) if self.items else np.zeros(0, np.int64)
+        self.window = np.zeros(len(self.words))  # weight of the window of an item that begins at a word
+        for x, at in zip(self.items, self.begin.tolist()):
+            if size := min(WINDOW, len(x)):
+                self.window[at:at + len(x) - size + 1] = np.convolve(idf[x], np.ones(size), "valid")
         self.least = np.zeros(len(self.ids))
         self.probes = np.bincount(self.item, minlength=len(self.ids))
         marked = {(i, k) for i, _, k in probes}
@@ -170,19 +177,26 @@ def agreeing(lists: Lists, terms: np.ndarray, at: np.ndarray) -> list[tuple[int,
     return [(int(g // bins), int(g % bins) + low) for g in group[ok]]
 
 
-def near(lists: Lists, keys: np.ndarray, n: int, b: int) -> bool:
-    """Whether a whole window of the item is near at an offset: each of its words is looked up in the text within the drift,
-    in whatever order, so that no passage is lost. keys are the sorted places of a text by term."""
-    ws = lists.items[n]
-    low = ws * (1 << 32) + np.maximum(0, (b - 2) * SLACK + np.arange(len(ws)))
-    pos = np.searchsorted(keys, low)
-    at = keys[np.minimum(pos, len(keys) - 1)]
-    hit = (pos < len(keys)) & (at <= low + 4 * SLACK) & (at >= low)
-    w = lists.idf[ws]
-    size = min(WINDOW, len(ws))
-    sums = np.concatenate([[[0.0, 0.0]], np.cumsum(np.stack([hit * w, w]), axis=1).T])
-    part = sums[size:] - sums[:-size]
-    return bool((part[:, 0] >= NEAR * part[:, 1]).any())
+def near(lists: Lists, keys: np.ndarray, pairs: list[tuple[int, int]]) -> list[int]:
+    """The items of (item number, bin) of which a whole window is near at the offset: each of its words is looked up in the
+    text within the drift, in whatever order, so that no passage is lost. keys are the sorted places of a text by term."""
+    found: set[int] = set()
+    n, b = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+    size = lists.sizes[n]
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(size) // 500_000)) + 1):
+        m, long = n[part], size[part]
+        start = np.cumsum(long) - long
+        place = np.arange(int(long.sum())) - np.repeat(start, long)
+        row = np.repeat(lists.begin[m], long) + place
+        low = lists.words[row] * (1 << 32) + np.maximum(0, np.repeat((b[part] - 2) * SLACK, long) + place)
+        at = keys[np.minimum(np.searchsorted(keys, low), len(keys) - 1)]
+        hit = (at >= low) & (at <= low + 4 * SLACK)
+        sums = np.concatenate([[0.0], np.cumsum(hit * lists.idf[lists.words[row]])])
+        window = np.repeat(np.minimum(WINDOW, long), long)
+        first = np.flatnonzero(place <= np.repeat(long, long) - window)  # where a window begins
+        ok = sums[first + window[first]] - sums[first] >= NEAR * lists.window[row[first]] - 1e-9
+        found.update(np.repeat(m, long)[first[ok]].tolist())
+    return sorted(found)
 
 
 def found(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
@@ -301,11 +315,7 @@ def _found(texts: DataFrame, test: DataFrame, share: float) -> DataFrame:
             for k, (d, pairs) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 terms, at = terms_of[start[k]:start[k + 1]], places_of[start[k]:start[k + 1]]
                 keys = np.sort(terms * (1 << 32) + at)
-                seen: set[int] = set()
-                for n, bin_ in sorted((p["n"], p["bin"]) for p in pairs):
-                    if n in seen or not near(lists, keys, n, bin_):
-                        continue
-                    seen.add(n)
+                for n in near(lists, keys, [(p["n"], p["bin"]) for p in pairs]):
                     ws = lists.items[n]
                     span, part, weight = chain(ws.tolist(), terms, at, lists.idf)
                     if span >= min(WINDOW, len(ws)) and min(part, weight) >= share:
