@@ -26,7 +26,6 @@ MONTHS = ("Januar|Jänner|Februar|Feber|März|April|Mai|Juni|Juli|August|Septemb
 # Words before an ordinal number.
 ARTICLES = "der|die|das|dem|den|des|zum|zur|im|am|vom|beim|ein|eine|einer|eines|einem|einen"
 CLOSERS = r"[)\]\"'”“’‘»«›‹]"
-REACH = 4000  # longest quotation, in code points, inside which marks are held back
 
 
 def _abbreviations(x: Column) -> Column:
@@ -50,22 +49,34 @@ def _abbreviations(x: Column) -> Column:
     return x
 
 
+def _held(x: Column, signs: str, close: str, keep: int, marks: str, holds) -> Column:
+    """A text with the marks replaced that stand in front of a closing sign, no other of the signs between, but for those in
+    the last `keep` characters; holds tells by what stands up to the sign, and by what stands behind it, whether it closes.
+    The text is cut behind every sign, so that its length counts once."""
+    parts = F.split(x, f"(?<=[{signs}])")
+
+    def one(p, k):
+        n = F.length(p)
+        held = F.concat(F.translate(F.substring(p, F.lit(1), n - keep), marks, "".join(MASKS[m] for m in marks)), F.right(p, F.lit(keep)))
+        return F.when(F.endswith(p, F.lit(close)) & holds(p, F.coalesce(F.get(parts, k + 1), F.lit(""))), held).otherwise(p)
+
+    return F.array_join(F.transform(parts, one), "")
+
+
 def masked(df: DataFrame, col: str) -> DataFrame:
     """df with the marks of a column replaced. Each step that reads the column twice is a projection of its own,
     as nested expressions would double with each."""
     df = df.withColumn(col, _abbreviations(F.col(col)))
     # speech inside a sentence: all its marks but the last, which may end the sentence too
-    looks = {"„": rf"(?=[^„“]{{0,{REACH}}}[^„“\s]“)", "«": rf"(?=[^»«]{{0,{REACH}}}[^»«\s]«)",
-             "»": rf"(?=[^«»]{{1,{REACH}}}\s»(?:[\s.,;:!?]|$))", "”": rf"(?=[^“”„]{{0,{REACH}}}[^“”„\s]”)"}
-    for sign, look in looks.items():
-        y = F.col(col)
-        for mark in ".?!":
-            y = F.regexp_replace(y, "\\" + mark + look, MASKS[mark])
-        df = df.withColumn(col, F.when(F.contains(F.col(col), F.lit(sign)), y).otherwise(F.col(col)))
-    x = F.col(col)
-    for mark in "。？！":
-        x = F.regexp_replace(x, mark + rf"(?=[”」』]|[^“”]{{1,{REACH}}}”|[^「」]{{1,{REACH}}}」|[^『』]{{1,{REACH}}}』)", MASKS[mark])
-    return df.withColumn(col, x)
+    behind_word = lambda close: lambda p, _: p.rlike(rf"\S{close}$")
+    apart = lambda p, after: p.rlike(r"\s»$") & after.rlike(r"^(?:[\s.,;:!?]|$)")
+    for sign, signs, close, holds in (("„", "„“", "“", behind_word("“")), ("«", "»«", "«", behind_word("«")), ("»", "«»", "»", apart), ("”", "“”„", "”", behind_word("”"))):
+        df = df.withColumn(col, F.when(F.contains(F.col(col), F.lit(sign)), _held(F.col(col), signs, close, 2, ".?!", holds)).otherwise(F.col(col)))
+    always = lambda p, _: F.lit(True)
+    for signs, close in (("“”", "”"), ("「」", "」"), ("『』", "』")):
+        quoted = F.contains(F.col(col), F.lit(close)) & F.col(col).rlike("[。？！]")
+        df = df.withColumn(col, F.when(quoted, _held(F.col(col), signs, close, 1, "。？！", always)).otherwise(F.col(col)))
+    return df
 
 
 def pieces(df: DataFrame, col: str) -> DataFrame:
