@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.session import written
+
 # Capital and small letters of other scripts with the shape of a Latin letter.
 LOOKALIKE = dict(zip(
     "АВЕКМНОРСТУХЅІЈԌԚԜ" "авекморсухѕіјһԁԛԝ".replace("в", "").replace("к", "").replace("м", "")
@@ -106,8 +108,8 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, salts: int = 8) -
     f = _forms("text")
     odd = (rows.where(~settled(F.col("text")))
                .select("id", "text", f["canonical"].alias("c"), f["visible"].alias("v")))
-    odd = odd.select("id", F.xxhash64("c").alias("ck"), F.xxhash64("v").alias("vk"), F.md5("v").alias("vm"),
-                     F.md5("text").alias("tm"))
+    odd = written(odd.select("id", F.xxhash64("c").alias("ck"), F.xxhash64("v").alias("vk"), F.md5("v").alias("vm"),
+                     F.md5("text").alias("tm")))  # three joins read it
     plain = (rows.where(settled(F.col("text")))
                  .select("id", F.xxhash64("text").alias("vk"), F.md5("text").alias("vm")))
     spread = odd.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
