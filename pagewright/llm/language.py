@@ -9,6 +9,8 @@ contradicts are left out of the second.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 from itertools import combinations
 from zlib import crc32
 
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "it", "pt"), "slavic": ("pl",)}
@@ -25,6 +28,7 @@ NAMES = {"de": "deu ger german deutsch", "en": "eng english", "fr": "fra fre fre
          "nl": "nld dut dutch nederlands", "pl": "pol polish polski"}
 DIMS = 4096
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 120, 400  # labelled documents and segments of each language that the fit may see
+SEGMENTS_READ, LONGEST = 5, 4000  # segments of one document that the fit may see, and characters of one
 LEAST_WORDS = 4  # words of a segment that is judged by itself
 SURE = 0.6  # confidence from which a full sentence counts for a language beside the main one
 SENTENCES = 2  # full sentences that make a language present
@@ -144,24 +148,62 @@ class Model:
         return lang, conf
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """From at most SAMPLE_DOCS labelled documents of each language, those with the least hash of the id."""
-    d = df.select(F.col(id_col).cast("string").alias("d"), F.col(text_col).cast("string").alias("t"),
+_fitted: dict[tuple, "Model"] = {}
+
+
+def sample(df: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int, str, list[str]]]:
+    """(language, hash, id, segments): of each language the SAMPLE_DOCS labelled documents with the least hash of the id (of
+    several texts of one id the first), and of each up to SEGMENTS_READ segments spread over it, none longer than LONGEST,
+    so that what the driver takes is bounded. Exact and the same on every run: the hash is bounded by the number of
+    documents to about eight times as many as wanted, and the bound raised for languages that are short by it."""
+    d = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("d"), F.col(text_col).cast("string").alias("t"),
                   label_language(F.col(label_col)).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    # the ids are chosen before any text is read
-    chosen = d.select("l", F.xxhash64("d").alias("h")).groupBy("l").agg(
-        F.approx_percentile("h", [i / 2000 for i in range(1, 2000)], 20000).alias("q"), F.count("*").alias("n"))
-    limits = {r.l: (r.q[min(1998, max(0, int(2000 * SAMPLE_DOCS / r.n) - 1))] if r.n > SAMPLE_DOCS else 2**63 - 1)
-              for r in chosen.collect()}
-    pick = F.lit(False)
-    for lang, h in limits.items():
-        pick = pick | ((F.col("l") == lang) & (F.xxhash64("d") <= h))
-    rows = sorted(((r.l, r.d, r.t) for r in d.where(pick).limit(4 * SAMPLE_DOCS * len(LANGS)).collect()))
+    most = 2**63 - 1
+    counts = {r.l: r.n for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most a row for each language
+    bounds = {lang: _bound(8 * SAMPLE_DOCS / n) for lang, n in counts.items()}
+
+    def cut(batches):
+        for b in batches:
+            parts = []
+            for t in b.column(3).to_pylist():
+                ws = [s for s in segments(t) if len(s) <= LONGEST and len(_words(s)) >= LEAST_WORDS]
+                parts.append(ws[::len(ws) // 4 or 1][:SEGMENTS_READ])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(parts, pa.list_(pa.string()))], names=["l", "h", "d", "s"])
+
+    out: list[tuple] = []
+    while bounds:
+        below = reduce(lambda x, y: x | y, [(F.col("l") == lang) & (F.col("h") <= h) for lang, h in bounds.items()])
+        one = d.where(below).groupBy("l", "h", "d").agg(F.min("t").alias("t"))
+        least = one.withColumn("rn", F.row_number().over(W.partitionBy("l").orderBy("h", "d"))).where(F.col("rn") <= SAMPLE_DOCS)
+        rows = [tuple(r) for r in least.select("l", "h", "d", "t").mapInArrow(cut, "l STRING, h BIGINT, d STRING, s ARRAY<STRING>").collect()]
+        got = Counter(r[0] for r in rows)
+        done = {lang for lang, h in bounds.items() if got[lang] >= SAMPLE_DOCS or h == most}
+        out += [r for r in rows if r[0] in done]
+        bounds = {lang: _bound(8 * ((h + 2**63) / 2**64)) for lang, h in bounds.items() if lang not in done}
+    return sorted(out)
+
+
+def _bound(part: float) -> int:
+    """The hash below which about this part of all hashes lie."""
+    return 2**63 - 1 if part >= 1 else int(part * 2**64) - 2**63
+
+
+def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
+    """From sample() of each language. The same sample gives the same machines, which are fitted once."""
+    rows = sample(df, id_col, text_col, label_col)
+    key = tuple(rows and [hash(str(rows))])
+    if key not in _fitted:
+        if len(_fitted) > 20:
+            _fitted.clear()
+        _fitted[key] = _machines(rows)
+    return _fitted[key]
+
+
+def _machines(rows: list[tuple[str, int, str, list[str]]]) -> Model:
     found: dict[str, list[list[str]]] = {x: [] for x in LANGS}
-    for lang, _, t in rows:
+    for lang, _, _, parts in rows:
         if len(found[lang]) < SAMPLE_SEGMENTS:
-            ws = [w for w in map(_words, segments(t)) if len(w) >= LEAST_WORDS]
-            found[lang] += ws[::len(ws) // 4 or 1][:5]
+            found[lang] += map(_words, parts)
     x, y = [], []
     for k, lang in enumerate(LANGS):
         for w in found[lang][:SAMPLE_SEGMENTS]:

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.lookalike import visible_form
+from pagewright.session import written
 
 KINDS = ("email", "phone", "idnum", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "address": "[ADDRESS]", "name": "[NAME]"}
-LEXICON = 50_000  # given names at most, the most frequent
+LEXICON = 50_000  # given names that are sent to every executor, the most frequent; rarer ones are joined with the texts' words
 
 # Legal forms and other words of which a firm's name holds one.
 FIRM = ("GmbH|mbH|AG|KG|KGaA|OHG|eG|SE|SA|UG|GbR|B\\.V\\.|e\\. ?V\\.|Ltd|Inc|plc|LLC|Stiftung|Holding|Bank|Versicherungs?|"
@@ -104,13 +105,24 @@ def _fold(s: str) -> str:
 
 
 class Lexicon:
-    def __init__(self, given: set[str]):
-        self.given = given
+    """Given names, and rare ones besides that only one text has to know."""
+
+    def __init__(self, given: set[str], rare: frozenset[str] = frozenset()):
+        self.given, self.rare = given, rare
         self.first = {g.split("-")[0] for g in given}
 
+    def with_rare(self, rare: list[str]) -> Lexicon:
+        out = Lexicon.__new__(Lexicon)
+        out.given, out.first, out.rare = self.given, self.first, frozenset(rare)
+        return out
+
+    def may_hold(self, words: list[str]) -> bool:
+        """Whether one of the words, in small letters, is a part of a given name."""
+        return not self.first.isdisjoint(words) or any(g.split("-")[0] in words for g in self.rare)
+
     def has(self, word: str) -> bool:
         w = word.lower().strip(".,")
-        return w in self.given or ("-" in w and w.split("-")[0] in self.given)
+        return any(w in names or ("-" in w and w.split("-")[0] in names) for names in (self.given, self.rare))
 
 
 def _spots(s: str, lex: Lexicon):
@@ -123,7 +135,7 @@ def _spots(s: str, lex: Lexicon):
                 for m in p.finditer(s):
                     a, b = m.span()
                     yield a, a + len(_stop(m.group())[0].rstrip("./- ")) if kind == "phone" else b, kind, n
-    if lex.first.isdisjoint(_parts(s.lower())):
+    if not lex.may_hold(_parts(s.lower())):
         return
     for m in _words.finditer(s):
         if m.group()[0].isupper() and lex.has(m.group()):
@@ -318,6 +330,13 @@ class Model:
     def __init__(self, given: set[str], weights: dict[str, float]):
         self.lex, self.weights = Lexicon(given), weights
         self.cache: dict[str, list] = {}
+        self.rest: DataFrame | None = None  # (g): given names beyond the lexicon; stays with the driver
+
+    def with_rare(self, rare: list[str]) -> Model:
+        """The same for one text that holds rare given names."""
+        out = Model.__new__(Model)
+        out.lex, out.weights, out.cache, out.rest = self.lex.with_rare(rare), self.weights, {}, None
+        return out
 
     def __getstate__(self):
         return self.lex.given, self.weights
@@ -406,15 +425,33 @@ def redact(text: str, model: Model) -> str:
 
 
 def learn(names: DataFrame, col: str) -> Model:
-    """Given names: first words of names without a firm's word, and words behind a comma, seen in two names or more;
-    at most LEXICON of them. The model's weights don't depend on the data otherwise."""
+    """Given names: first words of names without a firm's word, and words behind a comma. The LEXICON most frequent are the
+    model's own, the others its rest. The model's weights don't depend on the data otherwise."""
     x = F.trim(F.regexp_replace(F.col(col), rf"^(?:{TITLE}\s)+", ""))
     person = names.select(x.alias("x")).where(~F.col("x").rlike(FIRM.replace("Bau|", "") + r"|&|\p{N}|@"))
     first = F.when(F.col("x").contains(","), F.regexp_extract("x", r",\s*([\p{L}-]{2,})", 1)).otherwise(F.regexp_extract("x", r"^([\p{L}-]{2,})\s", 1))
-    given = (person.select(F.lower(first).alias("g")).where("g <> ''").groupBy("g").agg(F.count("*").alias("n")).where("n >= 2")
-                   .orderBy(F.desc("n"), "g").limit(LEXICON))
-    lex = {r.g for r in given.collect()} - set("von zu zur zum de der die das erbengemeinschaft nachlass eheleute familie".split())
-    return Model(lex, fit(Lexicon(lex)))
+    given = (person.select(F.lower(first).alias("g")).where("g <> ''").groupBy("g").agg(F.count("*").alias("n"))
+                   .where(~F.col("g").isin("von zu zur zum de der die das erbengemeinschaft nachlass eheleute familie".split())))
+    top = given.orderBy(F.desc("n"), "g").limit(LEXICON + 1).collect()
+    lex = {r.g for r in top[:LEXICON]}
+    model = Model(lex, fit(Lexicon(lex)))
+    if len(top) > LEXICON:
+        least = top[LEXICON - 1]
+        model.rest = written(given.where((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("g") > least.g))).select("g"))
+    return model
+
+
+def _known(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (field, row_id, text) with the rare given names that stand in the texts of a field's id, null where none does: the
+    capitalised words are joined with the names of the rest, so that no name is lost however many there are."""
+    src = rows.select("field", F.col("row_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text"))
+    if model.rest is None:
+        return src.withColumn("rare", F.lit(None).cast("array<string>"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}-]+"), F.lit(0)), F.lower))
+    w = src.select("field", "row_id", F.explode(words).alias("w"))
+    w = w.select("field", "row_id", F.explode(F.array_distinct(F.array("w", F.split_part("w", F.lit("-"), F.lit(1))))).alias("g"))
+    rare = w.join(model.rest, "g").groupBy("field", "row_id").agg(F.collect_set("g").alias("rare"))
+    return src.join(rare, ["field", "row_id"], "left")
 
 
 def found(rows: DataFrame, model: Model) -> DataFrame:
@@ -427,16 +464,15 @@ def found(rows: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             out = []
-            for f, i, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                found = analyse(t, m)
+            for f, i, t, rare in zip(*(b.column(k).to_pylist() for k in range(4))):
+                found = analyse(t, m.with_rare(rare) if rare else m)
                 if found:
                     out += [(f, i, k) for k in {k for _, _, k in found}]
             cols = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
                                              names=["field", "row_id", "kind"])
 
-    src = rows.select("field", F.col("row_id").cast("bigint"), F.col("text").cast("string")).where(r"text RLIKE '\\S'")
-    return src.mapInArrow(run, "field STRING, row_id BIGINT, kind STRING")
+    return _known(rows, model).where(r"text RLIKE '\\S'").mapInArrow(run, "field STRING, row_id BIGINT, kind STRING")
 
 
 def redacted(rows: DataFrame, model: Model) -> DataFrame:
@@ -444,8 +480,9 @@ def redacted(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        m = shared.value
         for b in batches:
-            texts = [t if t is None else redact(t, shared.value) for t in b.column(2).to_pylist()]
+            texts = [t if t is None else redact(t, m.with_rare(rare) if rare else m) for t, rare in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["field", "row_id", "text"])
 
-    return rows.select("field", F.col("row_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "field STRING, row_id BIGINT, text STRING")
+    return _known(rows, model).mapInArrow(run, "field STRING, row_id BIGINT, text STRING")

@@ -17,12 +17,13 @@ from pagewright.session import written
 
 NEIGHBOURS = 25  # lengths on each side
 FDR = 0.01
+BINS = 3300  # tenths of a power of ten that a double can hold
 LEAST_COUNT = 4  # texts of one length
 RATIO = 8  # times the neighbours' hazard that a length's hazard must have
 LIMIT = 0.5  # part of the texts so long or longer that end at a significant length, from which it is a limit of the source
 FOOTER_SHARE = 0.02  # part of a field's texts that close with one paragraph, which then marks a whole text
 FAMILY, CLOSED = 5, 0.6  # texts of one opening, and the part of them that closes
-REPEATS = 3  # texts that close with one line, which then may be a page header
+REPEATS, SAME_WORD = 3, 0.7  # texts that close with one line, and the part of them with one word before it, up to which it may be a page header
 
 SPACE = r"[\s\p{Z}]"
 MARK = rf"(?:…|\.\.\.|\x{{FFFD}}|\[(?:…|\.\.\.|gekürzt|cut|truncated)\]|\((?:…|\.\.\.|gekürzt)\))[\s\p{{Z}}*]*$"
@@ -72,16 +73,16 @@ def ends(df: DataFrame) -> DataFrame:
     d = d.withColumn("t", F.when(F.contains(t, F.lit("\n")), _body(F.regexp_replace(t, PAGE_LINE, ""))).otherwise(t))
     several = F.contains(t, F.lit("\n"))
     d = d.withColumn("lastp", F.when(F.contains(t, F.lit("\n\n")), F.substring_index("t", "\n\n", -1)))
-    d = d.withColumn("lastp", F.when(F.length("lastp") <= 200, F.col("lastp")))
-    d = d.withColumn("lastl", F.when(several & F.col("lastp").isNull(), F.regexp_replace(F.lower(F.trim(F.substring_index("t", "\n", -1))), r"\p{N}+", "#")))
+    # a short last paragraph stands for itself, in a long one the last line may be a header
+    d = d.withColumn("lastl", F.when(several & ~F.coalesce(F.length("lastp") <= 200, F.lit(False)), F.regexp_replace(F.lower(F.trim(F.substring_index("t", "\n", -1))), r"\p{N}+", "#")))
     d = d.withColumn("above", F.when(F.col("lastl").isNotNull(), _body(F.regexp_replace(F.regexp_replace("t", r"\n[^\n]*$", ""), PAGE_LINE, ""))))
     # some headers are told by their look: signs and figures, capitals only
     look = F.substring_index("t", "\n", -1)
     signs = look.rlike(r"\||·|^UR-N[Rr]")
     dated = look.rlike(r"^(?=.*(?:\p{N}/\p{N}|\p{N}{4}$))[^.;,]{3,80}$|^[\p{Lu}\p{N}\s&|·./-]{6,80}$") & F.right("above", F.lit(80)).rlike(TERMINAL)
     d = d.select("field", "id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"),
-                 F.right("text", F.lit(20)).rlike(r"[;,:][\s\p{Z}]*$").alias("comma"), "lastp",
-                 F.when(~F.col("lastl").rlike(TERMINAL) & (F.length("lastl") <= 120) & (F.col("lastl") != "#"), F.col("lastl")).alias("lastl"),
+                 F.right("text", F.lit(20)).rlike(r"[;,:][\s\p{Z}]*$").alias("comma"), F.md5("lastp").alias("lastp"),
+                 F.when(~F.col("lastl").rlike(TERMINAL) & (F.col("lastl") != "#"), F.md5("lastl")).alias("lastl"), F.substring_index(F.substring_index("above", "\n", -1), " ", -1).alias("before"),
                  (F.col("above").isNotNull() & (signs | dated)).alias("looks"), "t", "above")
     d = written(_with_flags(_with_flags(d, "t", "f0"), "above", "f1").drop("t", "above"))
     # a last paragraph that many texts of the field share closes whole texts
@@ -89,8 +90,10 @@ def ends(df: DataFrame) -> DataFrame:
     foot = (d.where("lastp IS NOT NULL").groupBy("field", "lastp").agg(F.count("*").alias("k"))
              .join(F.broadcast(sized), "field").where(F.col("k") >= F.greatest(F.lit(LEAST_COUNT), FOOTER_SHARE * F.col("rows")))
              .select("field", "lastp", F.lit(True).alias("whole")))  # 1 / FOOTER_SHARE paragraphs of a field at most
-    # a last line without a full stop that several texts share is a page header
-    lines = d.where("lastl IS NOT NULL").groupBy("lastl").agg(F.count("*").alias("k")).where(f"k >= {REPEATS}").select("lastl", F.lit(True).alias("header"))
+    # a last line without a full stop that several texts share is a page header, if different words stand before it; the
+    # last line of a clause that was cut in many copies has one
+    lines = (d.where("lastl IS NOT NULL").groupBy("lastl", "before").agg(F.count("*").alias("k")).groupBy("lastl").agg(F.sum("k").alias("k"), F.max("k").alias("most"))
+              .where((F.col("k") >= REPEATS) & (F.col("most") <= SAME_WORD * F.col("k"))).select("lastl", F.lit(True).alias("header")))
     plain = d.where("lastl IS NULL").withColumn("header", F.lit(None).cast("boolean"))
     lined = d.where("lastl IS NOT NULL").join(lines, "lastl", "left").select(*plain.columns)
     d = plain.unionByName(lined).join(F.broadcast(foot), ["field", "lastp"], "left")
@@ -117,10 +120,13 @@ def hazards(df: DataFrame, fdr: float = FDR) -> DataFrame:
     k, lam = F.col("n"), F.col("expected")
     h = h.withColumn("p_bound", F.when(k > lam, F.exp(-(k * F.log(k / lam) - k + lam))).otherwise(F.lit(1.0)))
     h = h.where(f"n >= {LEAST_COUNT}")
-    # the largest p that is still below its rank's share, found over the distinct values of p
-    ranked = (h.groupBy("p_bound").agg(F.count("*").alias("c"))
-               .withColumn("rank", F.sum("c").over(W.orderBy("p_bound")))
-               .withColumn("all", F.sum("c").over(W.partitionBy())))
+    # the largest p that is still below its rank's share, found over the distinct values of p: ranks inside bins of the
+    # logarithm, of which there are BINS at most, and the numbers below each bin
+    last = F.coalesce(F.least(F.floor(-F.log10("p_bound") * 10), F.lit(BINS - 1)), F.lit(BINS - 1))
+    values = h.groupBy("p_bound").agg(F.count("*").alias("c")).withColumn("bin", last)
+    sizes = values.groupBy("bin").agg(F.sum("c").alias("size"))
+    below = sizes.withColumn("below", F.sum("size").over(W.orderBy(F.desc("bin"))) - F.col("size")).withColumn("all", F.sum("size").over(W.partitionBy()))
+    ranked = values.join(F.broadcast(below), "bin").withColumn("rank", F.col("below") + F.sum("c").over(W.partitionBy("bin").orderBy("p_bound")))
     top = ranked.where(F.col("p_bound") <= fdr * F.col("rank") / F.col("all")).agg(F.max("p_bound").alias("limit"))
     return (h.crossJoin(F.broadcast(top)).withColumn("significant", (F.col("p_bound") <= F.coalesce("limit", F.lit(-1.0)))
                                                              & (F.col("n") >= RATIO * F.col("expected")))

@@ -109,6 +109,13 @@ def test_sentence_counts_and_ends(spark):
     assert 90 not in got and 91 not in got and 92 not in got and len(got[93]) == 3000
 
 
+def test_quotations_of_any_length(spark):
+    inner = "Das gilt immer. Nichts sonst! " * 400
+    text = f"Er sagte: „{inner}Ende.“ Danach ging er. „{inner}"
+    got = [x.sentence for x in sentences.sentences(rows(spark, (1, text)), "id", "text").orderBy("pos").collect()]
+    assert got[0] == f"Er sagte: „{inner}Ende.“" and got[1] == "Danach ging er." and len(got) == 2 + 800
+
+
 # -- 4 truncation -----------------------------------------------------------------------------------
 
 def test_truncation_flags_cuts_only(spark):
@@ -253,6 +260,18 @@ def test_languages_found_and_labels_read(spark):
     assert language.present(t.limit(0), "id", "text", "lang", empty).count() == 0
 
 
+def test_sample_is_exact_and_bounded(spark):
+    docs = [(k, f"{SAMPLES['de']} Nummer {k}.", "de") for k in range(5000)] + [(k, SAMPLES["pl"], "pl") for k in range(6000, 6040)]
+    docs += [(7, SAMPLES["de"], "de")] * 3000 + [(9000, SAMPLES["it"], "it")] * 2000 + [(9001, None, "it"), (9002, "x " * 50_000, "it")]
+    df = spark.createDataFrame(docs, "id BIGINT, text STRING, lang STRING")
+    hashes = {r.id: r.h for r in df.select("id").distinct().selectExpr("id", "xxhash64(CAST(id AS STRING)) AS h").collect()}
+    got = language.sample(df.repartition(7), "id", "text", "lang")
+    ids = lambda lang: {int(r[2]) for r in got if r[0] == lang}
+    assert ids("de") == set(sorted(range(5000), key=lambda k: hashes[k])[:language.SAMPLE_DOCS])
+    assert ids("pl") == set(range(6000, 6040)) and ids("it") == {9000, 9002} and len(got) == language.SAMPLE_DOCS + 42
+    assert got == language.sample(df.repartition(3), "id", "text", "lang") and all(len(r[3]) <= language.SEGMENTS_READ for r in got)
+
+
 # -- 1 personal information -------------------------------------------------------------------------
 
 def test_personal_held_out_and_rest_unchanged(spark):
@@ -276,6 +295,43 @@ def test_personal_held_out_and_rest_unchanged(spark):
     assert personal.found(src.limit(0), model).count() == 0
 
 
+def test_personal_with_names_and_sentences_of_its_own(spark):
+    """Names, streets and sentences that the fit has not seen; given names are learnt from the column of names."""
+    given, last = "Zygmunt Odalys Thorvald Ximena Bertille Nepomuk".split(), "Quastenberg Ollerich Vandenhoff Szabados Trumpfheller Jovanovic".split()
+    streets, firms = ["Rabensteiner Chaussee", "Kupferschmiedgasse", "Auf der Lohe", "Alter Postweg", "Fliederring"], ["Ollerich & Töchter GmbH", "Vandenhoff Reederei AG"]
+    r = random.Random(12)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    names = spark.createDataFrame([(f"{g} {x}",) for g in given for x in last[:3]], "name STRING")
+    model = personal.learn(names, "name")
+    make = {"name": lambda: f"{r.choice(given)} {r.choice(last)}", "address": lambda: f"{r.choice(streets)} {d(2)}", "phone": lambda: f"0{d(3)}/{d(6)}", "email": lambda: f"{d(1)}kontakt.{r.choice(last).lower()}@seeblick.example",
+            "idnum": lambda: f"{d(2)} {d(3)} {d(3)} {d(3)}", "": lambda: r.choice(firms)}
+    frames = [("Das Protokoll führte {} an diesem Abend.", "name"), ("Mit Schreiben vom Montag erklärt {} den Rücktritt.", "name"), ("Die Schlüssel liegen bei {} im Büro.", "name"), ("Übergeben wird die Wohnung {} in 10245 Krähenwinkel.", "address"),
+              ("Lieferungen gehen an die Anschrift {}, 20457 Möwenort.", "address"), ("Rückfragen bitte unter Telefon {} am Vormittag.", "phone"), ("Wer Fragen hat, schreibt an {} bis Freitag.", "email"), ("Die Steuer-ID {} ist im Antrag zu nennen.", "idnum"),
+              ("Die Firma {} liefert alle Teile.", ""), ("Der Vertrag mit {} endet im Mai.", "")]
+    right = wrong = missed = 0
+    for _ in range(400):
+        frame, kind = r.choice(frames)
+        got = {k for *_, k in personal.analyse(frame.format(make[kind]()), model)}
+        right += kind in got
+        missed += bool(kind) and kind not in got
+        wrong += len(got - {kind})
+    assert right / (right + missed) > 0.95 and right / (right + wrong) > 0.95
+
+
+def test_rare_given_names_are_joined(spark):
+    names = spark.createDataFrame([(n,) for n in ["Greta Bergfeld"] * 5 + ["Odalys Dahlmann", "Ximena-Rosa Fichtner"]], "name STRING")
+    old, personal.LEXICON = personal.LEXICON, 1
+    try:
+        model = personal.learn(names, "name")
+    finally:
+        personal.LEXICON = old
+    assert model.lex.given == {"greta"} and {r.g for r in model.rest.collect()} == {"odalys", "ximena-rosa"}
+    src = spark.createDataFrame([("f", 1, "Nach Angaben von Odalys Erlbach, wohnhaft Birkenweg 4."), ("f", 2, "Erschienen ist Ximena-Rosa Imhofen, 12."), ("f", 3, "Erschienen ist Greta Imhofen."), ("f", 4, "Kein Name hier."), ("f", 5, None)],
+                                "field STRING, row_id BIGINT, text STRING")
+    assert {x.row_id for x in personal.found(src, model).where("kind = 'name'").collect()} == {1, 2, 3}
+    assert {x.row_id: x.text for x in personal.redacted(src, model).collect()}[2] == "Erschienen ist [NAME], 12." and personal.redacted(src, model).count() == 5
+
+
 # -- 2 scans --------------------------------------------------------------------------------------
 
 def test_scans_kinds_and_repair(spark):
