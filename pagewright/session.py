@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of this machine only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset one of this machine is taken, if
+    everything runs in this one process; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/pagewright-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -20,4 +24,18 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder, so that what follows neither repeats nor depends on its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_paths: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written so far, when no result that reads them is needed any more; how
+    many there were."""
+    jvm, paths = spark.sparkContext._jvm, _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

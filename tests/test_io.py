@@ -59,3 +59,22 @@ def test_queue_as_stream(spark, tmp_path):
     for r in spark.table("queue_out").collect():
         last[r.path] = max(last.get(r.path, (0, "")), (r.applied, r.state))
     assert {k: v[1] for k, v in last.items()} == {"p": "done", "q": "cancelled"}
+
+
+def test_shared_folder(spark, tmp_path):
+    import glob
+    import types
+
+    import pytest
+
+    from pagewright import session
+
+    ours = session.shared_dir(spark)
+    before = len(glob.glob(ours.removeprefix("file://") + "/*.parquet"))
+    df = session.written(spark.range(3))
+    assert df.count() == 3 and len(glob.glob(ours.removeprefix("file://") + "/*.parquet")) == before + 1
+    assert session.release(spark) >= 1 and session.release(spark) == 0
+    unset = types.SimpleNamespace(get=lambda *_: None)
+    cluster = types.SimpleNamespace(conf=unset, sparkContext=types.SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster)
