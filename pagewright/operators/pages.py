@@ -44,12 +44,13 @@ def furniture_keys(pages: DataFrame) -> DataFrame:
 def strip_furniture(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, pos, text): of each furniture key only the first line in document order stays; pages that are
     blank then go."""
-    keyed = lines(pages).withColumn("key", T.furniture_key(F.col("line")))
-    keys = furniture_keys(pages).select("doc_id", "key", F.lit(True).alias("furniture"))
-    d = keyed.join(keys, ["doc_id", "key"], "left")
-    first = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("pos", "line_no"))
-    hit = d.where("furniture").withColumn("rn", first).where("rn = 1").drop("rn")
-    kept = d.where("furniture IS NULL").unionByName(hit)
+    n = content_pages(pages).groupBy("doc_id").agg(F.count("*").alias("n"))
+    same = W.partitionBy("doc_id", "key")
+    d = lines(pages).withColumn("key", T.furniture_key(F.col("line"))).join(n, "doc_id")
+    d = d.withColumn("pages", F.when(F.col("key").isNotNull(), F.size(F.collect_set(F.when(F.col("key").isNotNull(), F.col("pos"))).over(same))))
+    d = d.withColumn("rn", F.row_number().over(same.orderBy("pos", "line_no")))
+    furniture = F.coalesce(F.expr("n >= 3 AND pages >= greatest(3, (n + 1) div 2)"), F.lit(False))
+    kept = d.where(~furniture | (F.col("rn") == 1))
     return (kept.groupBy("doc_id", "page_no", "pos").agg(joined(F.collect_list(F.struct("line_no", F.col("line").alias("s"))), "\n").alias("text"))
                 .where(~T.blank(F.col("text"))))
 

@@ -28,19 +28,21 @@ def _subs(s, d):
 def score_report(s: SparkSession, d: str) -> DataFrame:
     """One row for each document with clause ids: what the sections cover of the pages, in ids and in long words, and how
     the labels stand."""
-    src, lab = clauses.source_ids(_page(s, d)), clauses.label_ids(_sections(s, d), _subs(s, d))
-    cov = score.coverage(src, lab)
-    words = score.long_words(score.source_text(_page(s, d)), "doc_id", "text")
-    have = score.long_words(_subs(s, d).where("content IS NOT NULL"), "doc_id", "content")
-    total = words.groupBy("doc_id").agg(F.count("*").alias("n_words"))
-    kept = words.join(have, ["doc_id", "word"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_recalled"))
-    dup = score.duplicate_labels(_subs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_duplicates"))
-    flip = score.order_flips(_subs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_flips"))
-    out = cov
-    for df in (total, kept, dup, flip):
-        out = out.join(df, "doc_id", "left")
-    out = out.na.fill(0, ["n_words", "n_recalled", "n_duplicates", "n_flips"])
-    return out.withColumn("recall", F.round(100.0 * F.col("n_recalled") / F.greatest(F.lit(1), F.col("n_words")), 6))
+    subs, none = _subs(s, d), F.array().cast("array<string>")
+    words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(T.dehyphenate(c), F.lit(score.LONG), F.lit(0)), F.lower))
+    src = score.source_text(_page(s, d)).select("doc_id", T.clause_ids(F.col("text")).alias("ids"), words(F.col("text")).alias("words")).where("size(ids) > 0")
+    label = subs.select("doc_id", "sec_pos", "id", words(F.coalesce("content", F.lit(""))).alias("words")).unionByName(_sections(s, d).select("doc_id", "sec_pos", "id", none.alias("words")))
+    ans = label.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(T.clause_ids(F.coalesce("id", F.lit("")))))).alias("labels"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("have"))
+    toc = structure.contents_table(_sections(s, d))
+    own = subs.join(toc, ["doc_id", "sec_pos"], "left_anti")
+    dup = score.duplicate_labels(own).groupBy("doc_id").agg(F.count("*").alias("n_duplicates"))
+    flip = score.order_flips(own).groupBy("doc_id").agg(F.count("*").alias("n_flips"))
+    out = src.join(ans, "doc_id", "left").join(dup, "doc_id", "left").join(flip, "doc_id", "left").na.fill(0, ["n_duplicates", "n_flips"])
+    n = lambda a: F.size(a).cast("bigint")
+    out = out.select("doc_id", n(F.col("ids")).alias("n_source"), n(F.array_intersect("ids", F.coalesce("labels", none))).alias("n_covered"), n(F.col("words")).alias("n_words"),
+                     n(F.array_intersect("words", F.coalesce("have", none))).alias("n_recalled"), "n_duplicates", "n_flips")
+    percent = lambda a, b: F.round(100.0 * F.col(a) / F.greatest(F.lit(1), F.col(b)), 6)
+    return out.withColumn("coverage", percent("n_covered", "n_source")).withColumn("recall", percent("n_recalled", "n_words"))
 
 
 def score_missing_words(s, d):
@@ -95,9 +97,10 @@ def completeness_guard(s, d):
 
 
 def label_text(s, d):
-    lab = _sections(s, d).select("doc_id", "sec_pos", F.lit(-1).alias("sub_pos"), "id").unionByName(_subs(s, d).select("doc_id", "sec_pos", "sub_pos", "id"))
-    lab = lab.select("doc_id", "sec_pos", "sub_pos", T.norm_id(F.col("id")).alias("s")).where("s <> ''")
-    return lab.groupBy("doc_id").agg(pages.joined(F.collect_list(F.struct("sec_pos", "sub_pos", "s")), "\n").alias("labels"))
+    """The labels that each answer claims, as they stand; null for answers that are Markdown and for those without sections."""
+    lab = _sections(s, d).select("doc_id", "sec_pos", F.lit(-1).alias("sub_pos"), F.col("id").alias("s")).unionByName(_subs(s, d).select("doc_id", "sec_pos", "sub_pos", F.col("id").alias("s")))
+    g = lab.groupBy("doc_id").agg(pages.joined(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("sec_pos", "sub_pos", "s"))), "\n").alias("labels"))
+    return table(s, d, "answer").join(g, "doc_id", "left").select("answer_id", F.when(F.col("_markdown").isNull(), F.col("labels")).alias("labels"))
 
 
 def outcome_chat(s, d):
@@ -255,7 +258,8 @@ fold AS (SELECT doc_id, sec_pos, rn, sec_pos AS head, lettered, false AS folds F
 LIKE = r"(length({0}) <= 80 AND NOT regexp_matches({0}, '[,;]') AND regexp_matches({0}, '^[^\p{{L}}]*\p{{Lu}}') AND NOT regexp_matches({0}, '[.,;:–—-]$') AND NOT regexp_matches({0}, '^[0-9]{{1,2}}(\.[0-9]{{1,2}})+'))"
 
 SQL = {
-    "score_report": f"""WITH {WORD_CTES}, dup AS ({DUP}), flip AS ({FLIP}),
+    "score_report": f"""WITH {WORD_CTES}, own AS (SELECT * FROM sub WHERE (doc_id, sec_pos) NOT IN (SELECT doc_id, sec_pos FROM sec WHERE contains(lower(concat_ws(' ', id, title)), 'inhaltsverzeichnis'))),
+dup AS ({DUP.replace('FROM sub)', 'FROM own)')}), flip AS ({FLIP.replace('FROM sub)', 'FROM own)')}),
 cov AS (SELECT doc_id, count(*) AS n_source, count(*) FILTER ((doc_id, id) IN (SELECT doc_id, id FROM lab)) AS n_covered FROM src GROUP BY 1),
 w AS (SELECT s.doc_id, count(*) AS n_words, count(a.word) AS n_recalled FROM sw s LEFT JOIN aw a USING (doc_id, word) GROUP BY 1)
 SELECT c.doc_id, n_source, n_covered, round(100.0 * n_covered / greatest(1, n_source), 6) AS coverage, coalesce(n_words, 0) AS n_words, coalesce(n_recalled, 0) AS n_recalled,
@@ -336,8 +340,9 @@ k AS (SELECT *, CASE WHEN starts_with(t, '```') THEN 'fence' WHEN inside THEN 'c
 SELECT answer_id, line_no, kind, CAST(CASE WHEN kind = 'heading' THEN length(regexp_extract(t, '^(#+)', 1)) ELSE 0 END AS INT) AS level FROM k""",
     "completeness_guard": f"""WITH {CLEAN}, {MD}, t AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS total FROM cp GROUP BY 1)
 SELECT doc_id, total, coalesce(length(markdown), 0) AS rendered, coalesce(length(markdown), 0) < (total * 2) // 5 AS rejected, least(80000, total // 2) AS second_most FROM t LEFT JOIN md USING (doc_id)""",
-    "label_text": f"""WITH {SUB}, l AS (SELECT doc_id, sec_pos, -1 AS sub_pos, {NORM.format('id')} AS s FROM sec UNION ALL SELECT doc_id, sec_pos, sub_pos, {NORM.format('id')} FROM sub)
-SELECT doc_id, string_agg(s, chr(10) ORDER BY sec_pos, sub_pos, s) AS labels FROM l WHERE s <> '' GROUP BY 1""",
+    "label_text": f"""WITH {SUB}, l AS (SELECT doc_id, sec_pos, -1 AS sub_pos, id AS s FROM sec UNION ALL SELECT doc_id, sec_pos, sub_pos, id FROM sub),
+g AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY sec_pos, sub_pos, s), '') AS labels FROM l GROUP BY 1)
+SELECT answer_id, CASE WHEN _markdown IS NULL THEN labels END AS labels FROM answer LEFT JOIN g USING (doc_id)""",
     "outcome_chat": """SELECT answer_id, CASE WHEN answer_id % 11 = 0 THEN 'providerError' WHEN answer_id % 7 = 0 THEN 'truncated' WHEN trim(coalesce(title, '')) = '' THEN 'empty' ELSE 'success' END AS kind,
 CASE WHEN answer_id % 11 = 0 THEN CASE WHEN answer_id % 2 = 0 THEN 429 ELSE 400 END ELSE -1 END AS code, CASE WHEN answer_id % 11 = 0 THEN NULL WHEN answer_id % 7 = 0 OR trim(coalesce(title, '')) <> '' THEN title END AS content,
 CASE WHEN answer_id % 11 = 0 THEN answer_id % 2 = 0 ELSE false END AS transient FROM answer""",

@@ -23,12 +23,17 @@ def pages_of_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def binary(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, error, content) of PDF files: a file that isn't one, is encrypted or empty has an error, not an exception."""
+    """(path, length, n_pages, error, content) of PDF files: a file that isn't one, is encrypted or holds no page has an error,
+    not an exception. n_pages is the number of page objects, null where they are packed into object streams."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB).option("recursiveFileLookup", "true").load(path)
     head = F.decode(F.substring("content", 1, 5), "ISO-8859-1")
     crypt = F.contains(F.decode("content", "ISO-8859-1"), F.lit("/Encrypt"))
-    error = F.when(F.col("length") == 0, "empty").when(head != "%PDF-", "unreadable").when(crypt, "locked")
-    return d.select("path", "length", error.alias("error"), "content")
+    text = F.decode("content", "ISO-8859-1")
+    packed = F.contains(text, F.lit("/ObjStm"))
+    count = F.size(F.regexp_extract_all(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"), F.lit(0)))
+    n = F.when((head == "%PDF-") & ~crypt & ~(packed & (count == 0)), count)
+    error = F.when(F.col("length") == 0, "empty").when(head != "%PDF-", "unreadable").when(crypt, "locked").when(n == 0, "empty")
+    return d.select("path", "length", n.alias("n_pages"), error.alias("error"), "content")
 
 
 def dropped(spark: SparkSession, path: str, at_once: int = 1) -> DataFrame:

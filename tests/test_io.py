@@ -14,9 +14,11 @@ def test_texts_and_pages(spark, tmp_path):
 
 
 def test_binary_errors(spark, tmp_path):
-    for name, body in (("a.pdf", b"%PDF-1.4 x"), ("b.PDF", b"nothing"), ("c.pdf", b"%PDF-1.7 /Encrypt"), ("d.txt", b"%PDF-"), ("e.pdf", b"")):
+    for name, body in (("a.pdf", b"%PDF-1.4 /Type /Pages /Type /Page /Type/Page "), ("f.pdf", b"%PDF-1.5 /ObjStm"), ("g.pdf", b"%PDF-1.4 /Type /Pages"), ("b.PDF", b"nothing"), ("c.pdf", b"%PDF-1.7 /Encrypt"), ("d.txt", b"%PDF-"), ("e.pdf", b"")):
         (tmp_path / name).write_bytes(body)
-    got = {r.path.rsplit("/", 1)[1]: r.error for r in readers.binary(spark, str(tmp_path)).collect()}
+    rows = readers.binary(spark, str(tmp_path)).collect()
+    got = {r.path.rsplit("/", 1)[1]: r.error for r in rows}
+    assert {r.path.rsplit("/", 1)[1]: r.n_pages for r in rows if r.n_pages is not None} == {"a.pdf": 2, "g.pdf": 0} and got["g.pdf"] == "empty" and got["f.pdf"] is None
     assert {k: got[k] for k in ("a.pdf", "b.PDF", "c.pdf")} == {"a.pdf": None, "b.PDF": "unreadable", "c.pdf": "locked"} and "d.txt" not in got
 
 
