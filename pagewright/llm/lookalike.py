@@ -121,3 +121,18 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, salts: int = 8) -
                  .where("o.id < p.id AND o.tm <> p.tm").select(F.col("o.id").alias("x"), F.col("p.id").alias("y")))
     return (one.unionByName(two).where("x <> y")
                .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct())
+
+
+def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form, n_rows, n_spellings): the rows of every visible form that has several spellings, with the md5 of the form as
+    their class; one row for each id and spelling, where same_look_pairs() would have the square of them. Counts are made
+    by spelling first, so that a form that a large part of the rows shares is a few rows where they meet."""
+    rows = (df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+              .where("id IS NOT NULL AND text IS NOT NULL").distinct())
+    f = _forms("text")
+    plain = rows.where(settled(F.col("text"))).select("id", F.md5("text").alias("form"), F.md5("text").alias("spelling"))
+    odd = rows.where(~settled(F.col("text"))).select("id", F.md5(f["visible"]).alias("form"), F.md5("text").alias("spelling"))
+    keyed = written(plain.unionByName(odd))
+    several = (keyed.groupBy("form", "spelling").agg(F.count("*").alias("n")).groupBy("form").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
+                    .where("n_spellings > 1"))
+    return keyed.join(several, "form").select("id", "form", "n_rows", "n_spellings")

@@ -51,6 +51,11 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
              .where("n_spellings > 1"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The subsections of every form with several spellings; any number of copies are one row each."""
+    return lookalike.classes(table(spark, d, "subsections"), "sub_id", "content").withColumnRenamed("id", "sub_id")
+
+
 def _ended(spark: SparkSession, d: str) -> DataFrame:
     subs = table(spark, d, "subsections").select(F.lit("subsections.content").alias("field"), F.col("sub_id").alias("id"), "source",
                                                  F.col("content").alias("text"))
@@ -120,7 +125,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_forms, p3_classes, p4_found, p4_rates, p4_lengths, p5_found, p5_sentences, p6_ids, p7_found, p7_passages, p8_found, p8_languages,
                                     p8_segments)}
 
 

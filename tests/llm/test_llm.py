@@ -82,6 +82,22 @@ def test_forms_keep_settled_values(spark):
     assert f == {"Äpfel": ("äpfel", "Äpfel"), "ＡＢ１": ("ab1", "AB1"), "": ("", "")}
 
 
+def test_classes_say_what_pairs_say(spark):
+    r = random.Random(8)
+    base = ["Miete zahlen", "Ｍiete zahlen", "Miete\u00a0zahlen", "miete zahlen", "Pacht", "Рacht", "Haus", "Garten"]
+    data = [(k, r.choice(base)) for k in range(120)] + [(500, None), (501, ""), (3, "Haus")]
+    df = rows(spark, *data)
+    pairs = {(x.id_a, x.id_b) for x in lookalike.same_look_pairs(df, "id", "text").collect()}
+    got = lookalike.classes(df, "id", "text").collect()
+    form = {}
+    for x in got:
+        form.setdefault(x.form, set()).add(x.id)
+    text = dict(data)
+    assert {i for ids in form.values() for i in ids} == {i for p in pairs for i in p}
+    assert all(any(set(p) <= ids for ids in form.values()) for p in pairs)
+    assert all(x.n_rows == len([i for i in form[x.form]]) and x.n_spellings == len({text[i] for i in form[x.form]}) for x in got if 3 not in form[x.form])
+
+
 # -- 5 sentences ----------------------------------------------------------------------------------
 
 CASES = {
