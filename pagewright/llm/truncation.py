@@ -28,7 +28,8 @@ REPEATS, SAME_WORD = 3, 0.7  # texts that close with one line, and the part of t
 SPACE = r"[\s\p{Z}]"
 MARK = rf"(?:…|\.\.\.|\x{{FFFD}}|\[(?:…|\.\.\.|gekürzt|cut|truncated)\]|\((?:…|\.\.\.|gekürzt)\))[\s\p{{Z}}*]*$"
 TERMINAL = r"(?:(?<=[\u0370-\u03ff])[;\u037e]|[.!?。！？।॥؟۔](?:[\s\p{Z}]*[)\]\"'”“’‘»«›‹」』）])*|[.!?][*_]+)$"
-PAGE_LINE = r"(?:\n[ \t]*(?:[-–—\[(]?[ \t]*\p{N}{1,4}[ \t]*[-–—\])]?|(?i:seite|blatt|page|s\.)[ \t]*\p{N}{1,4}(?:[ \t]*(?:von|/|of)[ \t]*\p{N}{1,4})?|\p{N}{1,4}[ \t]*/[ \t]*\p{N}{1,4})[ \t]*)+$"
+PAGE_NO = r"[ \t]*(?:[-–—\[(]?[ \t]*\p{N}{1,4}[ \t]*[-–—\])]?|(?i:seite|blatt|page|s\.)[ \t]*\p{N}{1,4}(?:[ \t]*(?:von|/|of)[ \t]*\p{N}{1,4})?|\p{N}{1,4}[ \t]*/[ \t]*\p{N}{1,4})[ \t]*"
+PAGE_LINE = rf"(?:\n{PAGE_NO})+$"
 RUNNING = (r"[.!?。！？।؟](?:(?<=[。！？।؟])|(?<=(?:\p{L}{4}|\p{N}[“”»«)]|usw|etc|p\. ?a|\p{N}{2}|u\. Ä)[.!?])(?<!(?:einschl|entspr|insbes|zuzügl|Buchst|Absch)\.)"
            r"[.!?]*[“”»«)]*[\s\p{Z}]+[\p{Lu}\p{Lo}„»“«\p{N}])")  # begins with a mark, which the search can skip to
 
@@ -40,14 +41,19 @@ def _abbreviated() -> str:
 
 
 def _open_quotes(x: Column) -> Column:
-    count = lambda s: F.length(x) - F.length(F.translate(x, s, ""))
-    return F.contains(x, F.lit("„")) & (count("„") > count("“”"))
+    count = lambda s: F.length(x) - F.length(F.replace(x, F.lit(s), F.lit("")))
+    return F.contains(x, F.lit("„")) & (count("„") > count("“") + count("”"))
 
 
 def _body(x: Column) -> Column:
     return F.when(F.right(x, F.lit(1)).rlike(SPACE), F.regexp_replace(x, rf"{SPACE}+$", "")).otherwise(x)
 
 
+def _without_page_numbers(x: Column) -> Column:
+    last = F.substring_index(x, "\n", -1)
+    return F.when(F.contains(x, F.lit("\n")) & last.rlike(f"^{PAGE_NO}$"), _body(F.regexp_replace(x, PAGE_LINE, ""))).otherwise(x)
+
+
 def _with_flags(df: DataFrame, col: str, name: str) -> DataFrame:
     """df with a struct of what the end of a text tells: mark of omission, full stop, running text, list item or heading,
     opening words. What several of them need is a projection of its own, so that it is computed once."""
@@ -57,7 +63,7 @@ def _with_flags(df: DataFrame, col: str, name: str) -> DataFrame:
     df = df.withColumn("_item", F.when(F.col("_last").rlike(r"^[*#]"), F.regexp_replace("_last", r"^(?:\*\*[^*\n]{1,12}\*\*|#+)[\s]*", "")).otherwise(F.col("_last")))
     flags = F.struct(
         (F.col("_end").rlike(MARK) & ~F.col("_end").rlike(r"„…[“”]?$")).alias("mark"),
-        (F.col("_tail").rlike(TERMINAL) & ~F.col("_tail").rlike(_abbreviated()) & ~_open_quotes(F.col("_last"))).alias("terminal"),
+        (F.col("_tail").rlike(TERMINAL) & ~(F.endswith(F.col("_tail"), F.lit(".")) & F.right("_tail", F.lit(32)).rlike(_abbreviated())) & ~_open_quotes(F.col("_last"))).alias("terminal"),
         F.when(F.col("field").contains("_markdown"), F.col("_item")).otherwise(F.col("_y")).rlike(RUNNING).alias("prose"),
         F.col("_last").rlike(r"^(?:\*\*[^*\n]{1,12}\*\*\s*)?\p{Ll}|^#+\s").alias("list"),
         F.regexp_replace(F.lower(F.regexp_extract(F.substring("_item", 1, 200), r"^(\S+\s+\S+\s+\S+)\s", 1)), r"\p{N}+", "#").alias("opening"))
@@ -70,12 +76,13 @@ def ends(df: DataFrame) -> DataFrame:
     of the two holds is decided by how many texts share that line."""
     t = F.col("t")
     d = df.withColumn("t", _body(F.col("text")))
-    d = d.withColumn("t", F.when(F.contains(t, F.lit("\n")), _body(F.regexp_replace(t, PAGE_LINE, ""))).otherwise(t))
+    d = d.withColumn("t", _without_page_numbers(t))
     several = F.contains(t, F.lit("\n"))
     d = d.withColumn("lastp", F.when(F.contains(t, F.lit("\n\n")), F.substring_index("t", "\n\n", -1)))
     # a short last paragraph stands for itself, in a long one the last line may be a header
     d = d.withColumn("lastl", F.when(several & ~F.coalesce(F.length("lastp") <= 200, F.lit(False)), F.regexp_replace(F.lower(F.trim(F.substring_index("t", "\n", -1))), r"\p{N}+", "#")))
-    d = d.withColumn("above", F.when(F.col("lastl").isNotNull(), _body(F.regexp_replace(F.regexp_replace("t", r"\n[^\n]*$", ""), PAGE_LINE, ""))))
+    without = F.substring(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, "\n", -1)) - 1)
+    d = d.withColumn("above", F.when(F.col("lastl").isNotNull(), _body(without))).withColumn("above", _without_page_numbers(F.col("above")))
     # some headers are told by their look: signs and figures, capitals only
     look = F.substring_index("t", "\n", -1)
     signs = look.rlike(r"\||·|^UR-N[Rr]")
