@@ -1,8 +1,9 @@
 """Personal information in free text, by a semi-Markov conditional random field.
 
 Whole spans, not words, are scored: every span that could be an entity (bounded in length by its shape) is a segment
-with features of its whole text, of its neighbours and of the lexicon; dynamic programming over the segments of a
-sentence chooses boundaries and types jointly, what lies between is outside. Weights maximise the likelihood of
+with features of its whole text, of the words around it and of the lexicon, and two segments in a row have a feature of
+their types and of the gap between them; dynamic programming over the segments of a sentence chooses boundaries and
+types jointly, what lies between is outside. Weights maximise the likelihood of
 sentences made here from invented values, entities and their confusable counterparts alike; given names are
 learnt from the column of names. Sentences are judged once for each form with masked figures.
 """
@@ -185,6 +186,8 @@ def candidates(s: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]:
             f.append("address>code" if re.match(r",?\s(?:in\s)?\d{5}", after) else "address>town" if re.match(r",\s[A-Z]", after) else "address>-")
         if kind in ("phone", "idnum"):
             n = sum(c.isdigit() for c in text)
+            if re.search(r"\d\s?$", before):
+                f.append(f"{kind}:behind")
             f.append(f"{kind}:digits{'<7' if n < 7 else '7-8' if n < 9 else '9-11' if n < 12 else '12+'}")
             if re.search(r"\d{1,2}\.\d{1,2}\.(?:19|20|11|10)\d\d$", text) or re.match(r"\s?(?:EUR|€|%|m²)", after):
                 f.append(f"{kind}:amount")
@@ -192,49 +195,70 @@ def candidates(s: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]:
     return out
 
 
+def _pair(before, after) -> str | None:
+    """Feature of two segments next to each other in a sequence, null if they overlap; the first has none before it."""
+    if before is None:
+        return f"^>{after[2]}"
+    gap = after[0] - before[1]
+    return None if gap < 0 else f"{before[2]}>{after[2]}:{'near' if gap <= 12 else 'far'}"
+
+
 def decode(cands: list, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """The best sequence of segments that don't overlap."""
-    cands = [(a, b, k, sum(weights.get(x, 0.0) for x in f)) for a, b, k, f in cands]
-    cands = sorted((c for c in cands if c[3] > 0), key=lambda c: (c[1], c[0], c[2]))
-    best: list[tuple[float, int, int]] = [(0.0, -1, -1)]  # score, last candidate, state before
-    ends = [0]
-    for i, (a, b, _, score) in enumerate(cands):
-        j = len(ends) - 1
-        while ends[j] > a:
-            j -= 1
-        take = (best[j][0] + score, i, j)
-        keep = (best[-1][0], -1, len(best) - 1)
-        best.append(take if take[0] > keep[0] else keep)
-        ends.append(b)
-    out, j = [], len(best) - 1
-    while j > 0:
-        _, i, back = best[j]
-        if i >= 0:
+    """The best sequence of segments that don't overlap, by the scores of segments and of neighbours in the sequence."""
+    get = weights.get
+    cands = sorted((a, b, k, sum(get(x, 0.0) for x in f)) for a, b, k, f in cands)
+    best: list[tuple[float, int]] = []  # score of the best sequence that ends here, its segment before
+    for i, c in enumerate(cands):
+        top = (get(_pair(None, c), 0.0), -1)
+        for j in range(i):
+            if pair := _pair(cands[j], c):
+                score = best[j][0] + get(pair, 0.0)
+                if score > top[0]:
+                    top = (score, j)
+        best.append((top[0] + c[3], top[1]))
+    out = []
+    i = max(range(len(best)), key=lambda i: best[i][0], default=-1)
+    if i >= 0 and best[i][0] > 0:
+        while i >= 0:
             out.append(cands[i][:3])
-        j = back
+            i = best[i][1]
     return out[::-1]
 
 
-def _marginals(cands: list, weights: dict[str, float]) -> list[float]:
-    """Probability of each candidate over all sequences of segments that don't overlap (forward, backward)."""
-    scores = [sum(weights.get(x, 0.0) for x in f) for _, _, _, f in cands]
-    points = sorted({p for a, b, _, _ in cands for p in (a, b)})
-    at = {p: k for k, p in enumerate(points)}
-    n = len(points)
-    add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
+def _sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs))
+
+
+def _expected(cands: list, chosen: set[int], weights: dict[str, float]) -> dict[str, float]:
+    """For each feature how often the wanted sequence has it less how often a sequence has it by the model: forward and
+    backward sums over all sequences of segments that don't overlap. cands are in order."""
+    get, n = weights.get, len(cands)
+    own = [sum(get(x, 0.0) for x in c[3]) for c in cands]
+    pairs = {(j, i): p for i in range(n) for j in range(-1, i) if (p := _pair(cands[j] if j >= 0 else None, cands[i]))}
+    into, onto = defaultdict(list), defaultdict(list)
+    for j, i in pairs:
+        into[i].append(j)
+        onto[j].append(i)
     fore, back = [0.0] * n, [0.0] * n
-    for k in range(1, n):
-        fore[k] = fore[k - 1]
-        for (a, b, _, _), s in zip(cands, scores):
-            if at[b] == k:
-                fore[k] = add(fore[k], fore[at[a]] + s)
-    for k in range(n - 2, -1, -1):
-        back[k] = back[k + 1]
-        for (a, b, _, _), s in zip(cands, scores):
-            if at[a] == k:
-                back[k] = add(back[k], back[at[b]] + s)
-    total = fore[-1]
-    return [math.exp(min(0.0, fore[at[a]] + s + back[at[b]] - total)) for (a, b, _, _), s in zip(cands, scores)]
+    for i in range(n):
+        fore[i] = own[i] + _sum([(fore[j] if j >= 0 else 0.0) + get(pairs[j, i], 0.0) for j in into[i]])
+    for j in range(n - 1, -1, -1):
+        back[j] = _sum([0.0, *(get(pairs[j, i], 0.0) + own[i] + back[i] for i in onto[j])])
+    total = _sum([0.0, *fore])
+    out: dict[str, float] = defaultdict(float)
+    for i in range(n):
+        p = math.exp(fore[i] + back[i] - total)
+        for x in cands[i][3]:
+            out[x] += (i in chosen) - p
+    for (j, i), x in pairs.items():
+        out[x] -= math.exp((fore[j] if j >= 0 else 0.0) + get(x, 0.0) + own[i] + back[i] - total)
+    last = -1
+    for i in sorted(chosen):
+        if (last, i) in pairs:
+            out[pairs[last, i]] += 1
+            last = i
+    return out
 
 
 # Invented names and words of the training sentences.
@@ -262,7 +286,8 @@ def _example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         mail = mail.replace(".", " [dot] ")
     phone = r.choice([f"0{d(3)}-{d(4)}-{d(3)}", f"+49 {d(2)} {d(5)} {d(3)}", f"(0{d(2)}) {d(5)}-{d(3)}", f"0{d(3)}/{d(7)}", f"+49{d(10)}", f"0{d(2)}.{d(5)}.{d(3)}", f"0{d(2)}–{d(5)}–{d(3)}",
                       f"0{d(2)} / {d(2)} {d(2)} {d(2)} {d(2)}", f"0049 {d(2)} {d(8)}", f"+44 20 {d(4)} {d(4)}", f"+49 (0){d(2)} {d(5)}-{d(3)}"])
-    ident = r.choice([d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(3)}-{d(2)}-{d(4)}", f"C{r.choice('FGHJK')}{d(2)}{r.choice('RTVWX')}{d(4)}", f"L{d(2)}X{r.choice('CFG')}{d(4)}", f"{d(2)} {d(6)} {r.choice('ABCK')} {d(3)}"])
+    z = lambda n: "".join(r.choice("0012345678") for _ in range(n))
+    ident = r.choice([d(11), f"{d(2)} {z(3)} {z(3)} {z(3)}", f"{d(3)}-{d(2)}-{d(4)}", f"C{r.choice('FGHJK')}{d(2)}{r.choice('RTVWX')}{d(4)}", f"L{d(2)}X{r.choice('CFG')}{d(4)}", f"{d(2)} {d(6)} {r.choice('ABCK')} {d(3)}"])
     idcue = r.choice(["TIN", "SSN", "Steuer-ID", "IdNr.", "Steuer-Identnummer", "steuerliche Identifikationsnummer", "SV-Nr.", "RV-Nummer", "Ausweisnummer", "Reisepass", "Pass-Nr.",
                       "Passnummer", "Personalausweis-Nr.:", "U.S. Social Security No.", "Ausweisnummer:", "TIN:", "SSN:"])
     house = r.choice([f"{d(1)}", f"{d(2)}", f"{d(2)}{r.choice('abc')}", f"{d(2)} {r.choice('abc')}", f"{d(2)}-{d(2)}", f"{d(3)}"])
@@ -286,6 +311,11 @@ def _example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         [f"{r.choice(['Unter der', 'Auf dem', 'Bei', 'Zur', 'Im'])} {r.choice(['Vorgangsnummer', 'Formblatt', 'Vertrag', 'Haus', 'Plan'])} {d(2)} gilt {r.choice(['Absatz', 'Satz'])} 2"],
         [f"Zum {r.choice(['Stichtag', 'Termin'])} {d(2)} Einheiten"], [f"Stand {r.randint(1, 12):02d}/{d(4)}"],
         [f"Kundennummer {d(8)}, Konto {d(10)}"], [f"Police PH-{d(9)} der {firm}"]])
+    if r.random() < .2:  # values in any order
+        bits = [[r.choice(["", "Sitz: ", "wohnhaft "]), A, town], [r.choice(["", "vertreten durch ", "durch Frau ", "Kontakt: "]), N], [r.choice(["Tel. ", "mobil ", ""]), P], [r.choice(["E-Mail ", ""]), M], [idcue + " ", I],
+                [f"HRB {d(5)} Amtsgericht {r.choice(_TOWNS)}"], [f"Mandatsnummer {d(6)}"]]
+        sign = r.choice([", ", "; ", " | "])
+        parts = [x for k, bit in enumerate(r.sample(bits, r.randint(2, 5))) for x in ([sign] if k else []) + bit]
     text, gold = "", []
     for p in parts:
         if isinstance(p, tuple):
@@ -304,7 +334,7 @@ def fit(lex: Lexicon, examples: int = 1500, epochs: int = 4, rate: float = 0.3,
     data = []
     for _ in range(examples):
         text, gold = _example(r)
-        cands = candidates(text, lex)
+        cands = sorted(candidates(text, lex))
         chosen = set()
         for a, b, kind in gold:
             over = [(min(b, y) - max(a, x) - 0.1 * (max(0, a - x) + max(0, y - b)), n) for n, (x, y, k, _) in enumerate(cands) if k == kind and x < b and y > a]
@@ -316,12 +346,9 @@ def fit(lex: Lexicon, examples: int = 1500, epochs: int = 4, rate: float = 0.3,
         r.shuffle(data)
         step = rate / (1 + epoch)
         for cands, chosen in data:
-            if not cands:
-                continue
-            for n, (p, c) in enumerate(zip(_marginals(cands, weights), cands)):
-                g = (n in chosen) - p
-                if abs(g) > 1e-3:
-                    for x in c[3]:
+            if cands:
+                for x, g in _expected(cands, chosen, weights).items():
+                    if abs(g) > 1e-3:
                         weights[x] += step * g
     return dict(weights)
 

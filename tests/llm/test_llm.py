@@ -1,4 +1,5 @@
 """Operators on free text: brute force, round trips, held-out accuracy, and rows that are null, empty, repeated or odd."""
+import math
 import os
 import random
 import re
@@ -334,6 +335,31 @@ def test_personal_with_names_and_sentences_of_its_own(spark):
     assert right / (right + missed) > 0.95 and right / (right + wrong) > 0.95
 
 
+def test_decoding_and_expectations_against_all_sequences():
+    r = random.Random(1)
+    for _ in range(200):
+        cands = sorted({(a := r.randint(0, 20), a + r.randint(1, 12), r.choice(["name", "phone"]), (f"f{r.randint(0, 3)}",)) for _ in range(r.randint(1, 6))})
+        weights = {x: r.uniform(-2, 2) for x in [*(f"f{k}" for k in range(4)), *(f"{a}>{b}:{g}" for a in ("name", "phone") for b in ("name", "phone") for g in ("near", "far")), "^>name", "^>phone"]}
+        every = [[]]
+        for i, c in enumerate(cands):
+            every += [[*q, i] for q in every if not q or cands[q[-1]][1] <= c[0]]
+        features = lambda q: [x for n, i in enumerate(q) for x in (*cands[i][3], personal._pair(cands[q[n - 1]] if n else None, cands[i]))]
+        score = lambda q: sum(weights[x] for x in features(q))
+        best = max(every, key=score)
+        got = personal.decode(cands, weights)
+        assert sum(got == [cands[i][:3] for i in q] and abs(score(q) - score(best)) < 1e-9 for q in every) >= 1
+        total = sum(math.exp(score(q)) for q in every)
+        wanted = r.choice(every)
+        want = {}
+        for q in every:
+            for x in features(q):
+                want[x] = want.get(x, 0) - math.exp(score(q)) / total
+        for x in features(wanted):
+            want[x] = want.get(x, 0) + 1
+        grad = personal._expected(cands, set(wanted), weights)
+        assert all(abs(grad.get(x, 0) - v) < 1e-6 for x, v in want.items())
+
+
 def test_rare_given_names_are_joined(spark):
     names = spark.createDataFrame([(n,) for n in ["Greta Bergfeld"] * 5 + ["Odalys Dahlmann", "Ximena-Rosa Fichtner"]], "name STRING")
     old, personal.LEXICON = personal.LEXICON, 1
@@ -406,6 +432,26 @@ def test_repair_corrects_in_context_only(spark):
     assert scans._corrected("Mietcr 3!Mietcr und Mietcr", {("Mietcr", 1): "Mieter"}) == "Mietcr 3!Mieter und Mietcr"
 
 
+def test_links_find_plausible_misreadings(spark):
+    """Recall of the links: words with one to three glyphs mistaken, against the words that they were."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abdeghilmnorstuvwz") for _ in range(r.randint(6, 11))) for _ in range(150)]
+    edits = [(v, k) for k, v in scans.GLYPHS.items() if len(k) == 1 and k not in "|!"] + [("m", "rn"), ("e", "c"), ("h", "b")]
+    bad = {}
+    for w in words:
+        x = w
+        for a, b in r.sample(edits, len(edits)):
+            if a in x and sum(p != q for p, q in zip(x, w)) < 3:
+                x = x.replace(a, b, 1)
+                if r.random() < .6:
+                    break
+        if x != w:
+            bad[x] = w
+    counts = [("word", w, 5000) for w in words] + [("word", x, 3) for x in bad]
+    link = {x.word: x.target for x in scans.links(spark.createDataFrame(counts, "kind STRING, word STRING, n BIGINT"), 100_000).collect()}
+    assert len(bad) > 100 and sum(link.get(x) == w for x, w in bad.items()) >= 0.9 * len(bad)
+
+
 def test_vectors_judge_targets_that_are_not_common(spark):
     """A target below the share of a common word is judged by its own pairs with common words."""
     r = random.Random(4)
