@@ -469,11 +469,12 @@ def learn(names: DataFrame, col: str) -> Model:
 
 
 def _known(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (field, row_id, text) with the rare given names that stand in the texts of a field's id, null where none does: the
-    capitalised words are joined with the names of the rest, so that no name is lost however many there are."""
+    """rows (field, row_id, text) with the rare given names that stand in the texts of a field's id, where there are any: the
+    capitalised words are joined with the names of the rest, so that no name is lost however many there are. Without a
+    rest the column is left out, as lists of nothing cost as much as the texts."""
     src = rows.select("field", F.col("row_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text"))
     if model.rest is None:
-        return src.withColumn("rare", F.lit(None).cast("array<string>"))
+        return src
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}-]+"), F.lit(0)), F.lower))
     w = src.select("field", "row_id", F.explode(words).alias("w"))
     w = w.select("field", "row_id", F.explode(F.array_distinct(F.array("w", F.split_part("w", F.lit("-"), F.lit(1))))).alias("g"))
@@ -481,6 +482,10 @@ def _known(rows: DataFrame, model: Model) -> DataFrame:
     return src.join(rare, ["field", "row_id"], "left")
 
 
+def _rare(b: pa.RecordBatch) -> list:
+    return b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+
+
 def found(rows: DataFrame, model: Model) -> DataFrame:
     """(field STRING, row_id BIGINT, kind STRING) of rows (field, row_id, text): each kind a text holds, once for each row.
     Null, empty and blank texts hold nothing; equal rows give equal rows; texts are read whole, however long; other
@@ -491,7 +496,7 @@ def found(rows: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             out = []
-            for f, i, t, rare in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for f, i, t, rare in zip(*(b.column(k).to_pylist() for k in range(3)), _rare(b)):
                 found = analyse(t, m.with_rare(rare) if rare else m)
                 if found:
                     out += [(f, i, k) for k in {k for _, _, k in found}]
@@ -509,7 +514,7 @@ def redacted(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = [t if t is None else redact(t, m.with_rare(rare) if rare else m) for t, rare in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [t if t is None else redact(t, m.with_rare(rare) if rare else m) for t, rare in zip(b.column(2).to_pylist(), _rare(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["field", "row_id", "text"])
 
     return _known(rows, model).mapInArrow(run, "field STRING, row_id BIGINT, text STRING")
