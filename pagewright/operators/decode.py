@@ -1,6 +1,8 @@
 """Replies of text models: outcomes, and answers inside damaged JSON."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,13 @@ def parse_ladder(df: DataFrame, col: str) -> DataFrame:
     rungs = [(x, {}), (bare, {}), (bare, loose), (braces, {}), (braces, loose)]
     schema = ", ".join(f"{k} {t}" for k, t in ANSWER.items())
 
-    def attempt(text, options):
-        # whether the text can be read at all is asked with a field it doesn't have, so that no field's shape has a say
+    def whole(text, options):
+        # asked with a field that no answer has, so that no field's shape has a say
         bad = F.from_json(text, "_none STRING, _corrupt STRING", {**options, "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].isNotNull()
-        return F.when(text.rlike(r"(?s)^\{.*\}$") & ~bad, F.from_json(text, schema, options))
+        return text.rlike(r"(?s)^\{.*\}$") & ~bad
 
-    d = df.withColumns({f"_r{k}": attempt(t, o) for k, (t, o) in enumerate(rungs, 1)})
-    names = [f"_r{k}" for k in range(1, 6)]
-    rung = F.coalesce(*[F.when(F.col(n).isNotNull(), k) for k, n in enumerate(names, 1)], F.lit(0))
-    return d.withColumns({"answer": F.coalesce(*names), "rung": rung, "raw": F.when(rung == 0, F.col(col))}).drop(*names)
+    # a rung is tried only where those above it failed, and the answer is read once
+    rung = reduce(lambda w, r: w.when(whole(*r[1]), r[0]), enumerate(rungs[1:], 2), F.when(whole(*rungs[0]), 1)).otherwise(0)
+    d = df.withColumn("rung", rung)
+    text = F.when(F.col("rung") == 1, x).when(F.col("rung").isin(2, 3), bare).when(F.col("rung").isin(4, 5), braces)
+    return d.withColumn("answer", F.from_json(text, schema, loose)).withColumn("raw", F.when(F.col("rung") == 0, F.col(col)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import clauses, pages, structure
 from pagewright.plans import details, oracle, planted, second, stateful
+from pagewright.session import written
 from pagewright.sources import table
 
 CHUNK = 2_000  # characters of a chunk in the query: test documents are short
@@ -52,11 +53,13 @@ def _bare(s, d):
 
 def audit_warning(s, d):
     """All that a reader is told, sections with bare numbers and items without a place being the planted ones."""
-    miss, inv = _missing(s, d), _invented(s, d)
+    src, lab = written(clauses.source_ids(_page(s, d))), written(clauses.label_ids(_sections(s, d), _subs(s, d)))
+    miss, inv = written(clauses.missing(src, lab)), written(clauses.invented(src, lab, _page(s, d)))
     items = structure.items(planted.pages_of_items(s, d)).where("doc_id % 7 = 0")
     placed = structure.item_hits(items, planted.thinned(s, d)).select("doc_id", "pos", "line_no").distinct()
     places = clauses.locations(miss.unionByName(inv), _page(s, d))
-    return clauses.warnings(miss, inv, _bare(s, d), places, items.join(placed, ["doc_id", "pos", "line_no"], "left_anti"))
+    bare = clauses.bare_numbered(*planted.bare(s, d), src, _page(s, d))
+    return clauses.warnings(miss, inv, bare, places, items.join(placed, ["doc_id", "pos", "line_no"], "left_anti"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:

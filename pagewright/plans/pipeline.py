@@ -66,9 +66,9 @@ def _gathered(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def mended(rel: DataFrame, content: DataFrame, anchors: DataFrame) -> DataFrame:
-    """OUT of repair.relation(), of pages and of anchors: mend() of every document, in one pass over documents."""
-    d = _gathered({"secs": rel, "pages": pages.content_pages(content), "items": structure.items(content), "anchors": anchors, "source": clauses.source_ids(content)})
+def mended(rel: DataFrame, content: DataFrame, anchors: DataFrame, source: DataFrame) -> DataFrame:
+    """OUT of repair.relation(), of pages, of anchors and of the ids of the pages: mend() of every document, in one pass over documents."""
+    d = _gathered({"secs": rel, "pages": pages.content_pages(content), "items": structure.items(content), "anchors": anchors, "source": source})
 
     def run(frames):
         for f in frames:
@@ -101,16 +101,16 @@ def convert(page: DataFrame, sections: DataFrame, subs: DataFrame, anchors: Data
     rel = repair.relation(sections, subs)
     if anchors is None:
         anchors = written(provider.anchors(content, reader)) if reader else content.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("id"), F.lit("").alias("start")).limit(0)
-    m = written(mended(rel, content, anchors))
+    src = written(clauses.source_ids(content))
+    m = written(mended(rel, content, anchors, src))
     rel = flat(m)
-    src = clauses.source_ids(content)
     if reader:
         gone = written(clauses.missing(src, clauses.label_ids(*_pair(rel))))
         rel = repair.spliced(rel, written(provider.runs(gone, content, reader)), gone).select("doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content")
     rel = written(rel)
     sec, sub = _pair(rel)
-    lab = clauses.label_ids(sec, sub)
-    miss, inv = clauses.missing(src, lab), clauses.invented(src, lab, content)
+    lab = written(clauses.label_ids(sec, sub))
+    miss, inv = written(clauses.missing(src, lab)), written(clauses.invented(src, lab, content))
     # what a split moves below a heading is judged as it stood before
     before = clauses.bare_numbered(sections, subs, src, content).join(m.where("split").select("doc_id"), "doc_id", "left_semi")
     bare = clauses.bare_numbered(sec, sub, src, content).unionByName(before)
