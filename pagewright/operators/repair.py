@@ -1,4 +1,4 @@
-"""Repairs of one document's sections that depend on their own earlier steps; run by document with applyInPandas.
+"""Repairs of one document's sections that depend on their own earlier steps; run by document in Python.
 
 A document's sections are a list of Sec(id, title, subs), subs a list of [id, content]. The folds keep the folded text of
 each subsection beside it and refresh it where they write. A document is repaired in one task, as its order is its meaning.
@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +38,31 @@ class Item:
     page: int = 0
 
 
+class _Kept(dict):
+    """Character to whether it is a letter, a mark or a number, filled on demand."""
+
+    def __missing__(self, c: str) -> bool:
+        got = self[c] = unicodedata.category(c)[0] in "LMN"
+        return got
+
+
+_kept = _Kept()
+
+
 def fold(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFC", s).lower() if unicodedata.category(c)[0] in "LMN")
+    return "".join(filter(_kept.__getitem__, unicodedata.normalize("NFC", s).lower()))
 
 
 def places(s: str) -> tuple[str, list[int]]:
     """The fold of a text and the place in it of each of the fold's characters; a letter goes with the marks behind it."""
+    low = s.lower()
+    if len(low) == len(s) and unicodedata.is_normalized("NFC", s):
+        at = [k for k, c in enumerate(low) if _kept[c]]
+        return "".join([low[k] for k in at]), at
     out, at = [], []
     for m in _with_marks(s):
         for c in unicodedata.normalize("NFC", m.group()).lower():
-            if unicodedata.category(c)[0] in "LMN":
+            if _kept[c]:
                 out.append(c)
                 at.append(m.start())
     return "".join(out), at
@@ -346,6 +362,8 @@ def recut(block: list[list[str]], anchors: list[tuple[str, str]]) -> list[list[s
     if len(have) < 2:
         return None
     majors = {n[0] for n in have}
+    if not have <= {numeric(i) for i, _ in anchors}:
+        return None
     cand = sorted(((n, i, fold(t)[:48]) for i, t in anchors if (n := numeric(i)) and n[0] in majors), key=lambda c: c[0])
     paragraphs = [c.strip() for _, c in block if c.strip()]
     text = " ".join(paragraphs)
@@ -398,8 +416,9 @@ def rebind(secs: list[Sec], anchors: list[tuple[str, str]]) -> tuple[list[Sec],
             continue
         subs = []
         for block in blocks_of(sec.subs, lambda a, b: b <= a):
-            for part in ([block] if recut(block, anchors) else blocks_of(block, lambda a, b: a[0] != b[0])):
-                got = recut(part, anchors)
+            whole = recut(block, anchors)
+            for part in ([block] if whole else blocks_of(block, lambda a, b: a[0] != b[0])):
+                got = whole or recut(part, anchors)
                 done += got is not None and got != part
                 subs += got or part
         out.append(Sec(sec.id, sec.title, subs))
@@ -478,21 +497,62 @@ def recover_front(secs: list[Sec], pages: list[str]) -> list[Sec]:
 
 # -- on DataFrames ------------------------------------------------------------------------------
 
-FLAT = "doc_id BIGINT, sec_pos INT, sub_pos INT, section STRING, title STRING, id STRING, content STRING, note STRING"
+ARRAYS = {"secs": ("sec_pos", "sub_pos", "section", "title", "id", "content"), "pages": ("pos", "text"), "items": ("pos", "line_no", "page_no", "token", "id", "text", "key", "anchor", "anchor_id"),
+          "anchors": ("pos", "id", "start"), "source": ("id",), "runs": ("prefix", "pos", "id", "content"), "wanted": ("id",)}
+OUT = "doc_id BIGINT, secs ARRAY<STRUCT<sec_pos: INT, sub_pos: INT, section: STRING, title: STRING, id: STRING, content: STRING>>, note STRING"
 
 
-def _nested(pdf: pd.DataFrame) -> list[Sec]:
-    out = []
-    for _, g in pdf.sort_values(["sec_pos", "sub_pos"], kind="stable").groupby("sec_pos", sort=True):
-        first = g.iloc[0]
-        text = lambda x: x if isinstance(x, str) else ""
-        out.append(Sec(text(first.section), text(first.title), [[text(i), text(c)] for p, i, c in zip(g.sub_pos, g.id, g.content) if not pd.isna(p)]))
-    return out
+def to_rows(secs: list[Sec]) -> list[dict]:
+    return [dict(sec_pos=s, sub_pos=k, section=x.id, title=x.title, id=i, content=c) for s, x in enumerate(secs) for k, (i, c) in (enumerate(x.subs) if x.subs else [(None, (None, None))])]
+
+
+def to_sections(rows: list[dict]) -> list[Sec]:
+    out: dict[int, Sec] = {}
+    for r in sorted(rows, key=lambda r: (r["sec_pos"], -1 if r["sub_pos"] is None else r["sub_pos"], r["id"] or "", r["content"] or "")):
+        sec = out.setdefault(r["sec_pos"], Sec(r["section"] or "", r["title"] or "", []))
+        if r["sub_pos"] is not None:
+            sec.subs.append([r["id"] or "", r["content"] or ""])
+    return list(out.values())
+
+
+def by_document(rel: DataFrame, parts: dict[str, DataFrame], fold: Callable) -> DataFrame:
+    """OUT of fold(sections, rows of each part) for every document of rel. A document is one row with an array of each part's
+    rows, so that all are grouped and joined by doc_id alone, and many documents go to Python at once."""
+    d = None
+    for name, df in ({"secs": rel} | parts).items():
+        one = df.groupBy("doc_id").agg(F.collect_list(F.struct(*ARRAYS[name])).alias(name))
+        d = one if d is None else d.join(one, "doc_id", "left")
+    names = list(parts)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                secs, note = fold(to_sections(row["secs"]), *(row[n] or [] for n in names))
+                out.append(dict(doc_id=row["doc_id"], secs=to_rows(secs), note=note))
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+    return d.mapInArrow(run, OUT)
 
 
-def _flat(doc: int, secs: list[Sec], note: str) -> pd.DataFrame:
-    rows = [(doc, s, k, sec.id, sec.title, i, c, note) for s, sec in enumerate(secs) for k, (i, c) in (enumerate(sec.subs) if sec.subs else [(None, (None, None))])]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FLAT.split(", ")]).astype({"doc_id": "int64", "sec_pos": "int32", "sub_pos": "Int32"})
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("secs", pa.list_(pa.struct([("sec_pos", pa.int32()), ("sub_pos", pa.int32()), *((x, pa.string()) for x in ("section", "title", "id", "content"))]))), ("note", pa.string())])
+
+
+def flat(m: DataFrame) -> DataFrame:
+    """(doc_id, sec_pos, sub_pos, section, title, id, content, note) of OUT."""
+    return m.select("doc_id", F.explode("secs").alias("x"), "note").select("doc_id", "x.*", "note")
+
+
+def page_texts(rows: list[dict]) -> list[str]:
+    return [p["text"] for p in sorted(rows, key=lambda p: p["pos"])]
+
+
+def page_items(rows: list[dict]) -> list[Item]:
+    return [Item(i["token"], i["id"], i["text"], i["key"], i["anchor"], i["anchor_id"], i["page_no"]) for i in sorted(rows, key=lambda i: (i["pos"], i["line_no"]))]
+
+
+def page_anchors(rows: list[dict]) -> list[tuple[str, str]]:
+    return [(x["id"], x["start"]) for x in sorted(rows, key=lambda x: x["pos"])]
 
 
 def relation(sections: DataFrame, subs: DataFrame) -> DataFrame:
@@ -505,42 +565,36 @@ def relation(sections: DataFrame, subs: DataFrame) -> DataFrame:
 
 def repaired_items(rel: DataFrame, pages: DataFrame) -> DataFrame:
     """The relation after repair_items, note holding the number of items without a place."""
-    it = structure.items(pages).select("doc_id", "pos", "line_no", "token", "id", "text", "key", "anchor", "anchor_id")
-
-    def run(key, left, right):
-        rows = right.sort_values(["pos", "line_no"]).itertuples()
-        secs, lost = repair_items(_nested(left), [Item(r.token, r.id, r.text, r.key, r.anchor, r.anchor_id) for r in rows])
-        return _flat(int(key[0]), secs, str(len(lost)))
 
-    return rel.groupBy("doc_id").cogroup(it.groupBy("doc_id")).applyInPandas(run, FLAT)
+    def fold_(secs, items):
+        secs, lost = repair_items(secs, page_items(items))
+        return secs, str(len(lost))
 
+    return flat(by_document(rel, {"items": structure.items(pages)}, fold_))
 
-def _with_pages(rel: DataFrame, pages: DataFrame, fold_) -> DataFrame:
-    p = P.content_pages(pages).select("doc_id", "pos", "text")
 
-    def run(key, left, right):
-        secs, note = fold_(_nested(left), right.sort_values("pos").text.tolist())
-        return _flat(int(key[0]), secs, note)
+def scoped(rel: DataFrame, pages: DataFrame) -> DataFrame:
+    """The relation after split_scopes, note holding the headings of new sections."""
 
-    return rel.groupBy("doc_id").cogroup(p.groupBy("doc_id")).applyInPandas(run, FLAT)
+    def fold_(secs, texts):
+        secs, heads = split_scopes(secs, page_texts(texts))
+        return secs, "; ".join(heads)
 
-
-def scoped(rel: DataFrame, pages: DataFrame) -> DataFrame:
-    return _with_pages(rel, pages, lambda secs, ps: (lambda r: (r[0], "; ".join(r[1])))(split_scopes(secs, ps)))
+    return flat(by_document(rel, {"pages": P.content_pages(pages)}, fold_))
 
 
 def with_front(rel: DataFrame, pages: DataFrame) -> DataFrame:
-    return _with_pages(rel, pages, lambda secs, ps: (recover_front(secs, ps), ""))
+    return flat(by_document(rel, {"pages": P.content_pages(pages)}, lambda secs, texts: (recover_front(secs, page_texts(texts)), "")))
 
 
 def rebound(rel: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The relation after rebind with anchors (doc_id, pos, id, start)."""
+    """The relation after rebind with anchors (doc_id, pos, id, start), note holding the number of stretches cut anew."""
 
-    def run(key, left, right):
-        secs, n = rebind(_nested(left), list(zip(right.sort_values("pos").id, right.sort_values("pos").start)))
-        return _flat(int(key[0]), secs, str(n))
+    def fold_(secs, found):
+        secs, n = rebind(secs, page_anchors(found))
+        return secs, str(n)
 
-    return rel.groupBy("doc_id").cogroup(anchors.groupBy("doc_id")).applyInPandas(run, FLAT)
+    return flat(by_document(rel, {"anchors": anchors}, fold_))
 
 
 def adopt_runs(secs: list[Sec], runs: dict[str, list[list[str]]], wanted: set[str], most: int = 3) -> tuple[list[Sec], int]:
@@ -561,16 +615,13 @@ def adopt_runs(secs: list[Sec], runs: dict[str, list[list[str]]], wanted: set[st
 def spliced(rel: DataFrame, runs: DataFrame, missing: DataFrame) -> DataFrame:
     """The relation after adopt_runs with runs (doc_id, prefix, pos, id, content) and missing (doc_id, id); note holds the
     number of runs taken. More than 24 missing ids are left alone."""
-    few = missing.groupBy("doc_id").agg(F.collect_set("id").alias("w")).where(F.size("w") <= 24)
-    fresh = [F.col(c).alias(f"run_{c}") for c in ("doc_id", "prefix", "pos", "id", "content")]  # names of their own beside rel's
-    r = runs.join(few, "doc_id").select(*fresh, F.array_join("w", " ").alias("w"))
-
-    def run(key, left, right):
-        secs = _nested(left)
-        taken = 0
-        if len(right):
-            parts = {p: [[i, c] for i, c in zip(g.run_id, g.run_content)] for p, g in right.sort_values("run_pos").groupby("run_prefix")}
-            secs, taken = adopt_runs(secs, parts, set(right.w.iloc[0].split()))
-        return _flat(int(key[0]), secs, str(taken))
-
-    return rel.groupBy("doc_id").cogroup(r.groupBy("run_doc_id")).applyInPandas(run, FLAT)
+    few = missing.groupBy("doc_id").agg(F.count_distinct("id").alias("n")).where("n <= 24").select("doc_id")
+
+    def fold_(secs, runs, wanted):
+        parts: dict[str, list] = {}
+        for r in sorted(runs, key=lambda r: (r["prefix"], r["pos"])):
+            parts.setdefault(r["prefix"], []).append([r["id"], r["content"]])
+        secs, taken = adopt_runs(secs, parts, {w["id"] for w in wanted}) if parts and wanted else (secs, 0)
+        return secs, str(taken)
+
+    return flat(by_document(rel, {"runs": runs.join(few, "doc_id", "left_semi"), "wanted": missing.join(few, "doc_id", "left_semi")}, fold_))

@@ -1,7 +1,8 @@
 """A whole conversion: pages and extracted sections to Markdown with a warning."""
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +10,6 @@ from pagewright.operators import clauses, pages, provider, render, repair, struc
 from pagewright.operators.repair import Item, Sec
 from pagewright.session import written
 
-ARRAYS = {"secs": ("sec_pos", "sub_pos", "section", "title", "id", "content"), "pages": ("pos", "text"), "items": ("pos", "line_no", "page_no", "token", "id", "text", "key", "anchor", "anchor_id"),
-          "anchors": ("pos", "id", "start"), "source": ("id",), "runs": ("prefix", "pos", "id", "content")}
-OUT = "doc_id BIGINT, secs ARRAY<STRUCT<sec_pos: INT, sub_pos: INT, section: STRING, title: STRING, id: STRING, content: STRING>>, split BOOLEAN, " \
-      "lost ARRAY<STRUCT<pos: INT, line_no: INT, token: STRING, page_no: INT>>"
 SHARE = 2, 5  # least part of the source's text that a mended document keeps
 
 
@@ -44,49 +41,18 @@ def mend(secs: list[Sec], pages_: list[str], items: list[Item], anchors: list[tu
     return secs, lost, bool(first or second)
 
 
-def _rows(secs: list[Sec]) -> list[dict]:
-    return [dict(sec_pos=s, sub_pos=k, section=x.id, title=x.title, id=i, content=c) for s, x in enumerate(secs) for k, (i, c) in (enumerate(x.subs) if x.subs else [(None, (None, None))])]
-
-
-def _sections(rows: list[dict]) -> list[Sec]:
-    out: dict[int, Sec] = {}
-    for r in sorted(rows, key=lambda r: (r["sec_pos"], -1 if r["sub_pos"] is None else r["sub_pos"], r["id"] or "", r["content"] or "")):
-        sec = out.setdefault(r["sec_pos"], Sec(r["section"] or "", r["title"] or "", []))
-        if r["sub_pos"] is not None:
-            sec.subs.append([r["id"] or "", r["content"] or ""])
-    return list(out.values())
-
-
-def _gathered(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row for each document with an array of each part's rows; all are grouped and joined by doc_id alone."""
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy("doc_id").agg(F.collect_list(F.struct(*ARRAYS[name])).alias(name))
-        out = one if out is None else out.join(one, "doc_id", "left")
-    return out
-
-
 def mended(rel: DataFrame, content: DataFrame, anchors: DataFrame, source: DataFrame) -> DataFrame:
-    """OUT of repair.relation(), of pages, of anchors and of the ids of the pages: mend() of every document, in one pass over documents."""
-    d = _gathered({"secs": rel, "pages": pages.content_pages(content), "items": structure.items(content), "anchors": anchors, "source": source})
+    """repair.OUT of repair.relation(), of pages, of anchors and of the ids of the pages: mend() of every document, in one pass
+    over documents; note holds whether a scope was split and the items without a place as JSON."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for doc, *parts in f[["doc_id", "secs", "pages", "items", "anchors", "source"]].itertuples(index=False):
-                secs, page, items, anchor, source = ([] if x is None else list(x) for x in parts)
-                texts = [p["text"] for p in sorted(page, key=lambda p: p["pos"])]
-                items = [Item(i["token"], i["id"], i["text"], i["key"], i["anchor"], i["anchor_id"], i["page_no"]) for i in sorted(items, key=lambda i: (i["pos"], i["line_no"]))]
-                new, lost, split = mend(_sections(secs), texts, items, [(a["id"], a["start"]) for a in sorted(anchor, key=lambda a: a["pos"])], [s["id"] for s in source])
-                out.append((doc, _rows(new), split, [dict(pos=k, line_no=0, token=x.token, page_no=x.page) for k, x in enumerate(lost)]))
-            yield pd.DataFrame(out, columns=["doc_id", "secs", "split", "lost"])
+    def fold(secs, texts, items, found, ids):
+        secs, lost, split = mend(secs, repair.page_texts(texts), repair.page_items(items), repair.page_anchors(found), [x["id"] for x in ids])
+        return secs, json.dumps({"split": split, "lost": [dict(pos=k, line_no=0, token=x.token, page_no=x.page) for k, x in enumerate(lost)]})
 
-    return d.mapInPandas(run, OUT)
+    return repair.by_document(rel, {"pages": pages.content_pages(content), "items": structure.items(content), "anchors": anchors, "source": source}, fold)
 
 
-def flat(m: DataFrame) -> DataFrame:
-    """The relation of OUT."""
-    return m.select("doc_id", F.explode("secs").alias("x")).select("doc_id", "x.*")
+NOTE = "split BOOLEAN, lost ARRAY<STRUCT<pos: INT, line_no: INT, token: STRING, page_no: INT>>"
 
 
 def _pair(rel: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +69,8 @@ def convert(page: DataFrame, sections: DataFrame, subs: DataFrame, anchors: Data
         anchors = written(provider.anchors(content, reader)) if reader else content.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("id"), F.lit("").alias("start")).limit(0)
     src = written(clauses.source_ids(content))
     m = written(mended(rel, content, anchors, src))
-    rel = flat(m)
+    rel = repair.flat(m).drop("note")
+    note = m.select("doc_id", F.from_json("note", NOTE).alias("n"))
     if reader:
         gone = written(clauses.missing(src, clauses.label_ids(*_pair(rel))))
         rel = repair.spliced(rel, written(provider.runs(gone, content, reader)), gone).select("doc_id", "sec_pos", "sub_pos", "section", "title", "id", "content")
@@ -112,8 +79,8 @@ def convert(page: DataFrame, sections: DataFrame, subs: DataFrame, anchors: Data
     lab = written(clauses.label_ids(sec, sub))
     miss, inv = written(clauses.missing(src, lab)), written(clauses.invented(src, lab, content))
     # what a split moves below a heading is judged as it stood before
-    before = clauses.bare_numbered(sections, subs, src, content).join(m.where("split").select("doc_id"), "doc_id", "left_semi")
+    before = clauses.bare_numbered(sections, subs, src, content).join(note.where("n.split").select("doc_id"), "doc_id", "left_semi")
     bare = clauses.bare_numbered(sec, sub, src, content).unionByName(before)
-    lost = m.select("doc_id", F.explode("lost").alias("x")).select("doc_id", "x.*")
+    lost = note.select("doc_id", F.explode("n.lost").alias("x")).select("doc_id", "x.*")
     places = clauses.locations(miss.unionByName(inv), content)
     return render.sections_markdown(sec, sub).join(clauses.warnings(miss, inv, bare, places, lost), "doc_id", "left")
