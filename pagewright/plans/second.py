@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import clauses, decode, history, pages, render, score, structure
+from pagewright.operators import decode, history, pages, render, score, structure
 from pagewright.plans import planted
-from pagewright.plans.oracle import CLEAN, IDS, KEYS, fold, letters, trim
+from pagewright.plans.oracle import CLEAN, IDS, fold, letters, trim
 from pagewright.sources import table
 
 LINES = 3  # sections of a part in the merge query

@@ -1,9 +1,7 @@
 """Cases of furniture, rendering, repairs and the conversion, in sentences of their own."""
 import json
 import random
-import re
 
-import pytest
 
 from pagewright.functions import text as T
 from pagewright.operators import clauses, pages, provider, render, repair, structure
