@@ -2,7 +2,6 @@
 import json
 import random
 
-
 from pagewright.functions import text as T
 from pagewright.operators import clauses, pages, provider, render, repair, structure
 from pagewright.operators.repair import Item, Sec, fold
